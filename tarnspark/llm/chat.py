@@ -105,7 +105,7 @@ def trained_text(formatted: Column, loss_start: Column, loss_length: Column) ->
 
 
 def op1_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    own = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     examples = prefix_targets(turns)
     read = examples.select(

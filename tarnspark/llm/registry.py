@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, line_cleaning
+from . import byte_bpe, chat, line_cleaning, packing, sstable
 from .sql import ORACLES
 
 QUERIES = {
     "op1_prefix_targets": chat.op1_prefix_targets,
+    "op2_sstable": sstable.op2_sstable,
+    "op4_pattern_packing": packing.op4_pattern_packing,
+    "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_line_cleaning": line_cleaning.op10_line_cleaning,
 }
 

@@ -1,6 +1,4 @@
 """What the operators of this subpackage share: tables, written stages, and the chunk encoder.
-
-On a cluster the package has to be importable by the executors (``--py-files`` or an image).
 """
 
 from __future__ import annotations
@@ -9,12 +7,15 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnspark.functions.shipping import ship
+
 #: Code points that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,6 +59,12 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first().n or 0
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow, with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def parts_for(spark: SparkSession, n_bytes: int, each: int) -> int:
     """So many partitions that each holds about `each` bytes, and no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / each))
@@ -133,11 +140,12 @@ class ChunkEncoder:
         return ids, before[np.searchsorted(at, offsets)]
 
 
+@lru_cache(maxsize=2)
 def word_bpe(path: str) -> ChunkEncoder:
     """The tokenizers library's ids for a tokenizer that drops white space: words parted by ASCII white space are encoded each on its own.
 
     Its normaliser (NFC, white space, lower case) and its pre-tokeniser never reach across ASCII white space, and no
-    added token holds any, so a text's ids are those of its words in turn.
+    added token holds any, so a text's ids are those of its words in turn. Each worker process keeps one.
     """
     from tokenizers import Tokenizer
 
