@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, line_cleaning, packing, sstable
+from . import byte_bpe, chat, licenses, line_cleaning, packing, sstable, toxicity
 from .sql import ORACLES
 
 QUERIES = {
     "op1_prefix_targets": chat.op1_prefix_targets,
     "op2_sstable": sstable.op2_sstable,
     "op4_pattern_packing": packing.op4_pattern_packing,
+    "op7_license_scan": licenses.op7_license_scan,
+    "op8_pu_toxicity": toxicity.op8_pu_toxicity,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_line_cleaning": line_cleaning.op10_line_cleaning,
 }

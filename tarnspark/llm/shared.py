@@ -155,3 +155,44 @@ def word_bpe(path: str) -> ChunkEncoder:
         return [x.ids for x in tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
 
     return ChunkEncoder(gap_starts, encode)
+
+
+#: Words of letters, digits and code points beyond ASCII, lower case: other ASCII bytes become spaces.
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def plain_bytes(text: bytes) -> bytes:
+    """A-Z to lower case, and a space for each ASCII character that is no letter and no digit."""
+    return text.translate(_PLAIN)
+
+
+class Words:
+    """The words of a block of texts: `distinct` words as bytes, `which` of them each word is, and the `row` it stands in."""
+
+    def __init__(self, column: pa.Array, plain: bool):
+        """plain: words of `plain_bytes`; else words parted by ASCII white space, A-Z to lower case."""
+        data, self.offsets = text_buffers(column)
+        self.data = np.frombuffer(data.tobytes().translate(_PLAIN if plain else LOWER), dtype=np.uint8)
+        n = len(self.offsets) - 1
+        gap = _GAP_TABLE[self.data]
+        start = ~gap
+        start[1:] &= gap[:-1]
+        first = self.offsets[:-1][self.offsets[:-1] < len(self.data)]
+        start[first] = ~gap[first]
+        self.at = np.flatnonzero(start).astype(np.int64)
+        self.before = np.searchsorted(self.at, self.offsets)  # words before each row
+        self.row = np.repeat(np.arange(n), np.diff(self.before))
+        if not len(self.at):
+            self.distinct, self.which = [], np.zeros(0, dtype=np.int32)
+            return
+        # a word's chunk ends where the next begins: white space after it is cut off afterwards
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.at), [None, pa.py_buffer(np.append(self.at, len(self.data))), pa.py_buffer(self.data)])
+        coded = chunks.dictionary_encode()
+        words = [w.rstrip(b" \t\n\x0b\x0c\r") for w in coded.dictionary.to_pylist()]
+        place: dict[bytes, int] = {}
+        again = np.fromiter((place.setdefault(w, len(place)) for w in words), dtype=np.int32, count=len(words))
+        self.distinct, self.which = list(place), again[coded.indices.to_numpy()]
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.diff(self.before)
