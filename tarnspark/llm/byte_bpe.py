@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -148,13 +149,15 @@ class ByteBPE:
         self.tokens = pa.array(tokens, pa.large_binary())
         self.chunked = shared.ChunkEncoder(_cuts, self.encode_chunks)
 
-    def encode_chunks(self, chunks: list[bytes]) -> list[list[int]]:
+    def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each chunk has, and all ids in a row."""
         parts = [self.split.findall(c.decode()) for c in chunks]
         distinct = list({p for x in parts for p in x})
         as_bytes = [p.encode() for p in distinct]
         slots = self.whole.find(as_bytes)
         known = {p: [int(self.id_at[s])] if s >= 0 else merge(b, self.ranks) for p, b, s in zip(distinct, as_bytes, slots.tolist(), strict=True)}
-        return [[i for p in x for i in known[p]] for x in parts]
+        each = [list(chain.from_iterable(map(known.__getitem__, x))) for x in parts]
+        return np.fromiter(map(len, each), dtype=np.int32, count=len(each)), np.fromiter(chain.from_iterable(each), dtype=np.uint32)
 
     def decode(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
         """The bytes of all ids in a row, and the offset of each id's bytes, one more than ids."""

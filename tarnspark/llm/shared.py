@@ -4,13 +4,16 @@
 from __future__ import annotations
 
 import math
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,11 +84,11 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks_of(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def blocks_of(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `limit` bytes of text each, one row at least. All rows are in some slice."""
     if not batch.num_rows:
         return
-    sizes = np.diff(text_buffers(batch.column(column))[1])
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     block = np.cumsum(sizes) // limit
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
@@ -93,11 +96,18 @@ def blocks_of(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Itera
             yield batch.slice(a, b - a)
 
 
-def gap_starts(data: np.ndarray) -> np.ndarray:
-    """True where a word begins after white space. White space goes to the chunk before it."""
-    gap = _GAP_TABLE[data]
+#: ASCII marks that neither join a letter to a word nor stand in a special token.
+_MARK = np.zeros(256, dtype=bool)
+_MARK[list(b'.,;:!?()"-')] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """True where a word begins after white space (which goes to the chunk before it), or a mark and a letter meet."""
+    gap, mark, letter = _GAP_TABLE[data], _MARK[data], _LETTER[data]
     start = ~gap
-    start[1:] &= gap[:-1]
+    start[1:] &= gap[:-1] | (mark[1:] & letter[:-1]) | (letter[1:] & mark[:-1])
     return start
 
 
@@ -105,12 +115,47 @@ class ChunkEncoder:
     """Encodes texts chunk by chunk; each distinct chunk is encoded once and then looked up.
 
     `starts` marks the bytes at which a text may be cut without changing its ids; `encode` turns a list of chunks
-    (bytes) into a list of id lists. Texts are cut at those bytes only, so the ids are those of the whole text.
+    (bytes) into how many ids each has and all their ids in a row. Texts are cut at those bytes only, so the ids are
+    those of the whole text. About `keep` chunks are remembered; beyond that it starts anew.
     """
 
-    def __init__(self, starts: Callable[[np.ndarray], np.ndarray], encode: Callable[[list[bytes]], list], keep: int = 400_000):
+    def __init__(self, starts: Callable[[np.ndarray], np.ndarray], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], keep: int = 300_000):
         self.starts, self.encode, self.keep = starts, encode, keep
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.length, self.flat = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 18, dtype=np.uint16)
+        self.first, self.used = np.zeros(1 << 16, dtype=np.int64), 0
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int, kind: np.dtype | None = None) -> np.ndarray:
+        kind = kind or a.dtype
+        if n <= len(a) and kind == a.dtype:
+            return a
+        out = np.zeros(max(n, 3 * len(a) // 2), dtype=kind)
+        out[: len(a)] = a
+        return out
+
+    def _places(self, chunks: list[bytes]) -> np.ndarray:
+        """The number of each chunk among the known ones; unknown ones are encoded."""
+        if len(self.known) > self.keep:
+            self._forget()
+        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new, n = [chunks[k] for k in missing.tolist()], len(self.known)
+            length, ids = self.encode(new)
+            self.length, self.first = self._room(self.length, n + len(new)), self._room(self.first, n + len(new))
+            self.length[n : n + len(new)] = length
+            self.first[n : n + len(new)] = self.used + np.cumsum(length) - length
+            wide = np.uint32 if self.flat.dtype == np.uint32 or (len(ids) and ids.max() > 0xFFFF) else np.uint16
+            self.flat = self._room(self.flat, self.used + len(ids), np.dtype(wide))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            self.known.update(zip(new, range(n, n + len(new)), strict=True))
+            at[missing] = np.arange(n, n + len(new))
+        return at
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all values in a row (uint32), and the offset of each value's ids, one more than values."""
@@ -123,38 +168,42 @@ class ChunkEncoder:
         cuts = np.append(at, len(data)).astype(np.int64)
         chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
-        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) > self.keep:
-            self.known.clear()
-        if missing := [c for c in distinct if c not in self.known]:
-            for c, ids in zip(missing, self.encode(missing), strict=True):
-                self.known[c] = np.asarray(ids, dtype=np.uint32).tobytes()
-        each = [self.known[c] for c in distinct]
-        length = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
-        flat = np.frombuffer(b"".join(each), dtype=np.uint32)
-        first = np.cumsum(length) - length
-        length, first = length[which], first[which]
-        ends = np.cumsum(length)
-        ids = flat[np.repeat(first - ends + length, length) + np.arange(ends[-1])]
-        before = np.append(0, ends)
-        return ids, before[np.searchsorted(at, offsets)]
+        place = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        length = self.length[place]
+        ends = np.cumsum(length, dtype=np.int64)
+        shift = self.first[place] - ends + length
+        ids = self.flat[np.repeat(shift, length) + np.arange(ends[-1])].astype(np.uint32)
+        return ids, np.append(0, ends)[np.searchsorted(at, offsets)]
 
 
 @lru_cache(maxsize=2)
 def word_bpe(path: str) -> ChunkEncoder:
-    """The tokenizers library's ids for a tokenizer that drops white space: words parted by ASCII white space are encoded each on its own.
+    """The tokenizers library's ids for the lower-casing tokenizer that drops white space, chunk by chunk.
 
-    Its normaliser (NFC, white space, lower case) and its pre-tokeniser never reach across ASCII white space, and no
-    added token holds any, so a text's ids are those of its words in turn. Each worker process keeps one.
+    Its normaliser (NFC, white space, lower case) and its pre-tokeniser (letters, single digits, other marks) never reach
+    across ASCII white space or across a border of an ASCII letter and one of .,;:!?()"- (no such mark before a letter
+    composes with it, and no contraction or special token holds one), so a text's ids are those of its chunks in turn.
+    Each worker process keeps one.
     """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
 
-    def encode(chunks: list[bytes]) -> list:
-        return [x.ids for x in tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+    between = tokenizer.encode("\x01", add_special_tokens=False).ids  # no other text has this id
+
+    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # many chunks go as one text, parted by a character of its own; those that hold it go one by one
+        odd = [k for k, c in enumerate(chunks) if b"\x01" in c]
+        if odd or len(between) != 1:
+            each = [x.ids for x in tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+            return np.fromiter(map(len, each), dtype=np.int32, count=len(each)), np.fromiter(chain.from_iterable(each), dtype=np.uint32)
+        texts = (b" \x01 ".join(chunks[a : a + 400]).decode() + " \x01" for a in range(0, len(chunks), 400))
+        ids = np.fromiter(chain.from_iterable(tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids for t in texts), dtype=np.uint32)
+        stop = np.flatnonzero(ids == between[0])
+        return np.diff(stop, prepend=-1).astype(np.int32) - 1, np.delete(ids, stop)
 
-    return ChunkEncoder(gap_starts, encode)
+    return ChunkEncoder(word_starts, encode)
 
 
 #: Words of letters, digits and code points beyond ASCII, lower case: other ASCII bytes become spaces.
