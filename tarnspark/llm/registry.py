@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, licenses, line_cleaning, packing, sstable, toxicity
+from . import byte_bpe, chat, licenses, line_cleaning, minhash, packing, sstable, toxicity
 from .sql import ORACLES
 
 QUERIES = {
     "op1_prefix_targets": chat.op1_prefix_targets,
     "op2_sstable": sstable.op2_sstable,
+    "op3_minmax_dedup": minhash.op3_minmax_dedup,
     "op4_pattern_packing": packing.op4_pattern_packing,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_pu_toxicity": toxicity.op8_pu_toxicity,
