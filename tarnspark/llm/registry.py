@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, licenses, line_cleaning, minhash, multi_index, packing, sstable, toxicity
+from . import byte_bpe, chat, context_tree, licenses, line_cleaning, minhash, multi_index, packing, sstable, toxicity
 from .sql import ORACLES
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_sstable": sstable.op2_sstable,
     "op3_minmax_dedup": minhash.op3_minmax_dedup,
     "op4_pattern_packing": packing.op4_pattern_packing,
+    "op5_context_tree": context_tree.op5_context_tree,
     "op6_multi_index": multi_index.op6_multi_index,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_pu_toxicity": toxicity.op8_pu_toxicity,
