@@ -19,8 +19,8 @@ from . import shared
 
 #: Rows that the centroids are fitted on, at most; every row is indexed.
 SAMPLE = 8192
-#: Entries and queries of a block that one task scores.
-BLOCK = 2048
+#: Entries of a block, and queries, that one task scores; STEP queries at a time.
+BLOCK, QUERIES, STEP = 16384, 4096, 256
 #: Cells of neighbouring first-half centroids that stand together.
 SLABS = 8
 
@@ -111,7 +111,8 @@ def search(
     uniform unit vectors of 64 numbers need 0.5 for a recall of 0.93, clustered ones a few hundredths.
 
     Entries stand in blocks of about BLOCK rows of neighbouring cells, so a cell that holds a third of all rows is
-    spread over many; a query goes to the blocks of the slabs of cells it visits, in blocks of queries as well. Ties go
+    spread over many; a query goes to the blocks of the slabs of cells it visits, in blocks of queries as well, and
+    each block gives back its k best. Ties go
     to the smaller vec_id. Vectors that are null, zero, of another length than most, or hold null or non-finite numbers
     take no part, nor do null ids. Rows with the query's own id are no candidates; a repeated query id is one query. An
     empty table gives no rows; with k candidates or fewer, all are returned.
@@ -149,7 +150,7 @@ def search(
     index = Index(first, second, counts, [max(1, math.ceil(x / BLOCK)) for x in held.tolist()])
     wanted = max(math.ceil(share * counts.sum()), 50 * k)
     queries = indexed.filter("q").groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_query_blocks = max(1, math.ceil(indexed.filter("q").count() / BLOCK))
+    n_query_blocks = max(1, math.ceil(indexed.filter("q").count() / QUERIES))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,6 +182,22 @@ def search(
                 }
             )
 
+    def best_of(q: np.ndarray, own: np.ndarray, masks: np.ndarray, e: np.ndarray, ids: np.ndarray, by_cell: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        near = np.full((len(q), len(e)), -np.inf)
+        for c, columns in by_cell:
+            asking = np.flatnonzero(masks[:, c])
+            if len(asking):
+                near[np.ix_(asking, columns)] = q[asking] @ e[columns].T
+        near[own[:, None] == ids[None, :]] = -np.inf
+        # the k best of each query, and what ties with the last of them but for rounding
+        last = np.partition(near, len(e) - k, axis=1)[:, len(e) - k] if len(e) > k else np.full(len(q), -np.inf)
+        r, c = np.nonzero((near >= last[:, None] - 1e-9) & (near > -np.inf))
+        exact = np.einsum("ij,ij->i", q[r], e[c])
+        order = np.lexsort((ids[c], -exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        return own[r[keep]], ids[c[keep]], exact[keep]
+
     def score(entries: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if entries.num_rows and asked.num_rows:
@@ -189,20 +206,11 @@ def search(
             low = int(np.flatnonzero(slab_of == entries["slab"][0].as_py())[0])
             cell = (entries["i"].to_numpy() - low) * width + entries["j"].to_numpy()
             masks = np.unpackbits(np.frombuffer(b"".join(asked["cells"].to_pylist()), dtype=np.uint8).reshape(len(q), -1), axis=1, bitorder="little").astype(bool)
-            near = np.full((len(q), len(e)), -np.inf)
-            for c in np.unique(cell).tolist():
-                columns, asking = np.flatnonzero(cell == c), np.flatnonzero(masks[:, c])
-                near[np.ix_(asking, columns)] = q[asking] @ e[columns].T
-            near[own[:, None] == ids[None, :]] = -np.inf
-            # the k best of each query, and what ties with the last of them but for rounding
-            last = np.partition(near, len(e) - k, axis=1)[:, len(e) - k] if len(e) > k else np.full(len(q), -np.inf)
-            r, c = np.nonzero((near >= last[:, None] - 1e-9) & (near > -np.inf))
-            exact = np.einsum("ij,ij->i", q[r], e[c])
-            order = np.lexsort((ids[c], -exact, r))
-            r, c, exact = r[order], c[order], exact[order]
-            keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-            out.append((own[r[keep]], ids[c[keep]], exact[keep]))
-        a, b, s = out[0] if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            by_cell = [(c, np.flatnonzero(cell == c)) for c in np.unique(cell).tolist()]
+            for low_q in range(0, len(q), STEP):
+                asked_now = slice(low_q, low_q + STEP)
+                out.append(best_of(q[asked_now], own[asked_now], masks[asked_now], e, ids, by_cell))
+        a, b, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
 
     slab = F.floor(F.col("i") * n_slabs / len(first)).cast("int")
