@@ -23,6 +23,10 @@ from tarnspark.functions.shipping import ship
 WORD_GAP = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of a batch that goes to Python.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: A to Z to lower case, as bytes; other bytes stay.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -63,8 +67,13 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow, with this package on the executors."""
+    """df.mapInArrow, with this package on the executors, in batches of BATCH_ROWS unless the session sets its own number.
+
+    Texts of a few thousand characters fill tens of MB in Spark's usual batch, held by the JVM and the worker at once.
+    """
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH) == "10000":
+        df.sparkSession.conf.set(_BATCH, BATCH_ROWS)
     return df.mapInArrow(run, schema)
 
 

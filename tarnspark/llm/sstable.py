@@ -33,6 +33,7 @@ from . import shared
 RESTART = 16
 BLOCK_BYTES = 32 << 10
 BITS_A_KEY, PROBES = 10, 7
+MAX_BROADCAST_SHARDS = 100_000
 MAGIC = b"TSST\x01"
 _FOOTER = struct.Struct(">QQQQQQB9x5s")
 FOOTER_BYTES = _FOOTER.size + 1
@@ -130,20 +131,20 @@ class ShardWriter:
 class Shard:
     """Reads a shard from its bytes (or anything that slices like bytes)."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | memoryview):
         self.data = data
         index_at, index_n, bloom_at, bloom_n, self.entries, self.ids, self.id_bytes, magic = _FOOTER.unpack(data[-FOOTER_BYTES:-1])
         if magic != MAGIC:
             raise ValueError("not a shard")
-        index, at = data[index_at : index_at + index_n], 0
+        index, at = bytes(data[index_at : index_at + index_n]), 0
         self.last_keys, self.blocks = [], []
         while at < len(index):
             n, at = _read_varint(index, at)
-            self.last_keys.append(bytes(index[at : at + n]))
+            self.last_keys.append(index[at : at + n])
             offset, at = _read_varint(index, at + n)
             length, at = _read_varint(index, at)
             self.blocks.append((offset, length))
-        self.bloom = data[bloom_at : bloom_at + bloom_n]
+        self.bloom = bytes(data[bloom_at : bloom_at + bloom_n])
         self.bits = struct.unpack("<I", self.bloom[:4])[0]
 
     def may_hold(self, key: bytes) -> bool:
@@ -151,7 +152,7 @@ class Shard:
 
     def _block(self, k: int) -> tuple[bytes, np.ndarray]:
         offset, length = self.blocks[k]
-        body = self.data[offset : offset + length]
+        body = bytes(self.data[offset : offset + length])
         if zlib.crc32(body[:-4]) != struct.unpack("<I", body[-4:])[0]:
             raise ValueError(f"block {k} is damaged")
         n = struct.unpack("<I", body[-8:-4])[0]
@@ -205,7 +206,7 @@ def encode_documents(batches: Iterable[pa.RecordBatch], tokenizer: str, end_id:
             yield part, ids, offsets + np.arange(len(offsets))
 
 
-def write_shards(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", shard_bytes: int = 32 << 20, vocabulary: int = 1 << 16) -> None:
+def write_shards(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", shard_bytes: int = 16 << 20, vocabulary: int = 1 << 16) -> None:
     """Writes docs as shards under path, in ascending key order across and within shards; about shard_bytes of text each.
 
     One range shuffle of the texts; ids are made after it. Null texts count as empty (the end id alone); a null key goes
@@ -244,41 +245,48 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
     return counts.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """All documents of the shards: shard, doc_id, start (ids of all documents before it), n_tokens, ids (array)."""
+def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """All documents of the shards: shard, doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as
+    little-endian 32-bit numbers), and ids (array) unless with_ids is false."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column("shard"), batch.column("content"), strict=True):
-                shard, before = Shard(data.as_buffer().to_pybytes()), 0
+            for name, data in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+                shard, before = Shard(memoryview(data.as_buffer())), 0
                 rows: list = []
                 size = 0
                 for key, value in shard.scan():
                     n = len(value) // shard.id_bytes
                     rows.append((unpack_key(key), before, n, value))
                     before, size = before + n, size + len(value)
-                    if size >= 4 << 20:
-                        yield out(name.as_py(), rows, shard.id_bytes)
+                    if size >= 1 << 20:
+                        yield out(name, rows, shard.id_bytes)
                         rows, size = [], 0
                 if rows:
-                    yield out(name.as_py(), rows, shard.id_bytes)
+                    yield out(name, rows, shard.id_bytes)
 
     def out(name: str, rows: list, width: int) -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(r[3] for r in rows), dtype=f"<u{width}").astype(np.int32)
-        ends = np.cumsum([0] + [r[2] for r in rows], dtype=np.int64).astype(np.int32)
-        return pa.record_batch(
-            {
-                "shard": pa.array([name] * len(rows)),
-                "doc_id": pa.array([r[0] for r in rows], pa.int64()),
-                "at": pa.array([r[1] for r in rows], pa.int64()),
-                "n_tokens": pa.array([r[2] for r in rows], pa.int64()),
-                "ids": pa.ListArray.from_arrays(ends, ids),
-            }
-        )
-
+        ids = np.frombuffer(b"".join(r[3] for r in rows), dtype=f"<u{width}")
+        ends = np.cumsum([0] + [r[2] for r in rows], dtype=np.int64)
+        columns = {
+            "shard": pa.array([name] * len(rows)),
+            "doc_id": pa.array([r[0] for r in rows], pa.int64()),
+            "at": pa.array([r[1] for r in rows], pa.int64()),
+            "n_tokens": pa.array([r[2] for r in rows], pa.int64()),
+            "ids_crc32": pa.array(ids_crc32(ids, ends), pa.int64()),
+        }
+        if with_ids:
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
+        return pa.record_batch(columns)
+
+    own = ", ids array<int>" if with_ids else ""
     files = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
-    rows = shared.map_arrow(files, scan, "shard string, doc_id long, at long, n_tokens long, ids array<int>")
-    return rows.join(shards(spark, path).select("shard", F.col("start").alias("shard_start")), "shard").select("shard", "doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids")
+    rows = shared.map_arrow(files, scan, f"shard string, doc_id long, at long, n_tokens long, ids_crc32 long{own}")
+    starts = shards(spark, path)
+    if len(files.inputFiles()) <= MAX_BROADCAST_SHARDS:  # one small row a shard
+        starts = F.broadcast(starts)
+    rows = rows.join(starts.select("shard", F.col("start").alias("shard_start")), "shard")
+    return rows.select("shard", "doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int | None]) -> DataFrame:
@@ -287,7 +295,7 @@ def lookup(spark: SparkSession, path: str, keys: list[int | None]) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
-                shard = Shard(data.as_buffer().to_pybytes())
+                shard = Shard(memoryview(data.as_buffer()))
                 rows = [(k, np.frombuffer(v, dtype=f"<u{shard.id_bytes}").tolist()) for k in keys for v in shard.get(pack_key(k))]
                 if rows:
                     yield pa.record_batch({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.list_(pa.int32()))})
@@ -304,11 +312,4 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.new_path(spark, "shards")
     write_shards(shared.table(spark, sf_dir, "documents"), path, tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            offsets = ids.offsets.to_numpy()
-            crc = ids_crc32(ids.values.to_numpy(), offsets)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "shard", "ids_crc32"])
-
-    return shared.map_arrow(read_shards(spark, path).select("doc_id", "start", "n_tokens", "shard", "ids"), digest, "doc_id long, start long, n_tokens long, shard string, ids_crc32 long")
+    return read_shards(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32", "shard")
