@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import profile
+from . import profile, relations
 from .register import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "profile"]
+__all__ = ["ORACLES", "QUERIES", "profile", "relations"]
