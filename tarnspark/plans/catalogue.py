@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import profile, relations
+from . import profile, relations, sequences
 from .register import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "profile", "relations"]
+__all__ = ["ORACLES", "QUERIES", "profile", "relations", "sequences"]
