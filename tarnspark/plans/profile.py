@@ -11,7 +11,7 @@ from .register import query, table
 
 def rounded(df, n: int = 6):
     """Doubles rounded, as sums in another order differ in their last digits."""
-    return df.select(*[F.round(c, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(f"`{c}`", n).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 _SUMMARY = " UNION ALL ".join(
