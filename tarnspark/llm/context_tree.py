@@ -41,14 +41,49 @@ def keys_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     pad = bytes([END]) * DEPTH
     bodies = [b" ".join(w) for w in texts]
     lengths = np.array([len(b) + 1 for b in bodies], dtype=np.int64)
-    data = np.frombuffer(b"".join(pad + b + bytes([END]) for b in bodies), dtype=np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join(pad + b + bytes([END]) for b in bodies) + bytes(8), dtype=np.uint8)
     starts = np.cumsum(lengths) - lengths
-    key = data.copy()
-    for d in range(1, DEPTH + 1):
-        key[d:] |= data[:-d] << 8 * (DEPTH + 1 - d)
-    real = np.ones(len(data), dtype=bool)
-    real[((starts + DEPTH * np.arange(len(starts)))[:, None] + np.arange(DEPTH)).ravel()] = False
-    return key[real], starts
+    n = len(data) - 8 - DEPTH
+    # the eight bytes from each place on, the last one highest: of them the context's, and the byte after it
+    eight = np.ascontiguousarray(np.lib.stride_tricks.as_strided(data[:8].view("<i8"), shape=(n,), strides=(1,)))
+    eight &= (1 << 8 * DEPTH) - 1
+    eight <<= 8
+    eight |= data[DEPTH : DEPTH + n]
+    real = np.ones(n, dtype=bool)
+    last = (starts + lengths + DEPTH * np.arange(len(starts)))[:-1]  # where the next text's pad begins to be predicted
+    real[(last[:, None] + np.arange(DEPTH)).ravel()] = False
+    return eight[real], starts
+
+
+class Lookup:
+    """A hash table of whole arrays: distinct keys of 0 and more, and a value for each."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2.5 * max(1, len(keys))).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == -1]
+            self.keys[at[free]] = keys[free]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = at[left] + 1 & self.mask
+        self.values[at] = values
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        left = np.flatnonzero(self.keys[at] != keys)
+        while len(left):
+            at[left] = at[left] + 1 & self.mask
+            found = self.keys[at[left]]
+            if (found == -1).any():
+                raise KeyError("a gram that was not counted: the texts changed between two reads")
+            left = left[found != keys[left]]
+        return self.values[at]
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -125,7 +160,7 @@ def _texts(docs: DataFrame, n_blocks: int) -> DataFrame:
 
 def _parts(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     for batch in table.to_batches(max_chunksize=2000):
-        for part in shared.blocks_of(batch, "text"):
+        for part in shared.blocks_of(batch, "text", 2 << 20):
             yield part, [words_of(t) for t in part.column("text").to_pylist()]
 
 
@@ -229,7 +264,7 @@ class Top:
         return out
 
 
-def score(docs: DataFrame, *, block_bytes: int = 40 << 20) -> DataFrame:
+def score(docs: DataFrame, *, block_bytes: int = 28 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text, held_out).
 
     Learns from the rows that aren't held out, and scores all. A text is its words (parted by ASCII white space, A-Z in
@@ -275,8 +310,7 @@ def score(docs: DataFrame, *, block_bytes: int = 40 << 20) -> DataFrame:
         kind = values["kind"].to_numpy()
         key, known = values["key"].to_numpy(), values["value"].to_numpy()
         gram_keys, gram_values, word_keys, word_values = key[kind == GRAM], known[kind == GRAM], key[kind == WORD], known[kind == WORD]
-        order = np.argsort(gram_keys)
-        gram_keys, gram_values = gram_keys[order], gram_values[order]
+        of_gram = Lookup(gram_keys, gram_values)
         own: Counter = Counter()
         for part, texts in _parts(table):
             for skip, w in zip(part.column("held_out").to_pylist(), texts, strict=True):
@@ -295,9 +329,7 @@ def score(docs: DataFrame, *, block_bytes: int = 40 << 20) -> DataFrame:
         nothing = -base
         for part, texts in _parts(table):
             keys, starts = keys_of(texts)
-            distinct, at = np.unique(keys, return_inverse=True)
-            per_byte = gram_values[np.searchsorted(gram_keys, distinct)][at]
-            totals = np.add.reduceat(per_byte, starts)
+            totals = np.add.reduceat(of_gram(keys), starts)
             for k, w in enumerate(texts):
                 each = [cost[x] if x in cost else look(x) for x in (*w, b"\n")]
                 out.append((len(each), sum(e > nothing for e in each), math.fsum(each), totals[k]))

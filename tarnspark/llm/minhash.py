@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -172,6 +172,27 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among the nodes of open buckets that can reach percent, by prefix and position.
+
+    open_: bucket, node, n, component, and main, the bucket's largest component. One node of each pair stands aside of it.
+
+    Shingles are ordered by how many of these nodes hold them, the rarest first. Two sets of n and m that reach it share
+    at least percent / (100 + percent) of n + m; so they share a shingle at places i and j of their orders with at least as
+    many from there on in both. Copies edited apart differ in their rarest shingles, and are not even paired.
+    """
+    nodes = open_.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.max((F.col("component") != F.col("main")).cast("int")).alias("aside"))
+    tokens = nodes.join(sets, "node").select("node", "n", "component", "aside", F.explode("shingles").alias("token"))
+    held = tokens.groupBy("token").agg(F.count("*").alias("c"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("c", "token")) - 1
+    prefix = tokens.join(held, "token").withColumn("i", place).filter((F.col("n") - F.col("i")) * 100 >= percent * F.col("n"))
+    prefix = shared.written(prefix.filter("c > 1").select("token", "node", "n", "component", "aside", "i"), "prefixes")
+    x = prefix.filter("aside = 1").select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), F.col("i").alias("ai"))
+    y = prefix.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("i").alias("bi"), "aside")
+    enough = F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) * (100 + percent) >= percent * (F.col("an") + F.col("bn"))
+    return x.join(y, "token").filter((F.col("ac") != F.col("bc")) & ((F.col("aside") == 0) | (F.col("a") < F.col("b"))) & enough).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row; documents are linked at 100 * intersection >= percent * union.
 
@@ -179,9 +200,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, key
        the least doc_id, in an aggregation with map-side combine: a group of copies of any size is one node from here on.
     2. Nodes that share a band key stand in a bucket. Each is paired with the least node of its bucket only; pairs whose
        sizes allow it are confirmed on the full sets, and linked nodes grouped into components.
-    3. In buckets that still hold several components, nodes outside the bucket's largest one are paired with the nodes
-       of other components there, in the first band the two share; these pairs are confirmed as well. So each pair that
-       shares a bucket is confirmed or joined already, and pairs inside a component are never looked at.
+    3. In buckets that still hold several components, nodes outside the bucket's largest one are paired with nodes of
+       other components, where prefix and position of their shingles allow it (`_prefix_pairs`); these pairs are
+       confirmed as well. So each pair that shares a bucket is confirmed, ruled out or joined already.
 
     A pair at the threshold shares no band with a chance of MISSED. Null or empty texts, and texts without words, have an
     empty set, link with nothing and are kept. A null doc_id links with nothing and is kept, with a null component.
@@ -196,8 +217,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, key
     banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     full = banded.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("hub")).filter("c > 1")
     inside = shared.written(banded.join(full, "bucket").select("bucket", "hub", "node", "n"), "buckets")
-    members = inside.select("node").distinct().join(nodes, "node")
-    members = shared.written(members, "members")
+    members = shared.written(inside.select("node").distinct().join(nodes.select("node", "n", "k1", "k2"), "node"), "members")
     sets = shared.written(_sets(rows.filter("doc_id IS NOT NULL"), members.select("node", "k1", "k2"), shingle).dropDuplicates(["node"]), "sets")
 
     like = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
@@ -210,12 +230,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, key
     placed = shared.written(placed.select("bucket", "node", "n", "component"), "placed")
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     most = sizes.groupBy("bucket").agg(F.max(F.struct("c", F.col("component").alias("main"))).alias("m"), F.count("*").alias("k")).filter("k > 1").select("bucket", "m.main")
-    open_ = placed.join(most, "bucket").join(members.select("node", "bands"), "node")
-    left = open_.filter("component <> main").select("bucket", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), F.col("bands").alias("ab"))
-    right = open_.select("bucket", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("bands").alias("bb"), (F.col("component") == F.col("main")).alias("in_main"))
-    first = F.element_at(F.filter(F.arrays_zip(F.col("ab").alias("x"), F.col("bb").alias("y")), lambda z: z["x"] == z["y"]), 1)["x"] == F.col("bucket")
-    pairs = left.join(right, "bucket").filter((F.col("ac") != F.col("bc")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & like(F.col("an"), F.col("bn")) & first).select("a", "b")
-    more = shared.written(confirmed(pairs.distinct(), sets, percent), "links")
+    more = shared.written(confirmed(_prefix_pairs(placed.join(most, "bucket"), sets, percent), sets, percent), "links")
     labels = components(linked.unionByName(more))
 
     classes = nodes.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class"))

@@ -125,11 +125,12 @@ class ChunkEncoder:
 
     `starts` marks the bytes at which a text may be cut without changing its ids; `encode` turns a list of chunks
     (bytes) into how many ids each has and all their ids in a row. Texts are cut at those bytes only, so the ids are
-    those of the whole text. About `keep` chunks are remembered; beyond that it starts anew.
+    those of the whole text. About `keep` chunks are remembered; beyond that it starts anew. lower: A-Z may go to lower
+    case before, as the encoder does so anyway.
     """
 
-    def __init__(self, starts: Callable[[np.ndarray], np.ndarray], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], keep: int = 300_000):
-        self.starts, self.encode, self.keep = starts, encode, keep
+    def __init__(self, starts: Callable[[np.ndarray], np.ndarray], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], keep: int = 450_000, lower: bool = False):
+        self.starts, self.encode, self.keep, self.lower = starts, encode, keep, lower
         self._forget()
 
     def _forget(self) -> None:
@@ -171,6 +172,10 @@ class ChunkEncoder:
         data, offsets = text_buffers(column)
         if not len(data):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64)
+        if self.lower:
+            raw = data.tobytes()
+            if b"<|" not in raw:  # else a special token in capitals would become one
+                data = np.frombuffer(raw.translate(LOWER), dtype=np.uint8)
         start = self.starts(data)
         start[offsets[:-1][offsets[:-1] < len(data)]] = True
         at = np.flatnonzero(start)
@@ -212,7 +217,7 @@ def word_bpe(path: str) -> ChunkEncoder:
         stop = np.flatnonzero(ids == between[0])
         return np.diff(stop, prepend=-1).astype(np.int32) - 1, np.delete(ids, stop)
 
-    return ChunkEncoder(word_starts, encode)
+    return ChunkEncoder(word_starts, encode, lower=True)
 
 
 #: Words of letters, digits and code points beyond ASCII, lower case: other ASCII bytes become spaces.

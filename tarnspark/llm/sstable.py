@@ -120,8 +120,10 @@ class ShardWriter:
         yield self._record(index)
         bits = max(64, BITS_A_KEY * len(self.keys))
         marks = np.zeros((bits + 7) // 8 * 8, dtype=bool)
-        for key in self.keys:
-            marks[_probes(key, bits)] = True
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, self.keys), dtype=np.uint64, count=len(self.keys))
+        a, b = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
+        for k in range(PROBES):
+            marks[(a + np.uint64(k) * b) % np.uint64(bits)] = True
         bloom = struct.pack("<IB", bits, PROBES) + np.packbits(marks, bitorder="little").tobytes()
         bloom_at = self.offset
         yield self._record(bloom)
