@@ -114,9 +114,9 @@ def merge_intervals(df: DataFrame, by: Sequence[str], begin: str, end: str) -> D
 def interarrivals(df: DataFrame, ts: str, by: Sequence[str], begin: Column, end: Column) -> DataFrame:
     """by, k, seconds: from the window's begin to the first event, between events, and from the last to the window's end."""
     w = _w(by, [ts])
-    s = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
-    inner = df.select(*by, (F.row_number().over(w) - 1).cast("bigint").alias("k"), (s(F.col(ts)) - F.coalesce(F.lag(s(F.col(ts))).over(w), s(begin))).alias("seconds"))
-    closing = df.groupBy(*by).agg(F.count("*").alias("k"), (s(end) - F.max(s(F.col(ts)))).alias("seconds"))
+    s = lambda c: F.unix_micros(c.cast("timestamp"))
+    inner = df.select(*by, (F.row_number().over(w) - 1).cast("bigint").alias("k"), ((s(F.col(ts)) - F.coalesce(F.lag(s(F.col(ts))).over(w), s(begin))) / 1e6).alias("seconds"))
+    closing = df.groupBy(*by).agg(F.count("*").alias("k"), ((s(end) - F.max(s(F.col(ts)))) / 1e6).alias("seconds"))
     return inner.unionByName(closing)
 
 

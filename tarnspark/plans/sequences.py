@@ -112,10 +112,10 @@ def merge_intervals(spark, d):
 
 
 @query("""WITH k AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS k FROM events)
-  SELECT user_id, k, round((t - coalesce(lag(t) OVER (PARTITION BY user_id ORDER BY t, k), epoch_us(TIMESTAMP '2024-01-01'))) / 1e6, 3) AS seconds FROM k
-  UNION ALL SELECT user_id, count(*), round((epoch_us(TIMESTAMP '2024-02-01') - max(t)) / 1e6, 3) FROM k GROUP BY 1""")
+  SELECT user_id, k, round((t - coalesce(lag(t) OVER (PARTITION BY user_id ORDER BY t, k), epoch_us(TIMESTAMP '2024-01-01'))) / 1e6, 6) AS seconds FROM k
+  UNION ALL SELECT user_id, count(*), round((epoch_us(TIMESTAMP '2024-02-01') - max(t)) / 1e6, 6) FROM k GROUP BY 1""")
 def interarrivals(spark, d):
-    return rounded(W.interarrivals(_events(spark, d), "ts", _BY, F.lit("2024-01-01").cast("timestamp"), F.lit("2024-02-01").cast("timestamp")), 3)
+    return rounded(W.interarrivals(_events(spark, d), "ts", _BY, F.lit("2024-01-01").cast("timestamp"), F.lit("2024-02-01").cast("timestamp")), 6)
 
 
 @query("SELECT user_id, bool_and((event_type = 'purchase') = (lead_id IS NULL)) AS valid FROM (SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lead_id FROM events) GROUP BY 1")
