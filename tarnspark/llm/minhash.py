@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -17,6 +17,8 @@ from . import shared
 PERMUTATIONS = 60
 #: The chance that a pair just at the threshold shares no band.
 MISSED = 1e-6
+#: Bits of the filter on document ids, and counters of shingles: both bounded, whatever the input.
+FILTER_BITS, COUNTERS = 1 << 23, 1 << 19
 
 
 @lru_cache(maxsize=4)
@@ -123,6 +125,17 @@ def sketch(docs: DataFrame, *, shingle: int, threshold: float, key: str = "doc_i
     return shared.map_arrow(rows, run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
+def _maybe_in(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of docs whose key may be among `ids` (one column), by a bitmap of key hashes: 1 MB is broadcast, whatever
+    the size of ids. A row that is kept in error is left to the join that follows; none is dropped in error."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    bits = ids.select(slot(F.col(ids.columns[0])).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits"))
+    at = F.bitmap_bit_position(slot(F.col(key)))
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = docs.withColumn("_bucket", F.bitmap_bucket_number(slot(F.col(key)))).join(F.broadcast(bits), "_bucket")
+    return found.filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*docs.columns)
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """The shingle sets of the nodes (node = doc_id of the text that stands for them), from the texts once more."""
 
@@ -135,7 +148,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.record_batch({"node": part.column("doc_id"), "shingles": sets}).filter(pa.array(same))
 
-    rows = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text", "k1", "k2")
+    rows = _maybe_in(docs.select("doc_id", "text"), nodes.select("node"), "doc_id")
+    rows = rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text", "k1", "k2")
     return shared.map_arrow(rows, run, "node long, shingles array<long>")
 
 
@@ -172,21 +186,53 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall to each of COUNTERS counters; that many numbers come to the driver, at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("shingles").flatten().to_numpy().view(np.uint64) % np.uint64(COUNTERS), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"counter": pa.array(at, pa.int32()), "n": pa.array(total[at])})
+
+    found = shared.map_arrow(sets.select("shingles"), count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[found["counter"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
 def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components among the nodes of open buckets that can reach percent, by prefix and position.
 
     open_: bucket, node, n, component, and main, the bucket's largest component. One node of each pair stands aside of it.
 
-    Shingles are ordered by how many of these nodes hold them, the rarest first. Two sets of n and m that reach it share
-    at least percent / (100 + percent) of n + m; so they share a shingle at places i and j of their orders with at least as
-    many from there on in both. Copies edited apart differ in their rarest shingles, and are not even paired.
+    Shingles are ordered by the counts of their counters (`shingle_counts`), the rarest first, then by hash: any one order
+    serves. Two sets of n and m that reach percent share at least percent / (100 + percent) of n + m; so they share a
+    shingle at places i and j of their orders with at least as many from there on in both. Copies edited apart differ in
+    their rarest shingles, and are not even paired. Only prefixes, a seventh of all shingles at 85 percent, are dealt out.
     """
+    counts = shingle_counts(sets)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("shingles")
+            starts = lists.offsets.to_numpy().astype(np.int64)
+            starts -= starts[0]
+            token = lists.flatten().to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
+            order = np.lexsort((token, counts[token % np.uint64(COUNTERS)], row))
+            place = np.arange(len(token)) - starts[row]
+            keep = (np.diff(starts)[row] - place) * 100 >= percent * np.diff(starts)[row]
+            at = pa.array(row[keep])
+            columns = {c: batch.column(c).take(at) for c in ("node", "n", "component", "aside")}
+            yield pa.record_batch({"token": pa.array(token[order][keep].view(np.int64)), **columns, "i": pa.array(place[keep])})
+
     nodes = open_.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.max((F.col("component") != F.col("main")).cast("int")).alias("aside"))
-    tokens = nodes.join(sets, "node").select("node", "n", "component", "aside", F.explode("shingles").alias("token"))
-    held = tokens.groupBy("token").agg(F.count("*").alias("c"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("c", "token")) - 1
-    prefix = tokens.join(held, "token").withColumn("i", place).filter((F.col("n") - F.col("i")) * 100 >= percent * F.col("n"))
-    prefix = shared.written(prefix.filter("c > 1").select("token", "node", "n", "component", "aside", "i"), "prefixes")
+    held = nodes.join(sets, "node").select("node", "n", "component", "aside", "shingles")
+    prefix = shared.written(shared.map_arrow(held, cut, "token long, node long, n long, component long, aside int, i long"), "prefixes")
     x = prefix.filter("aside = 1").select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), F.col("i").alias("ai"))
     y = prefix.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("i").alias("bi"), "aside")
     enough = F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) * (100 + percent) >= percent * (F.col("an") + F.col("bn"))
