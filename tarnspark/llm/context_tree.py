@@ -59,7 +59,7 @@ class Lookup:
     """A hash table of whole arrays: distinct keys of 0 and more, and a value for each."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(2.5 * max(1, len(keys))).bit_length())
+        bits = max(4, int(1.5 * max(1, len(keys))).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits)
         at, left = self._slot(keys), np.arange(len(keys))
@@ -201,6 +201,8 @@ def _count(table: pa.Table) -> pa.Table:
     g, n = _merge(grams, times)
     for w in held:
         words.setdefault(w, 0)
+    del grams, times, held
+    pa.default_memory_pool().release_unused()  # the worker serves further blocks
     block = table["block"][0].as_py() if table.num_rows else 0
     return pa.table(
         {
@@ -264,7 +266,7 @@ class Top:
         return out
 
 
-def score(docs: DataFrame, *, block_bytes: int = 28 << 20) -> DataFrame:
+def score(docs: DataFrame, *, block_bytes: int = 20 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text, held_out).
 
     Learns from the rows that aren't held out, and scores all. A text is its words (parted by ASCII white space, A-Z in
@@ -309,8 +311,9 @@ def score(docs: DataFrame, *, block_bytes: int = 28 << 20) -> DataFrame:
     def apply(table: pa.Table, values: pa.Table) -> pa.Table:
         kind = values["kind"].to_numpy()
         key, known = values["key"].to_numpy(), values["value"].to_numpy()
-        gram_keys, gram_values, word_keys, word_values = key[kind == GRAM], known[kind == GRAM], key[kind == WORD], known[kind == WORD]
-        of_gram = Lookup(gram_keys, gram_values)
+        word_keys, word_values = key[kind == WORD], known[kind == WORD]
+        of_gram = Lookup(key[kind == GRAM], known[kind == GRAM])
+        del kind, key, known, values
         own: Counter = Counter()
         for part, texts in _parts(table):
             for skip, w in zip(part.column("held_out").to_pylist(), texts, strict=True):
