@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import modelling, profile, relations, sequences
+from . import modelling, profile, relations, scalars, sequences
 from .register import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "modelling", "profile", "relations", "sequences"]
+__all__ = ["ORACLES", "QUERIES", "modelling", "profile", "relations", "scalars", "sequences"]
