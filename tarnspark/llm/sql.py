@@ -1,5 +1,9 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+from __future__ import annotations
+
+from .line_cleaning import BOILERPLATE, NAVIGATION
+
 OP1 = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -25,4 +29,31 @@ SELECT conv_id, count(*) AS n_turns,
 FROM placed GROUP BY conv_id
 """
 
-ORACLES = {"op1_prefix_targets": OP1}
+_GAP = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]+"
+_ITEM = rf"{_WORD}(?:{_GAP}+[^\x20\x09-\x0D|>»]+){{0,2}}"
+_SYMBOLS = "[#*$%&|<>]"
+
+OP10 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_WORD}') AS w, string_split(t, chr(10)) AS lines FROM d),
+windows AS (SELECT r, unnest([array_to_string(w[k:k + 4], ' ') for k in range(1, len(w) - 3)]) AS v, unnest(range(1, len(w) - 3)) AS k FROM w),
+again AS (SELECT r, k FROM windows QUALIFY count(*) OVER (PARTITION BY r, v) > 1),
+covered AS (SELECT r, sum(n)::BIGINT AS n FROM (SELECT r, least(5, coalesce(lead(k) OVER (PARTITION BY r ORDER BY k) - k, 5)) AS n FROM again) GROUP BY r),
+line AS (SELECT r, unnest(lines) AS x, unnest(range(len(lines))) AS k FROM w),
+judged AS (SELECT r, x, k, regexp_matches(x, '{_WORD}') AND (
+    length(x) - length(regexp_replace(x, '{_SYMBOLS}', '', 'g')) > 0.1 * length(regexp_replace(x, '{_GAP}', '', 'g'))
+    OR NOT regexp_matches(x, '[.!?;:,…。！？"''”’)\]]') AND NOT regexp_matches(x, '(?:{_WORD}{_GAP}+){{3}}{_WORD}')
+    OR regexp_matches(trim(x, ' '), '^{_ITEM}(?:{_GAP}+[|>»]{_GAP}+{_ITEM}){{2,100}}$')
+    OR length(trim(x, ' ')) <= 600 AND regexp_matches(lower(trim(x, ' ')), '^(?:(?:{"|".join(NAVIGATION)})(?:{_GAP}|$){{1,3}}){{1,50}}$')
+    OR regexp_matches(lower(x), '{"|".join(BOILERPLATE)}')) AS fails FROM line),
+kept AS (SELECT r, coalesce(sum(length(regexp_replace(x, '{_GAP}', '', 'g'))) FILTER (NOT fails), 0) AS left_chars,
+    count(*) FILTER (regexp_matches(x, '{_WORD}')) - count(DISTINCT x) FILTER (regexp_matches(x, '{_WORD}')) AS n_dup_lines FROM judged GROUP BY r),
+counted AS (SELECT w.r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '{_SYMBOLS}', '', 'g')))::BIGINT AS n_symbols, n_dup_lines, coalesce(n, 0) AS n_repeat_words, left_chars
+  FROM w JOIN kept ON w.r = kept.r LEFT JOIN covered ON covered.r = w.r),
+scored AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN 1 - left_chars / word_chars ELSE 0 END::DOUBLE AS lost FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 AS kept, round(lost, 6) AS lost FROM scored
+"""
+
+ORACLES = {"op1_prefix_targets": OP1, "op10_line_cleaning": OP10}
