@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import previous
+
 #: Days of the week for next_day, Sunday first.
 DAYS = ("SU", "MO", "TU", "WE", "TH", "FR", "SA")
 
@@ -165,7 +167,7 @@ def datetime_summary(df: DataFrame, ts: str) -> DataFrame:
     t = df.filter(F.col(ts).isNotNull()).select(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
     n = t.agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n"))
     times = t.distinct()
-    g = times.select((F.col("t") - F.lag("t").over(Window.orderBy("t"))).alias("g")).filter("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("c"))
+    g = previous(times, "t", "p").select((F.col("t") - F.col("p")).alias("g")).filter("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("c"))
     m = g.agg(F.min("g").alias("least"), (F.max("c") / F.sum("c")).alias("modal_share"))
     return n.crossJoin(m).select(F.timestamp_micros("a").alias("first"), F.timestamp_micros("b").alias("last"), ((F.col("b") - F.col("a")) / 1e6).alias("seconds"), (F.col("least") / 1e6).alias("granularity"), "modal_share", F.try_divide(F.col("n") * 86400e6, F.col("b") - F.col("a")).alias("a_day"))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnspark.functions.ordered import running
+
 
 def clean(x: Column | str) -> Column:
     """A number with NaN as NULL."""
@@ -109,8 +111,8 @@ def level_counts(df: DataFrame, x: str, levels: Sequence[str]) -> DataFrame:
 def collapse_top(df: DataFrame, x: str, k: int, other: str = "[Other]") -> DataFrame:
     """level, n: levels whose count is among the k largest counts (ties stay), all the rest as one."""
     n = df.filter(F.col(x).isNotNull()).groupBy(F.col(x).alias("level")).agg(F.count("*").alias("n"))
-    ranked = n.withColumn("r", F.rank().over(Window.orderBy(F.desc("n"))))
-    return ranked.groupBy(F.when(F.col("r") <= k, F.col("level")).otherwise(other).alias("level")).agg(F.sum("n").alias("n"))
+    least = n.orderBy(F.desc("n")).limit(k).agg(F.min("n").alias("_least"))  # one row
+    return n.join(F.broadcast(least)).groupBy(F.when(F.col("n") >= F.col("_least"), F.col("level")).otherwise(other).alias("level")).agg(F.sum("n").alias("n"))
 
 
 def crosstab(df: DataFrame, a: str, b: str, levels: Sequence[str]) -> DataFrame:
@@ -225,9 +227,9 @@ def chi_square_one_way(df: DataFrame, x: str, expected: dict[str, float]) -> Dat
 def ecdf(df: DataFrame, x: str) -> DataFrame:
     """value, at_most (share of rows <= value), below (share of rows < value), one row a distinct value."""
     n = df.filter(clean(F.col(x)).isNotNull()).groupBy(F.col(x).alias("value")).agg(F.count("*").alias("n"))
-    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    c, total = F.sum("n").over(upto), F.sum("n").over(Window.partitionBy())
-    return n.select("value", (c / total).alias("at_most"), ((c - F.col("n")) / total).alias("below"))
+    total = n.agg(F.sum("n").alias("_total"))
+    c = F.col("_upto")
+    return running(n, "value", "n", "_upto").join(F.broadcast(total)).select("value", (c / F.col("_total")).alias("at_most"), ((c - F.col("n")) / F.col("_total")).alias("below"))
 
 
 def ecdf_at(df: DataFrame, x: str, points: Sequence[float]) -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnspark.functions.ordered import numbered, running
+
 
 # --- rows and columns ---
 
@@ -50,8 +52,7 @@ def permute(df: DataFrame, place: str, mapping: DataFrame) -> DataFrame:
 
 def every_kth(df: DataFrame, key: str, k: int, burn: int = 0) -> DataFrame:
     """Rows after the first `burn` by key, every k-th of them."""
-    n = F.row_number().over(Window.orderBy(key))
-    return df.withColumn("_n", n).filter((F.col("_n") > burn) & ((F.col("_n") - burn) % k == 0)).drop("_n")
+    return numbered(df, key, "_n").filter((F.col("_n") > burn) & ((F.col("_n") - burn) % k == 0)).drop("_n")
 
 
 # --- joins ---
@@ -122,11 +123,10 @@ def resample(df: DataFrame, weight: str, key: str, n: int, seed: int = 0) -> Dat
     """
     w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
     rows = df.withColumn("_w", w).filter("_w > 0")
-    upto = F.sum("_w").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     total = rows.agg(F.sum("_w").alias("_t"))
     jitter = (seed * 0.618033988749895) % 1.0
     points = lambda x: F.floor(x / F.col("_t") * n + jitter)
-    counted = rows.withColumn("_c", upto).join(F.broadcast(total)).withColumn("draws", (points(F.col("_c")) - points(F.col("_c") - F.col("_w"))).cast("bigint"))
+    counted = running(rows, key, "_w", "_c").join(F.broadcast(total)).withColumn("draws", (points(F.col("_c")) - points(F.col("_c") - F.col("_w"))).cast("bigint"))
     return counted.filter("draws > 0").drop("_w", "_c", "_t")
 
 
