@@ -172,7 +172,7 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def _word_key(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(word) >> 1
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -189,12 +189,13 @@ def _count(table: pa.Table) -> pa.Table:
         b = np.unique(keys[~learned])
         grams += [a, b]
         times += [n, np.zeros(len(b), dtype=np.int64)]
-        if sum(map(len, grams)) > 3_000_000:
+        if sum(map(len, grams)) > 1_500_000:
             g, n = _merge(grams, times)
             grams, times = [g], [n]
         for skip, w in zip(out.tolist(), texts, strict=True):
             if skip:
                 held.update(w)
+                held.add(b"\n")
             else:
                 words.update(w)
                 words[b"\n"] += 1
@@ -202,7 +203,7 @@ def _count(table: pa.Table) -> pa.Table:
     for w in held:
         words.setdefault(w, 0)
     del grams, times, held
-    pa.default_memory_pool().release_unused()  # the worker serves further blocks
+    shared.release_memory()
     block = table["block"][0].as_py() if table.num_rows else 0
     return pa.table(
         {
@@ -266,7 +267,7 @@ class Top:
         return out
 
 
-def score(docs: DataFrame, *, block_bytes: int = 20 << 20) -> DataFrame:
+def score(docs: DataFrame, *, block_bytes: int = 14 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text, held_out).
 
     Learns from the rows that aren't held out, and scores all. A text is its words (parted by ASCII white space, A-Z in
@@ -277,7 +278,7 @@ def score(docs: DataFrame, *, block_bytes: int = 20 << 20) -> DataFrame:
        byte) and words with counts, which are summed over blocks. What is gathered grows with the texts.
     2. Grams are dealt by their nearest two context bytes, so each task holds whole subtrees of distinct grams and
        weights them from the longest contexts up; sums for the nodes at depth 1 (65,280 at most) go to the driver.
-    3. Each block gets back the values of its own grams, and of its words that other blocks hold too, and scores its texts.
+    3. Each block gets back the values of its own grams and words, and scores its texts.
 
     No model is broadcast but the nodes of depths 0 and 1. A null or empty text is its end alone. Null doc_ids and
     repeated rows are rows like others. Without rows to learn from each bit costs one bit. No rows: no rows.
@@ -306,37 +307,27 @@ def score(docs: DataFrame, *, block_bytes: int = 20 << 20) -> DataFrame:
 
     grams = shared.map_arrow(grown.filter("kind = 0").select("key", "blocks", "p"), value, "key long, blocks array<int>, value double")
     grams = grams.select(F.explode("blocks").alias("block"), F.lit(GRAM).alias("kind"), "key", "value")
-    words = summed.filter((F.col("kind") == WORD) & (F.size("blocks") > 1)).select(F.explode("blocks").alias("block"), "kind", "key", F.col("n").cast("double").alias("value"))
+    words = summed.filter(F.col("kind") == WORD).select(F.explode("blocks").alias("block"), "kind", "key", F.col("n").cast("double").alias("value"))
 
     def apply(table: pa.Table, values: pa.Table) -> pa.Table:
         kind = values["kind"].to_numpy()
         key, known = values["key"].to_numpy(), values["value"].to_numpy()
-        word_keys, word_values = key[kind == WORD], known[kind == WORD]
         of_gram = Lookup(key[kind == GRAM], known[kind == GRAM])
+        of_word = Lookup(key[kind == WORD], np.log10(known[kind == WORD] + 1) - base)
         del kind, key, known, values
-        own: Counter = Counter()
-        for part, texts in _parts(table):
-            for skip, w in zip(part.column("held_out").to_pylist(), texts, strict=True):
-                if not skip:
-                    own.update(w)
-                    own[b"\n"] += 1
-        elsewhere = dict(zip(word_keys.tolist(), word_values.tolist(), strict=True))
         out = []
-        cost: dict[bytes, float] = {}
-
-        def look(word: bytes) -> float:
-            n = elsewhere.get(_word_key(word))
-            cost[word] = found = math.log10((own[word] if n is None else n) + 1) - base
-            return found
-
-        nothing = -base
         for part, texts in _parts(table):
             keys, starts = keys_of(texts)
             totals = np.add.reduceat(of_gram(keys), starts)
+            distinct = list({b"\n"}.union(*texts))
+            costs = of_word(np.fromiter(map(_word_key, distinct), dtype=np.int64, count=len(distinct)))
+            cost, unknown = dict(zip(distinct, costs.tolist(), strict=True)), -base
             for k, w in enumerate(texts):
-                each = [cost[x] if x in cost else look(x) for x in (*w, b"\n")]
-                out.append((len(each), sum(e > nothing for e in each), math.fsum(each), totals[k]))
+                each = [cost[x] for x in (*w, b"\n")]
+                out.append((len(each), sum(e > unknown for e in each), math.fsum(each), totals[k]))
         fields = list(zip(*out, strict=True)) if out else [[]] * 4
+        del of_gram, of_word
+        shared.release_memory()
         return pa.table(
             {
                 "doc_id": table["doc_id"],

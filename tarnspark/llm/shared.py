@@ -1,12 +1,11 @@
-"""What the operators of this subpackage share: tables, written stages, and the chunk encoder.
-"""
+"""What the operators of this subpackage share: tables, written stages, and the chunk encoder."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, repeat
@@ -17,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnspark.functions.folders import new_path
 from tarnspark.functions.shipping import ship
 
 #: Code points that part words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -38,22 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. A local session without one gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="tarnspark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: its lineage ends there and lost executors cost nothing."""
     path = new_path(df.sparkSession, name)
@@ -77,6 +61,13 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: a worker lives on after its task, beside those of other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts_for(spark: SparkSession, n_bytes: int, each: int) -> int:
     """So many partitions that each holds about `each` bytes, and no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / each))
