@@ -20,8 +20,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnspark.functions.shipping import ship
-
 from . import shared
 
 #: Bytes of context. A context and its byte are one 64-bit key: nearest byte first, the byte itself last.
@@ -160,7 +158,7 @@ def _texts(docs: DataFrame, n_blocks: int) -> DataFrame:
 
 def _parts(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     for batch in table.to_batches(max_chunksize=2000):
-        for part in shared.blocks_of(batch, "text", 2 << 20):
+        for part in shared.blocks_of(batch, "text", 1 << 20):
             yield part, [words_of(t) for t in part.column("text").to_pylist()]
 
 
@@ -189,7 +187,7 @@ def _count(table: pa.Table) -> pa.Table:
         b = np.unique(keys[~learned])
         grams += [a, b]
         times += [n, np.zeros(len(b), dtype=np.int64)]
-        if sum(map(len, grams)) > 1_500_000:
+        if sum(map(len, grams)) > 1_000_000:
             g, n = _merge(grams, times)
             grams, times = [g], [n]
         for skip, w in zip(out.tolist(), texts, strict=True):
@@ -284,7 +282,7 @@ def score(docs: DataFrame, *, block_bytes: int = 14 << 20) -> DataFrame:
     repeated rows are rows like others. Without rows to learn from each bit costs one bit. No rows: no rows.
     """
     spark = docs.sparkSession
-    ship(spark)
+    shared.prepare(spark)
     n_blocks = max(1, math.ceil(shared.text_bytes(docs) / block_bytes))
     texts = _texts(docs, n_blocks)
     counted = texts.groupBy("block").applyInArrow(_count, "block int, kind int, key long, n long")

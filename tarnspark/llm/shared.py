@@ -50,14 +50,19 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first().n or 0
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow, with this package on the executors, in batches of BATCH_ROWS unless the session sets its own number.
+def prepare(spark: SparkSession) -> None:
+    """Before Arrow batches: this package on the executors, and batches of BATCH_ROWS unless the session sets its own number.
 
     Texts of a few thousand characters fill tens of MB in Spark's usual batch, held by the JVM and the worker at once.
     """
-    ship(df.sparkSession)
-    if df.sparkSession.conf.get(_BATCH) == "10000":
-        df.sparkSession.conf.set(_BATCH, BATCH_ROWS)
+    ship(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow, prepared for."""
+    prepare(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
