@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarnspark.operators import compare
 
 from .profile import rounded
-from .register import query, table
+from .register import ORACLES, query, table
 
 
 @query("""WITH c AS (SELECT sum((event_type = 'purchase')::INT) FILTER (user_id % 2 = 0) AS y1, count(*) FILTER (user_id % 2 = 0) AS n1,
@@ -19,6 +19,12 @@ def compare_proportions(spark, d):
     return rounded(compare.compare_proportions(events, "g", F.col("event_type") == "purchase", 0, 1))
 
 
+@query(ORACLES["compare_proportions"].replace(" WHERE event_id < 800", ""))
+def compare_proportions_all(spark, d):
+    events = table(spark, d, "events").withColumn("g", F.col("user_id") % 2)
+    return rounded(compare.compare_proportions(events, "g", F.col("event_type") == "purchase", 0, 1))
+
+
 @query("""WITH s AS (SELECT count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, sum((y - x) ** 2) AS sse0, regr_syy(y, x) - regr_slope(y, x) ** 2 * regr_sxx(y, x) AS sse1
     FROM (SELECT l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem))
   SELECT n, round(intercept, 6) AS intercept, round(slope, 6) AS slope, round((sse0 - sse1) / 2 / (sse1 / (n - 2)), 4) AS f FROM s""")

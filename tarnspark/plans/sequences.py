@@ -9,7 +9,7 @@ from tarnspark.functions import dates as D
 from tarnspark.operators import windows as W
 
 from .profile import rounded
-from .register import query, table
+from .register import ORACLES, query, table
 
 _BY, _ORDER = ["user_id"], ["ts", "event_id"]
 
@@ -212,6 +212,11 @@ def regularity(spark, d):
     return D.regularity(_events(spark, d).filter("event_id % 5 = 0").select(F.to_date("ts").alias("d")), "d")
 
 
+@query(ORACLES["regularity"].replace(" WHERE event_id % 5 = 0", ""))
+def regularity_all(spark, d):
+    return D.regularity(_events(spark, d).select(F.to_date("ts").alias("d")), "d")
+
+
 @query("""WITH x AS (SELECT o_orderdate::DATE AS d, count(*) AS n FROM orders WHERE o_orderkey % 40 = 0 GROUP BY 1), g AS (SELECT unnest(range((SELECT min(d) FROM x), (SELECT max(d) FROM x) + 1, INTERVAL 1 DAY))::DATE AS d)
   SELECT strftime(d, '%Y-%m-%d') AS day, row_number() OVER (ORDER BY d) - 1 AS place, n, n IS NOT NULL AS observed FROM g LEFT JOIN x USING (d)""")
 def regularize(spark, d):
@@ -219,6 +224,12 @@ def regularize(spark, d):
     return D.regularize(x, "d").select(_iso("d").alias("day"), F.col("place").cast("bigint").alias("place"), "n", "observed")
 
 
+@query(ORACLES["regularize"].replace(" WHERE o_orderkey % 40 = 0", ""))
+def regularize_all(spark, d):
+    x = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count("*").alias("n"))
+    return D.regularize(x, "d").select(_iso("d").alias("day"), F.col("place").cast("bigint").alias("place"), "n", "observed")
+
+
 @query("SELECT k, strftime(CASE WHEN last_day(d) = d THEN last_day(d + to_months(k::INT)) ELSE d + to_months(k::INT) END, '%Y-%m-%d') AS day FROM (SELECT last_day(max(o_orderdate::DATE)) AS d FROM orders), range(1, 13) AS r(k)")
 def extend_months(spark, d):
     ends = table(spark, d, "orders").select(F.last_day("o_orderdate").alias("day"))
