@@ -168,9 +168,11 @@ def _slots(groups: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.nd
     return table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), base
 
 
-def pack(docs: DataFrame, *, tokenizer: str, end_id: int, max_len: int = 4096, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, end_id: int, max_len: int = 4096, key: str = "doc_id", text: str = "text", with_ids: bool = True, as_bytes: bool = False, vocabulary: int = 1 << 16) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids unless with_ids is false.
 
+    Ids are dealt as bytes, two an id if `vocabulary` allows, four otherwise; as_bytes leaves them so.
+
     A document's ids and end_id form one piece, or several of max_len (the last may be shorter) if there are more.
     Tokens are made once, into a written table. The histogram of piece lengths (max_len numbers at most) goes to the
     driver, which plans the sequences (`plan`). A piece's rank among those of its length, counted by input partition and
@@ -179,6 +181,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int, max_len: int = 4096, k
     Null texts count as empty: the end id alone. Null and repeated keys are rows like others. No rows: no rows.
     """
     spark = docs.sparkSession
+    kind = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, part_id = np.zeros(max_len + 1, dtype=np.int64), TaskContext.get().partitionId()
@@ -200,17 +203,21 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int, max_len: int = 4096, k
                 "piece": pa.array(piece, pa.int32()),
                 "start": pa.array(start, pa.int64()),
                 "length": pa.array(length, pa.int64()),
-                "ids_crc32": pa.array(ids_crc32(ids, cuts), pa.int64()),
                 "part": pa.array(np.full(len(row), part_id), pa.int32()),
                 "rank": pa.array(rank, pa.int64()),
             }
-            if with_ids:
-                out["ids"] = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))
+            if not with_ids:
+                out["ids_crc32"] = pa.array(ids_crc32(ids, cuts), pa.int64())
+            else:
+                if ids.max(initial=0) >= vocabulary:
+                    raise ValueError(f"id {ids.max()} is beyond the vocabulary of {vocabulary}")
+                out["ids"] = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((cuts * kind.itemsize).astype(np.int32)), pa.py_buffer(ids.astype(kind))])
             yield pa.record_batch(out)
 
-    own = ", ids array<int>" if with_ids else ""
+    made = "ids binary" if with_ids else "ids_crc32 long"
+    own = (", ids binary" if as_bytes else ", ids array<int>") if with_ids else ""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    pieces = shared.written(shared.map_arrow(rows, cut, f"doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long{own}"), "pieces")
+    pieces = shared.written(shared.map_arrow(rows, cut, f"doc_id long, piece int, start long, length long, part int, rank long, {made}"), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     groups = plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, max_len)
     keys, bases, offsets, _ = _slots(groups)
@@ -224,29 +231,86 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int, max_len: int = 4096, k
                 continue
             rank = batch.column("rank").to_numpy()
             at = np.searchsorted(keys, batch.column("length").to_numpy() << 40 | rank, side="right") - 1
-            columns = {n: batch.column(n) for n in batch.schema.names if n != "rank"}
+            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("rank", "ids")}
+            if with_ids:
+                length = batch.column("length").to_numpy()
+                cuts = np.append(0, np.cumsum(length))
+                ids = _decoded(batch.column("ids"), int(cuts[-1]))
+                columns["ids_crc32"] = pa.array(ids_crc32(ids, cuts), pa.int64())
+                columns["ids"] = batch.column("ids") if as_bytes else pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))
             columns["sequence_id"] = pa.array(bases[at] + rank - (keys[at] & (1 << 40) - 1), pa.int64())
             columns["offset"] = pa.array(offsets[at], pa.int64())
             yield pa.record_batch(columns)
 
-    picked = placed.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "rank")
+    picked = placed.select("doc_id", "piece", "start", "length", "ids" if with_ids else "ids_crc32", "rank")
     return shared.map_arrow(picked, place, f"doc_id long, piece int, start long, length long, ids_crc32 long{own}, sequence_id long, offset long")
 
 
+def _decoded(column: pa.Array, n: int) -> np.ndarray:
+    """The n ids of all values of a binary column in a row."""
+    data = pa.concat_arrays([column]).cast(pa.large_binary())
+    offsets = np.frombuffer(data.buffers()[1], dtype=np.int64)[data.offset : data.offset + len(data) + 1]
+    raw = np.frombuffer(data.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if n else np.zeros(0, dtype=np.uint8)
+    return raw.view(np.dtype(f"<u{len(raw) // n}") if n else np.uint8)
+
+
 def sequences(packed: DataFrame) -> DataFrame:
-    """One row for each sequence of `pack(..., with_ids=True)`: sequence_id, input_ids, doc_ids, lengths (of its pieces, in order)."""
-    rows = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p"))
+    """One row for each sequence of `pack(..., with_ids=True)`: sequence_id, input_ids, doc_ids, lengths, pieces and starts (of its pieces, in order).
+
+    input_ids are an array, or bytes if the pieces' are.
+    """
+    fields = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
+    rows = packed.select("sequence_id", fields.alias("p")).repartition("sequence_id").groupBy("sequence_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    as_bytes = dict(packed.dtypes)["ids"] == "binary"
+    joined = F.aggregate("p", F.lit(b""), lambda all_ids, x: F.concat(all_ids, x.ids)) if as_bytes else F.flatten(F.transform("p", lambda x: x.ids))
     return rows.select(
         "sequence_id",
-        F.flatten(F.transform("p", lambda x: x.ids)).alias("input_ids"),
+        joined.alias("input_ids"),
         F.transform("p", lambda x: x.doc_id).alias("doc_ids"),
-        F.transform("p", lambda x: F.size(x.ids)).alias("lengths"),
+        F.transform("p", lambda x: x.length.cast("int")).alias("lengths"),
+        F.transform("p", lambda x: x.piece).alias("pieces"),
+        F.transform("p", lambda x: x.start).alias("starts"),
     )
 
 
+def unpacked(whole: DataFrame, with_ids: bool = False) -> DataFrame:
+    """The pieces of `sequences`, read back from input_ids: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for."""
+
+    as_bytes = dict(whole.dtypes)["input_ids"] == "binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lengths = batch.column("lengths")
+            count, length = lengths.value_lengths().to_numpy(), lengths.flatten().to_numpy().astype(np.int64)
+            cuts = np.append(0, np.cumsum(length))
+            ids = _decoded(batch.column("input_ids"), int(cuts[-1])) if as_bytes else batch.column("input_ids").flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), count)
+            first = cuts[np.append(0, np.cumsum(count))]
+            out = {
+                "doc_id": batch.column("doc_ids").flatten(),
+                "piece": batch.column("pieces").flatten(),
+                "start": batch.column("starts").flatten(),
+                "length": pa.array(length),
+                "ids_crc32": pa.array(ids_crc32(ids, cuts), pa.int64()),
+                "sequence_id": batch.column("sequence_id").take(pa.array(row)),
+                "offset": pa.array(cuts[:-1] - first[row]),
+            }
+            if with_ids:
+                out["ids"] = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))
+            yield pa.record_batch(out)
+
+    own = ", ids array<int>" if with_ids else ""
+    return shared.map_arrow(whole, cut, f"doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long{own}")
+
+
 def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(shared.table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=1, with_ids=False)
+    packed = pack(shared.table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=1, as_bytes=True)
+    return unpacked(sequences(packed))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=1, with_ids=False)
+    """The pieces of the packed sequences with their ids, which follow one another by sequence_id and offset."""
+    packed = pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=1, as_bytes=True)
+    return unpacked(sequences(packed), with_ids=True)

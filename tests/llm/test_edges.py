@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns; and each operator's own general form."""
 
 import math
+import zlib
 
 import brute
 import numpy as np
@@ -162,6 +163,26 @@ def test_packing(spark, docs, none):
     assert all(len(r.input_ids) == sum(r.lengths) and len(r.doc_ids) == len(r.lengths) for r in whole) and len(whole) == len(total)
 
 
+def test_packed_sequences_hold_the_ids_that_pieces_are_read_from(spark, docs, none, tmp_path):
+    packed = packing.pack(docs, tokenizer=WORDS, end_id=1, max_len=64)
+    placed = shared.written(packed, "placed")
+    fields = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"]
+    rows = [tuple(r) for r in packing.unpacked(packing.sequences(placed), with_ids=True).collect()]
+    assert sorted(rows, key=repr) == sorted((tuple(r[c] for c in fields) for r in placed.collect()), key=repr)
+    short = packing.unpacked(packing.sequences(packing.pack(docs, tokenizer=WORDS, end_id=1, max_len=64, as_bytes=True)), with_ids=True).collect()
+    wide = packing.unpacked(packing.sequences(packing.pack(docs, tokenizer=WORDS, end_id=1, max_len=64, as_bytes=True, vocabulary=1 << 17)), with_ids=True).collect()
+    assert sorted(([r.length, r.ids_crc32, r.ids] for r in short)) == sorted(([r.length, r.ids_crc32, r.ids] for r in wide)) == sorted([r[3], r[4], r[7]] for r in rows)
+    assert all(r[4] == zlib.crc32(np.array(r[7], dtype="<u4").tobytes()) for r in rows)
+    assert packing.unpacked(packing.sequences(packing.pack(none, tokenizer=WORDS, end_id=1))).count() == 0
+    documents = spark.createDataFrame([(k, "some words of a document " * k) for k in range(5)], "doc_id long, text string")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    whole = {}
+    for r in packing.packing_stage(spark, documents, str(tmp_path)).collect():
+        whole.setdefault(r.sequence_id, []).append((r.offset, r.ids))
+    assert all(o == sum(len(x) for p, x in places if p < o) and ids[-1] == 1 for places in whole.values() for o, ids in places)
+    assert sum(len(places) for places in whole.values()) == 5
+
+
 def test_plan_places_all_and_fills():
     rng = np.random.default_rng(2)
     lengths = np.minimum(4096, np.maximum(1, rng.lognormal(6.2, 0.9, 20_000))).astype(int)
