@@ -71,14 +71,32 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > 5, some).otherwise(none)
 
 
+def _is_menu(trimmed: Column) -> Column:
+    """Whether the words are three items or more of one to three words, parted by words that are | or > or » alone.
+
+    Goes word by word, as regular expressions can't repeat so long a group: four for each separator so far (two at most
+    are counted), and one for each word of the item at hand; -1 once it fails.
+    """
+
+    def step(s: Column, w: Column) -> Column:
+        place = s % 4
+        then = F.when(w.isin("|", ">", "»"), F.least(s - place + 4, F.lit(8))).when((place == 3) | w.rlike("[|>»]"), -1).otherwise(s + 1)
+        return F.when((s < 0) | (w == ""), -1).when(place == 0, s + 1).otherwise(then)
+
+    return F.aggregate(F.split(F.regexp_replace(trimmed, r"\r\z", ""), f"{WORD_GAP}+"), F.lit(0), step) > 8
+
+
+def _all_navigation(low: Column) -> Column:
+    return F.forall(F.split(F.regexp_replace(low, rf"{WORD_GAP}+\z", ""), f"{WORD_GAP}+"), lambda w: w.isin(*NAVIGATION))
+
+
 def _fails(line: Column, marked: Column, symbols: Column, phrases: Column, max_symbols: float, min_fragment: int) -> Column:
     """marked, symbols, phrases: whether the document holds any item mark, symbol or phrase at all; if not, that rule is not looked at."""
     trimmed = F.btrim(line)
     too_many = symbols & (F.length(line) - _without(line, SYMBOLS) > max_symbols * _without(line, WORD_GAP[1:-1]))
     fragment = ~line.rlike(r"[.!?;:,…。！？\"'”’)\]]") & ~trimmed.rlike(rf"(?:{WORD}{WORD_GAP}+){{{min_fragment - 1}}}{WORD}")
-    item = rf"{WORD}(?:{WORD_GAP}+[^\x20\x09-\x0D|>»]+){{0,2}}"
-    items = marked & trimmed.rlike(rf"^{item}(?:{WORD_GAP}+[|>»]{WORD_GAP}+{item}){{2,100}}$")
-    words = (F.length(trimmed) <= 600) & F.lower(trimmed).rlike(rf"^(?:(?:{'|'.join(NAVIGATION)})(?:{WORD_GAP}|$){{1,3}}){{1,50}}$")
+    items = marked & line.rlike("[|>»]") & _is_menu(trimmed)
+    words = F.lower(trimmed).rlike(rf"^(?:{'|'.join(NAVIGATION)})(?:{WORD_GAP}|$)") & _all_navigation(F.lower(trimmed))
     boilerplate = phrases & F.lower(line).rlike("|".join(BOILERPLATE))
     return line.rlike(r"[^\x20\x09-\x0D]") & (fragment | words | too_many | items | boilerplate)
 
@@ -87,7 +105,8 @@ def line_fails(line: Column, max_symbols: float = 0.1, min_fragment: int = 4) ->
     """Whether a line fails a rule; a line without words never does.
 
     Punctuation: over max_symbols of its characters are symbols, or it has fewer than min_fragment words and no
-    sentence mark in it. Navigation: three short items or more parted by | or > or », or navigation words alone.
+    sentence mark in it. Navigation: three items or more of at most three words parted by | or > or », or navigation words
+    alone, however many.
     Boilerplate: it holds a phrase of BOILERPLATE.
     """
     yes = F.lit(True)
