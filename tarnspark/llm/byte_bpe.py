@@ -118,18 +118,20 @@ def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _cuts(data: np.ndarray) -> np.ndarray:
-    """True at a single space between two characters that surely aren't white space: there a new pre-token always begins.
+    """True at a single space between two characters that surely aren't white space, and where an ASCII letter and a mark that
+    is no apostrophe meet: there a new pre-token always begins.
 
-    Beside ASCII only two-byte letters are looked through (lead byte C3 to DF); elsewhere the text isn't cut.
+    At spaces, beside ASCII only two-byte letters are looked through (lead byte C3 to DF); elsewhere the text isn't cut.
     """
     out = np.zeros(len(data), dtype=bool)
     if len(data) < 3:
         return out
+    out[1:] = shared.mark_borders(data)
     solid = (data > 0x20) & (data < 0x7F)
     lead = (data >= 0xC3) & (data <= 0xDF)
     ends = solid.copy()
     ends[1:] |= lead[:-1]
-    out[1:-1] = (data[1:-1] == 0x20) & ends[:-2] & (solid | lead)[2:]
+    out[1:-1] |= (data[1:-1] == 0x20) & ends[:-2] & (solid | lead)[2:]
     return out
 
 
@@ -178,7 +180,7 @@ def encode(docs: DataFrame, *, ranks: str, pattern: str, key: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(ranks, pattern)
         for batch in batches:
-            for part in shared.blocks_of(batch, "text"):
+            for part in shared.blocks_of(batch, "text", 2 << 20):
                 ids, offsets = bpe.chunked(part.column("text"))
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))})
 
@@ -207,7 +209,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(ranks, pattern)
         for batch in batches:
-            for part in shared.blocks_of(batch, "text"):
+            for part in shared.blocks_of(batch, "text", 2 << 20):
                 ids, offsets = bpe.chunked(part.column("text"))
                 data, at = bpe.decode(ids)
                 coded = np.ascontiguousarray(ids.astype("<u4")).data.cast("B")
@@ -220,6 +222,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "decoded_sha256": [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)],
                     }
                 )
+        shared.release_memory()
 
     rows = shared.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return shared.map_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

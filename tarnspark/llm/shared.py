@@ -8,7 +8,7 @@ import math
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: its lineage ends there and lost executors cost nothing."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tarnspark_path = path
+    return out
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
@@ -50,13 +52,30 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first().n or 0
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df has in no case: name, with as many _ before it as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table made by `written` that nothing reads any more."""
+    spark, path = df.sparkSession, getattr(df, "_tarnspark_path", None)
+    if path:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def prepare(spark: SparkSession) -> None:
-    """Before Arrow batches: this package on the executors, and batches of BATCH_ROWS unless the session sets its own number.
+    """Before Arrow batches: this package on the executors, and batches of BATCH_ROWS in sessions that set no number of their own.
 
     Texts of a few thousand characters fill tens of MB in Spark's usual batch, held by the JVM and the worker at once.
+    Plans read the setting when they run, so it stays set.
     """
     ship(spark)
-    if spark.conf.get(_BATCH) == "10000":
+    if _BATCH not in spark.conf.getAll:
         spark.conf.set(_BATCH, BATCH_ROWS)
 
 
@@ -101,38 +120,108 @@ def blocks_of(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Itera
             yield batch.slice(a, b - a)
 
 
-#: ASCII marks that neither join a letter to a word nor stand in a special token.
+#: ASCII marks that neither join a letter to a word nor stand in a special token or a contraction.
 _MARK = np.zeros(256, dtype=bool)
-_MARK[list(b'.,;:!?()"-')] = True
+_MARK[list(b'.,;:!?()"-#*$%&+/=@[]{}^~')] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
+def mark_borders(data: np.ndarray) -> np.ndarray:
+    """True at each byte, but for the first, where a mark and an ASCII letter meet."""
+    mark, letter = _MARK[data], _LETTER[data]
+    return mark[1:] & letter[:-1] | letter[1:] & mark[:-1]
+
+
 def word_starts(data: np.ndarray) -> np.ndarray:
-    """True where a word begins after white space (which goes to the chunk before it), or a mark and a letter meet."""
-    gap, mark, letter = _GAP_TABLE[data], _MARK[data], _LETTER[data]
+    """True where a word begins after white space, or a mark and a letter meet."""
+    gap = _GAP_TABLE[data]
     start = ~gap
-    start[1:] &= gap[:-1] | (mark[1:] & letter[:-1]) | (letter[1:] & mark[:-1])
+    start[1:] &= gap[:-1] | mark_borders(data)
     return start
 
 
+class KeyTable:
+    """A hash table of whole arrays: the numbers 0, 1, 2 and so on for pairs of 64-bit numbers, in the order they come.
+
+    Slots hold numbers and are probed one after another; the pairs themselves are compared, so no two are taken for one.
+    """
+
+    def __init__(self):
+        self.n, self.bits = 0, 17
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        self.low, self.high = np.zeros(1 << 16, dtype=np.uint64), np.zeros(1 << 16, dtype=np.uint64)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (low ^ (high >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + high
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The number of each pair, -1 for strangers."""
+        slot = self._slot(low, high)
+        out = self.slots[slot]
+        left = np.flatnonzero((out >= 0) & ((self.low[out] != low) | (self.high[out] != high)))
+        mask = len(self.slots) - 1
+        while len(left):
+            slot[left] = slot[left] + 1 & mask
+            found = self.slots[slot[left]]
+            out[left] = found
+            left = left[(found >= 0) & ((self.low[found] != low[left]) | (self.high[found] != high[left]))]
+        return out
+
+    def add(self, low: np.ndarray, high: np.ndarray) -> None:
+        """Takes in distinct strangers."""
+        n = self.n + len(low)
+        if n > len(self.low):
+            self.low, self.high = (np.append(x, np.zeros(max(n, 3 * len(x) // 2) - len(x), dtype=np.uint64)) for x in (self.low, self.high))
+        self.low[self.n : n], self.high[self.n : n] = low, high
+        first, self.n = self.n, n
+        if 2 * n > len(self.slots):
+            self.bits, first = int(3 * n).bit_length(), 0
+            self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        left = np.arange(first, n, dtype=np.int32)
+        slot = self._slot(self.low[first:n], self.high[first:n])
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            lost = self.slots[slot] != left  # taken before, or by another of these
+            left, slot = left[lost], slot[lost] + 1 & len(self.slots) - 1
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk; each distinct chunk is encoded once and then looked up.
 
     `starts` marks the bytes at which a text may be cut without changing its ids; `encode` turns a list of chunks
     (bytes) into how many ids each has and all their ids in a row. Texts are cut at those bytes only, so the ids are
-    those of the whole text. About `keep` chunks are remembered; beyond that it starts anew. lower: A-Z may go to lower
-    case before, as the encoder does so anyway.
+    those of the whole text. `drops` marks bytes, by value, that have no ids and are taken out of chunks first.
+
+    Chunks of SHORT bytes or fewer are looked up in whole arrays, as numbers that hold all their bytes and their length;
+    longer ones in a dictionary. About `keep` chunks (and long_bytes of long ones) are remembered; beyond that it starts
+    anew. lower: A-Z may go to lower case before, as the encoder does so anyway.
     """
 
-    def __init__(self, starts: Callable[[np.ndarray], np.ndarray], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], keep: int = 450_000, lower: bool = False):
-        self.starts, self.encode, self.keep, self.lower = starts, encode, keep, lower
+    SHORT, STEP = 15, 1 << 16
+
+    def __init__(
+        self,
+        starts: Callable[[np.ndarray], np.ndarray],
+        encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
+        keep: int = 1_000_000,
+        long_bytes: int = 16 << 20,
+        lower: bool = False,
+        drops: np.ndarray | None = None,
+    ):
+        self.starts, self.encode, self.keep, self.long_bytes, self.lower, self.drops = starts, encode, keep, long_bytes, lower, drops
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.short, self.long, self.long_used = KeyTable(), {}, 0
+        self.number = np.zeros(1 << 16, dtype=np.int32)  # of each short chunk among all chunks known
+        self.n, self.used = 0, 0
         self.length, self.flat = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 18, dtype=np.uint16)
-        self.first, self.used = np.zeros(1 << 16, dtype=np.int64), 0
+        self.first = np.zeros(1 << 16, dtype=np.int64)
 
     @staticmethod
     def _room(a: np.ndarray, n: int, kind: np.dtype | None = None) -> np.ndarray:
@@ -143,47 +232,83 @@ class ChunkEncoder:
         out[: len(a)] = a
         return out
 
-    def _places(self, chunks: list[bytes]) -> np.ndarray:
-        """The number of each chunk among the known ones; unknown ones are encoded."""
-        if len(self.known) > self.keep:
+    def _learn(self, chunks: list[bytes]) -> np.ndarray:
+        """Encodes new chunks; their numbers."""
+        length, ids = self.encode(chunks)
+        n = self.n + len(chunks)
+        self.length, self.first = self._room(self.length, n), self._room(self.first, n)
+        self.length[self.n : n] = length
+        self.first[self.n : n] = self.used + np.cumsum(length) - length
+        wide = np.uint32 if self.flat.dtype == np.uint32 or (len(ids) and ids.max() > 0xFFFF) else np.uint16
+        self.flat = self._room(self.flat, self.used + len(ids), np.dtype(wide))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        out, self.n = np.arange(self.n, n, dtype=np.int32), n
+        return out
+
+    def _numbers(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of each chunk (its place and size in data) among the known ones; unknown ones are encoded."""
+        if self.n > self.keep or self.long_used > self.long_bytes:
             self._forget()
-        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new, n = [chunks[k] for k in missing.tolist()], len(self.known)
-            length, ids = self.encode(new)
-            self.length, self.first = self._room(self.length, n + len(new)), self._room(self.first, n + len(new))
-            self.length[n : n + len(new)] = length
-            self.first[n : n + len(new)] = self.used + np.cumsum(length) - length
-            wide = np.uint32 if self.flat.dtype == np.uint32 or (len(ids) and ids.max() > 0xFFFF) else np.uint16
-            self.flat = self._room(self.flat, self.used + len(ids), np.dtype(wide))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known.update(zip(new, range(n, n + len(new)), strict=True))
-            at[missing] = np.arange(n, n + len(new))
-        return at
+        raw = data.tobytes()
+        padded = np.frombuffer(raw + bytes(16), dtype=np.uint8)
+        eight = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(raw) + 8,), strides=(1,)))
+        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+        all_short = size.max() <= self.SHORT
+        short = slice(None) if all_short else np.flatnonzero(size <= self.SHORT)
+        a, n = at[short], size[short]
+        low = eight[a] & mask[np.minimum(n, 8)]
+        high = eight[np.minimum(a + 8, len(raw))] & mask[np.maximum(n - 8, 0)] | n.astype(np.uint64) << np.uint64(56)
+        del eight
+        found = self.short.find(low, high)
+        if len(missing := np.flatnonzero(found < 0)):
+            order = missing[np.lexsort((low[missing], high[missing]))]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
+            first, before = order[new], self.short.n
+            found[order] = before + np.cumsum(new, dtype=np.int32) - 1
+            self.short.add(low[first], high[first])
+            self.number = self._room(self.number, self.short.n)
+            self.number[before : self.short.n] = self._learn([raw[x : x + k] for x, k in zip(a[first].tolist(), n[first].tolist(), strict=True)])
+        if all_short:
+            return self.number[found]
+        out = np.empty(len(at), dtype=np.int32)
+        out[short] = self.number[found]
+        rest = np.flatnonzero(size > self.SHORT)
+        chunks = [raw[x : x + k] for x, k in zip(at[rest].tolist(), size[rest].tolist(), strict=True)]
+        if strange := list(dict.fromkeys(c for c in chunks if c not in self.long)):
+            self.long.update(zip(strange, self._learn(strange).tolist(), strict=True))
+            self.long_used += sum(map(len, strange))
+        out[rest] = [self.long[c] for c in chunks]
+        return out
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all values in a row (uint32), and the offset of each value's ids, one more than values."""
         data, offsets = text_buffers(column)
-        if not len(data):
-            return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64)
-        if self.lower:
+        if self.lower and len(data):
             raw = data.tobytes()
             if b"<|" not in raw:  # else a special token in capitals would become one
                 data = np.frombuffer(raw.translate(LOWER), dtype=np.uint8)
-        start = self.starts(data)
-        start[offsets[:-1][offsets[:-1] < len(data)]] = True
+        start = self.starts(data) if len(data) else np.zeros(0, dtype=bool)
+        first = offsets[:-1][offsets[:-1] < offsets[1:]]
+        start[first] = True if self.drops is None else ~self.drops[data[first]]
         at = np.flatnonzero(start)
-        cuts = np.append(at, len(data)).astype(np.int64)
-        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = chunks.dictionary_encode()
-        place = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        length = self.length[place]
-        ends = np.cumsum(length, dtype=np.int64)
-        shift = self.first[place] - ends + length
-        ids = self.flat[np.repeat(shift, length) + np.arange(ends[-1])].astype(np.uint32)
-        return ids, np.append(0, ends)[np.searchsorted(at, offsets)]
+        if not len(at):
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64)
+        out, ends = [], np.zeros(len(at) + 1, dtype=np.int64)
+        for low in range(0, len(at), self.STEP):  # some at a time: what is made on the way takes a dozen times their bytes
+            place = at[low : low + self.STEP]
+            piece = data[place[0] : at[low + self.STEP] if low + self.STEP < len(at) else len(data)]
+            place = place - place[0]
+            if self.drops is not None:
+                stays = ~self.drops[piece]
+                place, piece = np.cumsum(stays)[place] - 1, piece[stays]
+            number = self._numbers(piece, place, np.diff(place, append=len(piece)))
+            length = self.length[number]
+            end = np.cumsum(length, dtype=np.int64)
+            out.append(self.flat[np.repeat(self.first[number] - end + length, length) + np.arange(end[-1])].astype(np.uint32))
+            ends[low + 1 : low + 1 + len(number)] = ends[low] + end
+        return np.concatenate(out), ends[np.searchsorted(at, offsets)]
 
 
 @lru_cache(maxsize=2)
@@ -191,7 +316,7 @@ def word_bpe(path: str) -> ChunkEncoder:
     """The tokenizers library's ids for the lower-casing tokenizer that drops white space, chunk by chunk.
 
     Its normaliser (NFC, white space, lower case) and its pre-tokeniser (letters, single digits, other marks) never reach
-    across ASCII white space or across a border of an ASCII letter and one of .,;:!?()"- (no such mark before a letter
+    across ASCII white space or across a border of an ASCII letter and a mark of _MARK (no such mark before a letter
     composes with it, and no contraction or special token holds one), so a text's ids are those of its chunks in turn.
     Each worker process keeps one.
     """
@@ -213,7 +338,7 @@ def word_bpe(path: str) -> ChunkEncoder:
         stop = np.flatnonzero(ids == between[0])
         return np.diff(stop, prepend=-1).astype(np.int32) - 1, np.delete(ids, stop)
 
-    return ChunkEncoder(word_starts, encode, lower=True)
+    return ChunkEncoder(word_starts, encode, lower=True, drops=_GAP_TABLE)
 
 
 #: Words of letters, digits and code points beyond ASCII, lower case: other ASCII bytes become spaces.

@@ -202,10 +202,11 @@ def encode_documents(batches: Iterable[pa.RecordBatch], tokenizer: str, end_id:
     """For slices of (doc_id, text) batches: the slice, all its ids with end_id after each document, and the offsets."""
     encode = shared.word_bpe(tokenizer)
     for batch in batches:
-        for part in shared.blocks_of(batch, "text"):
+        for part in shared.blocks_of(batch, "text", 2 << 20):
             ids, offsets = encode(part.column("text"))
             ids = np.insert(ids, offsets[1:], end_id)
             yield part, ids, offsets + np.arange(len(offsets))
+    shared.release_memory()
 
 
 def write_shards(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", shard_bytes: int = 16 << 20, vocabulary: int = 1 << 16) -> None:
@@ -237,19 +238,28 @@ def write_shards(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, key
     packed.select(F.col("record").cast("string")).write.option("compression", "none").text(path)
 
 
+def _with_starts(counts: DataFrame) -> DataFrame:
+    """counts (shard, n_ids, ...) with start, the ids of all shards before it: by the number in the name, which has more than
+    five digits where there are many shards."""
+    before = Window.orderBy(F.regexp_extract("shard", r"^part-(\d+)", 1).cast("bigint"), "shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+
+
 def shards(spark: SparkSession, path: str) -> DataFrame:
     """shard (file name), footer fields n_entries and n_ids, start (ids of all shards before it): one row a shard, read by Spark alone."""
     number = "conv(hex(substring(footer, {}, 8)), 16, 10)"
     files = spark.read.format("binaryFile").load(path).filter("length > 0")
     footers = files.select(F.element_at(F.split("path", "/"), -1).alias("shard"), F.expr(f"substring(content, length(content) - {FOOTER_BYTES - 1}, {FOOTER_BYTES})").alias("footer"))
-    counts = footers.select("shard", F.expr(number.format(33)).cast("bigint").alias("n_entries"), F.expr(number.format(41)).cast("bigint").alias("n_ids"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    return _with_starts(footers.select("shard", F.expr(number.format(33)).cast("bigint").alias("n_entries"), F.expr(number.format(41)).cast("bigint").alias("n_ids")))
 
 
 def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """All documents of the shards: shard, doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as
-    little-endian 32-bit numbers), and ids (array) unless with_ids is false."""
+    little-endian 32-bit numbers), and ids (array) unless with_ids is false.
+
+    Without ids each shard is read once: what is found in it is written, and the shards' sums are taken from there. With
+    ids, sums come from the footers, so that ids needn't be written again.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,8 +294,12 @@ def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     own = ", ids array<int>" if with_ids else ""
     files = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
     rows = shared.map_arrow(files, scan, f"shard string, doc_id long, at long, n_tokens long, ids_crc32 long{own}")
-    starts = shards(spark, path)
-    if len(files.inputFiles()) <= MAX_BROADCAST_SHARDS:  # one small row a shard
+    if with_ids:
+        starts = shared.written(shards(spark, path), "shards")
+    else:
+        rows = shared.written(rows, "entries")
+        starts = shared.written(_with_starts(rows.groupBy("shard").agg(F.sum("n_tokens").alias("n_ids"))), "shards")
+    if starts.count() <= MAX_BROADCAST_SHARDS:  # one small row a shard
         starts = F.broadcast(starts)
     rows = rows.join(starts.select("shard", F.col("start").alias("shard_start")), "shard")
     return rows.select("shard", "doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))

@@ -92,6 +92,14 @@ def test_sstable(spark, docs, none):
     assert sstable.read_shards(spark, empty).count() == 0
 
 
+def test_shards_go_by_number(spark):
+    """Names have five digits at least; from shard 100,000 on, text order isn't number order."""
+    names = ["part-99998-a.txt", "part-100001-a.txt", "part-00002-a.txt", "part-100000-a.txt", "part-99999-a.txt"]
+    rows = spark.createDataFrame([(n, 10 ** k) for k, n in enumerate(names)], "shard string, n_ids long")
+    got = {r.shard: r.start for r in sstable._with_starts(rows).collect()}
+    assert [got[n] for n in ("part-00002-a.txt", "part-99998-a.txt", "part-99999-a.txt", "part-100000-a.txt", "part-100001-a.txt")] == [0, 100, 101, 10101, 11101]
+
+
 def test_shard_finds_each_key_in_many_blocks():
     writer, data, rng = sstable.ShardWriter(2), bytearray(), np.random.default_rng(1)
     values = {k: rng.integers(0, 1000, 30).astype("<u2").tobytes() for k in range(-5000, 5000, 7)}
@@ -340,7 +348,7 @@ def test_byte_bpe_on_random_texts():
     import pyarrow as pa
 
     random.seed(11)
-    pieces = ["a", "B", " ", "  ", "\n", "\r\n", "\t", "'s", "'LL", "1", "234", "é", "Ž", "ß", "\u00a0", "\u3000", "漢", "\U0001f600", "e\u0301", ".", "!!", "_", "\x00", "don't", "İ", "ſ"]
+    pieces = ["a", "B", " ", "  ", "\n", "\r\n", "\t", "'s", "'LL", "1", "234", "é", "Ž", "ß", "\u00a0", "\u3000", "漢", "\U0001f600", "e\u0301", ".", "!!", "_", "\x00", "don't", "İ", "ſ", "#", "&&", "$a", "=", "~", "<|", "|>", "é#", "antidisestablishmentarianism"]
     texts = ["".join(random.choices(pieces, k=random.randrange(0, 40))) for _ in range(3000)]
     ids, offsets = own.chunked(pa.array(texts))
     for k, t in enumerate(texts):
@@ -355,13 +363,41 @@ def test_word_ids_on_random_texts():
 
     code, own = Tokenizer.from_file(WORDS), shared.word_bpe(WORDS)
     random.seed(12)
-    pieces = ["a", "B", " ", "  ", "\n", "\t", "\x0b", "'s", "'LL", "1", "234", "é", "Ž", "\u00a0", "\u3000", "漢", "\U0001f600", "e\u0301", "\u0338", ".", "!!", "(", ")", "_", "\x01", "<|endoftext|>", "<|ENDOFTEXT|>", "don't", "İ", "K"]
+    pieces = ["a", "B", " ", "  ", "\n", "\t", "\x0b", "'s", "'LL", "1", "234", "é", "Ž", "\u00a0", "\u3000", "漢", "\U0001f600", "e\u0301", "\u0338", ".", "!!", "(", ")", "_", "\x01", "<|endoftext|>", "<|ENDOFTEXT|>", "don't", "İ", "K", "#", "&&", "$a", "=", "~", "[", "é#", "antidisestablishmentarianism"]
     texts = ["".join(random.choices(pieces, k=random.randrange(0, 40))) for _ in range(3000)]
     ids, offsets = own(pa.array(texts))
     for k, t in enumerate(texts):
         assert ids[offsets[k] : offsets[k + 1]].tolist() == code.encode(t, add_special_tokens=False).ids, t
 
 
+def test_chunk_encoder_starts_anew_and_tells_chunks_apart():
+    """Chunks that differ in length or in zero bytes alone, long ones, and a memory of a few chunks."""
+    import random
+
+    import pyarrow as pa
+
+    starts = lambda data: np.append(True, data[:-1] == 0x20)
+    coded = lambda chunks: (np.array([2] * len(chunks), dtype=np.int32), np.array([x for c in chunks for x in (len(c), zlib.crc32(c))], dtype=np.uint32))
+    random.seed(13)
+    pool = ["", "\x00", "\x00\x00", "a", "a\x00", "x" * 14, "x" * 15, "x" * 16, "y" * 40, *(f"{k:x}" for k in range(300))]
+    texts = [" ".join(random.choices(pool, k=random.randrange(0, 30))) for _ in range(400)]
+    for keep, long_bytes in ((10, 1 << 20), (10**6, 50), (10**6, 1 << 20)):
+        encoder = shared.ChunkEncoder(starts, coded, keep=keep, long_bytes=long_bytes)
+        for a in range(0, 400, 40):
+            ids, offsets = encoder(pa.array(texts[a : a + 40]))
+            for k, t in enumerate(texts[a : a + 40]):
+                raw = t.encode()
+                cuts = [0, *(i + 1 for i, b in enumerate(raw[:-1]) if b == 32)]
+                want = [raw[x:y] for x, y in zip(cuts, [*cuts[1:], len(raw)])] if raw else []
+                assert ids[offsets[k] : offsets[k + 1]].tolist() == [x for c in want for x in (len(c), zlib.crc32(c))]
+    table = shared.KeyTable()
+    keys = np.arange(500_000, dtype=np.uint64)
+    for part in np.array_split(keys, 9):
+        assert (table.find(part, part % np.uint64(3)) == -1).all()
+        table.add(part, part % np.uint64(3))
+    assert (table.find(keys, keys % np.uint64(3)) == np.arange(500_000)).all() and (table.find(keys, keys % np.uint64(3) + np.uint64(1)) == -1).all()
+
+
 def test_line_cleaning(spark, docs, none):
     body = "This is a sentence with enough words to stand on its own, and it ends well."
     text = f"{body}\nHome | About | Contact\n{body} More.\nClick here to read more\n\n#### $$$$ %%%%\nhello there"
