@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD, WORD_GAP, table
+from .shared import WORD, WORD_GAP, table, unused
 
 #: Phrases that mark a line as boilerplate.
 BOILERPLATE = (
@@ -121,6 +121,39 @@ def _good_lines(text: Column, lines: Column, max_symbols: float, min_fragment: i
     return _of(F.struct(text.rlike("[|>»]").alias("marked"), text.rlike(f"[{SYMBOLS}]").alias("symbols"), phrases.alias("phrases")), judged)
 
 
+def _judge(docs: DataFrame, into: str, text: str, min_words: int, max_repeat_percent: int, max_lost: float, max_symbols: float) -> DataFrame:
+    """docs with one more column, a struct called `into`, which docs has no column like."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
+    lines = F.split(t, "\n")
+    counts = _of(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n"), F.length(F.array_join(w, "")).cast("bigint").alias("chars"), _repeat_words(w).alias("again")))
+    judged = _of(
+        lines,
+        lambda x: F.struct(
+            F.array_join(_good_lines(t, x, max_symbols), "\n").alias("text"),
+            _of(F.filter(x, lambda y: y.rlike(r"[^\x20\x09-\x0D]")), lambda y: F.size(y) - F.size(F.array_distinct(y))).cast("bigint").alias("again"),
+        ),
+    )
+    out = docs.withColumn(into, F.struct(counts.alias("words"), judged.alias("lines")))
+    made, chars = (lambda field: F.col(f"{into}.{field}")), F.col(f"{into}.words.chars")
+    left = F.when(F.length(made("lines.text")) == F.length(t), chars).otherwise(_without(made("lines.text"), WORD_GAP[1:-1]))
+    fields = F.struct(
+        made("lines.text").alias("clean_text"),
+        made("words.n").alias("n_words"),
+        chars.alias("word_chars"),
+        (F.length(t) - _without(t, SYMBOLS)).cast("bigint").alias("n_symbols"),
+        made("lines.again").alias("n_dup_lines"),
+        made("words.again").alias("n_repeat_words"),
+        ((made("words.n") < min_words) | (100 * made("words.again") > max_repeat_percent * made("words.n"))).alias("base_failed"),
+        F.when(chars > 0, 1 - left / chars).otherwise(0.0).alias("lost"),
+    )
+    out = out.withColumn(into, fields)
+    return out.withColumn(into, F.col(into).withField("kept", ~made("base_failed") & (made("lost") <= max_lost)))
+
+
+FIELDS = ("clean_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost", "base_failed", "kept")
+
+
 def clean_lines(
     docs: DataFrame,
     *,
@@ -139,27 +172,9 @@ def clean_lines(
     Row by row, without a shuffle; Spark's own expressions only. A null text counts as empty: no words, not kept.
     Repeated rows each get the same verdict. Columns of docs with these names are replaced. No rows: no rows.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
-    lines = F.split(t, "\n")
-    counts = _of(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n"), F.length(F.array_join(w, "")).cast("bigint").alias("chars"), _repeat_words(w).alias("again")))
-    judged = _of(
-        lines,
-        lambda x: F.struct(
-            F.array_join(_good_lines(t, x, max_symbols), "\n").alias("text"),
-            _of(F.filter(x, lambda y: y.rlike(r"[^\x20\x09-\x0D]")), lambda y: F.size(y) - F.size(F.array_distinct(y))).cast("bigint").alias("again"),
-        ),
-    )
-    out = docs.withColumns({"_counts": counts, "_judged": judged, "n_symbols": (F.length(t) - _without(t, SYMBOLS)).cast("bigint")})
-    out = out.withColumns({"clean_text": F.col("_judged.text"), "n_words": F.col("_counts.n"), "word_chars": F.col("_counts.chars"), "n_dup_lines": F.col("_judged.again"), "n_repeat_words": F.col("_counts.again")})
-    left = F.when(F.length("clean_text") == F.length(t), F.col("word_chars")).otherwise(_without(F.col("clean_text"), WORD_GAP[1:-1]))
-    out = out.withColumns(
-        {
-            "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
-            "lost": F.when(F.col("word_chars") > 0, 1 - left / F.col("word_chars")).otherwise(0.0),
-        }
-    )
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost)).drop("_counts", "_judged")
+    into = unused(docs, "verdict")
+    out = _judge(docs, into, text, min_words, max_repeat_percent, max_lost, max_symbols)
+    return out.withColumns({c: F.col(f"{into}.{c}") for c in FIELDS}).drop(into)
 
 
 def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +183,12 @@ def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass, with the lines that passed."""
-    done = clean_lines(docs).filter("kept")
-    return done.withColumns({"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("bigint")}).select(*docs.columns)
+    """The documents that pass, with the lines that passed for text and their length for n_chars.
+
+    All other columns stay as they are, whatever they are called. A null or empty text has no words and goes; a very long
+    one is judged whole; a null doc_id and repeated rows are rows like others. No rows: no rows.
+    """
+    into = unused(docs, "verdict")
+    done = _judge(docs, into, "text", 10, 20, 0.5, 0.1).filter(f"{into}.kept")
+    new = {"text": F.col(f"{into}.clean_text"), "n_chars": F.length(f"{into}.clean_text").cast("bigint")}
+    return done.withColumns({c: new[c.lower()] for c in docs.columns if c.lower() in new}).drop(into)

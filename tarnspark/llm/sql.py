@@ -44,8 +44,8 @@ line AS (SELECT r, unnest(lines) AS x, unnest(range(len(lines))) AS k FROM w),
 judged AS (SELECT r, x, k, regexp_matches(x, '{_WORD}') AND (
     length(x) - length(regexp_replace(x, '{_SYMBOLS}', '', 'g')) > 0.1 * length(regexp_replace(x, '{_GAP}', '', 'g'))
     OR NOT regexp_matches(x, '[.!?;:,…。！？"''”’)\]]') AND NOT regexp_matches(x, '(?:{_WORD}{_GAP}+){{3}}{_WORD}')
-    OR regexp_matches(trim(x, ' '), '^{_ITEM}(?:{_GAP}+[|>»]{_GAP}+{_ITEM}){{2,100}}$')
-    OR length(trim(x, ' ')) <= 600 AND regexp_matches(lower(trim(x, ' ')), '^(?:(?:{"|".join(NAVIGATION)})(?:{_GAP}|$){{1,3}}){{1,50}}$')
+    OR regexp_matches(trim(x, ' '), '^{_ITEM}(?:{_GAP}+[|>»]{_GAP}+{_ITEM}){{2,}}\r?$')
+    OR regexp_matches(lower(trim(x, ' ')), '^(?:{"|".join(NAVIGATION)})(?:{_GAP}+(?:{"|".join(NAVIGATION)}))*{_GAP}*$')
     OR regexp_matches(lower(x), '{"|".join(BOILERPLATE)}')) AS fails FROM line),
 kept AS (SELECT r, coalesce(sum(length(regexp_replace(x, '{_GAP}', '', 'g'))) FILTER (NOT fails), 0) AS left_chars,
     count(*) FILTER (regexp_matches(x, '{_WORD}')) - count(DISTINCT x) FILTER (regexp_matches(x, '{_WORD}')) AS n_dup_lines FROM judged GROUP BY r),
