@@ -199,7 +199,7 @@ class ChunkEncoder:
 
     Chunks of SHORT bytes or fewer are looked up in whole arrays, as numbers that hold all their bytes and their length;
     longer ones in a dictionary. About `keep` chunks (and long_bytes of long ones) are remembered; beyond that it starts
-    anew. lower: A-Z may go to lower case before, as the encoder does so anyway.
+    anew. table: bytes that others go to first, as in bytes.translate, but where a block of texts holds `unless`.
     """
 
     SHORT, STEP = 15, 1 << 16
@@ -210,10 +210,11 @@ class ChunkEncoder:
         encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
         keep: int = 1_000_000,
         long_bytes: int = 16 << 20,
-        lower: bool = False,
         drops: np.ndarray | None = None,
+        table: bytes | None = None,
+        unless: bytes | None = None,
     ):
-        self.starts, self.encode, self.keep, self.long_bytes, self.lower, self.drops = starts, encode, keep, long_bytes, lower, drops
+        self.starts, self.encode, self.keep, self.long_bytes, self.drops, self.table, self.unless = starts, encode, keep, long_bytes, drops, table, unless
         self._forget()
 
     def _forget(self) -> None:
@@ -285,10 +286,10 @@ class ChunkEncoder:
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all values in a row (uint32), and the offset of each value's ids, one more than values."""
         data, offsets = text_buffers(column)
-        if self.lower and len(data):
+        if self.table and len(data):
             raw = data.tobytes()
-            if b"<|" not in raw:  # else a special token in capitals would become one
-                data = np.frombuffer(raw.translate(LOWER), dtype=np.uint8)
+            if not self.unless or self.unless not in raw:
+                data = np.frombuffer(raw.translate(self.table), dtype=np.uint8)
         start = self.starts(data) if len(data) else np.zeros(0, dtype=bool)
         first = offsets[:-1][offsets[:-1] < offsets[1:]]
         start[first] = True if self.drops is None else ~self.drops[data[first]]
@@ -338,7 +339,8 @@ def word_bpe(path: str) -> ChunkEncoder:
         stop = np.flatnonzero(ids == between[0])
         return np.diff(stop, prepend=-1).astype(np.int32) - 1, np.delete(ids, stop)
 
-    return ChunkEncoder(word_starts, encode, lower=True, drops=_GAP_TABLE)
+    # the tokenizer goes to lower case anyway; but a special token in capitals would become one
+    return ChunkEncoder(word_starts, encode, drops=_GAP_TABLE, table=LOWER, unless=b"<|")
 
 
 #: Words of letters, digits and code points beyond ASCII, lower case: other ASCII bytes become spaces.
@@ -350,6 +352,18 @@ def plain_bytes(text: bytes) -> bytes:
     return text.translate(_PLAIN)
 
 
+def by_word(encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> ChunkEncoder:
+    """Encodes texts by their words of letters, digits and code points beyond ASCII, in lower case as far as ASCII goes."""
+
+    def starts(data: np.ndarray) -> np.ndarray:
+        gap = _GAP_TABLE[data]
+        start = ~gap
+        start[1:] &= gap[:-1]
+        return start
+
+    return ChunkEncoder(starts, encode, drops=_GAP_TABLE, table=_PLAIN)
+
+
 class Words:
     """The words of a block of texts: `distinct` words as bytes, `which` of them each word is, and the `row` it stands in."""
 

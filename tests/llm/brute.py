@@ -9,6 +9,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -130,3 +132,41 @@ def context_tree(train: list[bytes], texts: list[bytes], depth: int) -> list[flo
 
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+def nnpu(rows, labels, steps, min_rows=5, min_purity=0.6):
+    """Scores of all rows by the non-negative risk, written as a plain function of the weights; slopes by differences."""
+    import re
+
+    def features(text):
+        out = set()
+        for w in re.findall(r"[a-z0-9]+", text.lower()):
+            out |= {w} | {w[:k] + "*" for k in range(4, 9) if len(w) > k}
+        return out
+
+    own = {i: features(t) for i, t in rows}
+    confirmed = [i for i, _ in rows if labels.get(i) == 1]
+    prior = sum(labels.values()) / len(labels)
+    strength = {}
+    for f in set().union(*own.values()):
+        p, u = sum(f in own[i] for i in confirmed), sum(f in x for x in own.values())
+        purity = prior * p / len(confirmed) / ((u + 1) / (len(rows) + 1))
+        if p >= min_rows and purity >= min_purity:
+            strength[f] = p * purity
+    names = sorted(strength, key=lambda f: (-strength[f], f))
+    x = np.array([[f in own[i] for f in names] for i, _ in rows], dtype=float)
+    c = np.array([[f in own[i] for f in names] for i in confirmed], dtype=float)
+
+    def parts(w, b):
+        loss = lambda z: np.log1p(np.exp(-z))
+        return prior * loss(c @ w + b).mean(), loss(-(x @ w + b)).mean() - prior * loss(-(c @ w + b)).mean()
+
+    theta, m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    for step in range(1, steps + 1):
+        _, rest = parts(theta[:-1], theta[-1])
+        risk = (lambda t: sum(parts(t[:-1], t[-1]))) if rest >= 0 else (lambda t: -parts(t[:-1], t[-1])[1])
+        grad = np.array([(risk(theta + 1e-5 * e) - risk(theta - 1e-5 * e)) / 2e-5 for e in np.eye(len(theta))])
+        grad[:-1] += 1e-4 * theta[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        theta = theta - 0.1 * (1 - step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return {i: 1 / (1 + np.exp(-(row @ theta[:-1] + theta[-1]))) for (i, _), row in zip(rows, x, strict=True)}

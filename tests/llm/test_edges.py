@@ -146,6 +146,24 @@ def test_near_duplicates_of_many_edited_copies(spark):
         assert got == brute.components(rows, size, percent)
 
 
+def test_one_id_with_two_texts_keeps_the_links_of_both(spark):
+    rng = np.random.default_rng(15)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 5000, n)]
+    near = lambda w: " ".join([*w[:-1], "end"])
+    a, b, c = word(120), word(120), word(120)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (11, near(a)), (12, near(b)), (3, " ".join(c)), (20, " ".join(c)), (20, " ".join(a)), (30, " ".join(word(50)))]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == sorted((i, 30 if i == 30 else 3, i in (3, 30)) for i, _ in rows)
+
+
+def test_a_filter_that_is_too_large_is_left_out(spark, monkeypatch):
+    rows = spark.range(100).select(F.col("id").alias("doc_id"))
+    few = rows.filter("doc_id < 7")
+    assert 7 <= minhash._maybe_in(rows, few, "doc_id").count() < 20
+    monkeypatch.setattr(minhash, "MOST_FILTER_BITS", 1)
+    assert minhash._maybe_in(rows, few, "doc_id").count() == 100
+
+
 def test_min_and_max_are_unbiased():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 1 << 63, 900).astype(np.uint64))
@@ -301,12 +319,58 @@ def test_toxicity_learns_from_positive_and_unlabelled_rows(spark, docs, none):
     model = toxicity.train(df.filter("doc_id < 900").select("doc_id", "text"), labels)
     out = toxicity.score(df.filter("doc_id >= 900"), model).collect()
     assert sum((r.toxicity >= 0.7) == (r.truth == 1) for r in out) >= 0.98 * len(out)
-    scored = toxicity.score(docs.withColumn("toxicity", F.lit("x")), model)
+    scored = toxicity.score(docs.withColumn("Toxicity", F.lit("x")), model)
     assert scored.count() == len(TEXTS) and toxicity.score(none, model).count() == 0
+    assert all(0 <= r.toxicity <= 1 for r in scored.select("toxicity").collect())
     nothing = toxicity.train(none, labels)
     assert all(r.toxicity < 0.01 for r in toxicity.score(docs, nothing).collect())
 
 
+def test_toxicity_with_repeated_ids_and_on_spark(spark):
+    """Ids that repeat many times drop no confirmed row; steps as Spark jobs end where those on the driver do."""
+    rng = np.random.default_rng(16)
+    rows = []
+    for k in range(400):
+        w = [f"w{x}" for x in rng.integers(0, 200, 20)]
+        if k % 8 == 0:
+            w[5:8] = ["vile", "nasty", f"bad{k % 3}"]
+        rows += [(k, " ".join(w))] * (100 if k % 50 == 1 else 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(k, int(k % 8 == 0)) for k in range(0, 400, 3)] + [(24, 0), (None, 1), (999, 1)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels)
+    got = {r.doc_id: r.toxicity for r in toxicity.score(df, model).collect()}
+    assert all((s >= 0.7) == (i % 8 == 0) for i, s in got.items())
+    near, far = (toxicity.train(df, labels, steps=8, local_sets=n) for n in (10**6, 0))
+    assert near.weights.keys() == far.weights.keys() and len(near.weights) > 3
+    assert math.isclose(near.bias, far.bias, rel_tol=1e-9) and all(math.isclose(w, far.weights[f], rel_tol=1e-9) for f, w in near.weights.items())
+
+
+def test_toxicity_equals_a_plain_fit(spark):
+    """Scores against features, counts and risk worked out one row at a time, the gradient by the risk's own differences."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for k in range(160):
+        w = [f"w{x}" for x in rng.integers(0, 30, 6)]
+        if k % 5 == 0:
+            w[2:4] = ["Vileness", f"bad{k % 2}"]
+        rows.append((k, " ".join(w) + "!"))
+    labels = {k: int(k % 5 == 0) for k in range(0, 160, 2)}
+    df, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    model = toxicity.train(df, marked, steps=40)
+    want = brute.nnpu(rows, labels, steps=40)
+    for r in toxicity.score(df, model).collect():
+        assert abs(r.toxicity - want[r.doc_id]) < 1e-4
+
+
+def test_toxicity_stage_keeps_columns_of_any_name(spark, docs, tmp_path):
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    own = docs.withColumns({"Toxicity": F.lit("own"), "_toxicity": F.lit("own"), "kind": F.lit("own")})
+    out = toxicity.toxicity_stage(spark, own, str(tmp_path))
+    assert out.columns == own.columns
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, own.collect()))
+    assert toxicity.toxicity_stage(spark, own.filter("doc_id = -1"), str(tmp_path)).count() == 0
+
+
 def test_nnpu_finds_positives_among_the_unlabelled():
     """A quarter of the positives is confirmed; the rest stands unlabelled, and still scores high."""
     rng = np.random.default_rng(10)
