@@ -17,8 +17,10 @@ from . import shared
 PERMUTATIONS = 60
 #: The chance that a pair just at the threshold shares no band.
 MISSED = 1e-6
-#: Bits of the filter on document ids, and counters of shingles: both bounded, whatever the input.
-FILTER_BITS, COUNTERS = 1 << 23, 1 << 19
+#: Bits of the filter on document ids: at least eight for each id sought, and no filter beyond the most, which take 128 MB.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 23, 1 << 30
+#: Counters of shingles: bounded, whatever the input.
+COUNTERS = 1 << 19
 
 
 @lru_cache(maxsize=4)
@@ -126,9 +128,13 @@ def sketch(docs: DataFrame, *, shingle: int, threshold: float, key: str = "doc_i
 
 
 def _maybe_in(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of docs whose key may be among `ids` (one column), by a bitmap of key hashes: 1 MB is broadcast, whatever
-    the size of ids. A row that is kept in error is left to the join that follows; none is dropped in error."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    """The rows of docs whose key may be among `ids` (one column), by a bitmap of key hashes that is broadcast: eight bits
+    an id, or none at all where that would pass MOST_FILTER_BITS. A row that is kept in error is left to the join that
+    follows; none is dropped in error."""
+    wanted = max(FILTER_BITS, 1 << (8 * ids.count()).bit_length())
+    if wanted > MOST_FILTER_BITS:
+        return docs
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(wanted)) + 1
     bits = ids.select(slot(F.col(ids.columns[0])).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits"))
     at = F.bitmap_bit_position(slot(F.col(key)))
     byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -137,7 +143,7 @@ def _maybe_in(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """The shingle sets of the nodes (node = doc_id of the text that stands for them), from the texts once more."""
+    """node, k1, k2, shingles: the shingle sets of the classes (k1, k2), each from the texts of its node (a doc_id) once more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,15 +152,17 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
                 raw, at = h.tobytes(), starts.tolist()
                 same = [xxhash.xxh3_128_intdigest(raw[8 * a : 8 * b]) == (k1 + (1 << 63) << 64 | k2 + (1 << 63)) for a, b, k1, k2 in zip(at, at[1:], part.column("k1").to_pylist(), part.column("k2").to_pylist(), strict=False)]
                 sets = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.record_batch({"node": part.column("doc_id"), "shingles": sets}).filter(pa.array(same))
+                yield pa.record_batch({"node": part.column("doc_id"), "k1": part.column("k1"), "k2": part.column("k2"), "shingles": sets}).filter(pa.array(same))
 
     rows = _maybe_in(docs.select("doc_id", "text"), nodes.select("node"), "doc_id")
     rows = rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text", "k1", "k2")
-    return shared.map_arrow(rows, run, "node long, shingles array<long>")
+    return shared.map_arrow(rows, run, "node long, k1 long, k2 long, shingles array<long>").dropDuplicates(["k1", "k2"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have an intersection of at least percent / 100 of their union."""
+    """The pairs (a, b) of nodes of which two full sets have an intersection of at least percent / 100 of their union.
+
+    A node has one set, but for doc_ids that stand on different texts."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared_n = F.size(F.array_intersect("x", "y")).cast("bigint")
     return both.select("a", "b", shared_n.alias("i"), (F.size("x") + F.size("y")).alias("n")).filter(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
@@ -174,12 +182,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = shared.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     seen = mark(now)
     while seen[0]:
+        before = now
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         now = shared.written(small, "edges")
+        shared.discard(before)
         if (mark_now := mark(now)) == seen:
             break
         seen = mark_now
@@ -205,7 +215,7 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
 def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components among the nodes of open buckets that can reach percent, by prefix and position.
 
-    open_: bucket, node, n, component, and main, the bucket's largest component. One node of each pair stands aside of it.
+    open_: bucket, node, component, and main, the bucket's largest component. One node of each pair stands aside of it.
 
     Shingles are ordered by the counts of their counters (`shingle_counts`), the rarest first, then by hash: any one order
     serves. Two sets of n and m that reach percent share at least percent / (100 + percent) of n + m; so they share a
@@ -230,8 +240,8 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             columns = {c: batch.column(c).take(at) for c in ("node", "n", "component", "aside")}
             yield pa.record_batch({"token": pa.array(token[order][keep].view(np.int64)), **columns, "i": pa.array(place[keep])})
 
-    nodes = open_.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.max((F.col("component") != F.col("main")).cast("int")).alias("aside"))
-    held = nodes.join(sets, "node").select("node", "n", "component", "aside", "shingles")
+    nodes = open_.groupBy("node").agg(F.min("component").alias("component"), F.max((F.col("component") != F.col("main")).cast("int")).alias("aside"))
+    held = nodes.join(sets, "node").select("node", F.size("shingles").cast("bigint").alias("n"), "component", "aside", "shingles")
     prefix = shared.written(shared.map_arrow(held, cut, "token long, node long, n long, component long, aside int, i long"), "prefixes")
     x = prefix.filter("aside = 1").select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), F.col("i").alias("ai"))
     y = prefix.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("i").alias("bi"), "aside")
@@ -252,9 +262,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, key
 
     A pair at the threshold shares no band with a chance of MISSED. Null or empty texts, and texts without words, have an
     empty set, link with nothing and are kept. A null doc_id links with nothing and is kept, with a null component.
-    Rows that repeat a doc_id count as one document; each has its row, with that document's component. No rows: no rows.
+    Rows that repeat a doc_id count as one document; each has its row, with that document's component. Where they have
+    different texts, the document is linked to what any of them is linked to. No rows: no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sketches = shared.written(sketch(rows, shingle=shingle, threshold=percent / 100), "sketches")
     known = sketches.filter("doc_id IS NOT NULL AND n_shingles > 0")
@@ -264,33 +274,53 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, key
     full = banded.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("hub")).filter("c > 1")
     inside = shared.written(banded.join(full, "bucket").select("bucket", "hub", "node", "n"), "buckets")
     members = shared.written(inside.select("node").distinct().join(nodes.select("node", "n", "k1", "k2"), "node"), "members")
-    sets = shared.written(_sets(rows.filter("doc_id IS NOT NULL"), members.select("node", "k1", "k2"), shingle).dropDuplicates(["node"]), "sets")
+    sets = shared.written(_sets(rows.filter("doc_id IS NOT NULL"), members.select("node", "k1", "k2"), shingle), "sets")
 
     like = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
     hubs = inside.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "n").distinct()
-    hubs = hubs.join(members.select(F.col("node").alias("b"), F.col("n").alias("m")), "b").filter(like(F.col("m"), F.col("n"))).select("a", "b")
-    linked = shared.written(confirmed(hubs, sets, percent), "links")
-    labels = components(linked)
+    hubs = hubs.join(members.select(F.col("node").alias("b"), F.col("n").alias("m")), "b").filter(like(F.col("m"), F.col("n"))).select("a", "b").distinct()
+    linked = confirmed(hubs, sets, percent).unionByName(_same_id(known, nodes))
+    labels = shared.written(components(linked), "components")
 
     placed = inside.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = shared.written(placed.select("bucket", "node", "n", "component"), "placed")
+    placed = shared.written(placed.select("bucket", "node", "component"), "placed")
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     most = sizes.groupBy("bucket").agg(F.max(F.struct("c", F.col("component").alias("main"))).alias("m"), F.count("*").alias("k")).filter("k > 1").select("bucket", "m.main")
-    more = shared.written(confirmed(_prefix_pairs(placed.join(most, "bucket"), sets, percent), sets, percent), "links")
-    labels = components(linked.unionByName(more))
-
-    classes = nodes.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class"))
-    out = sketches.join(classes, ["k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    open_ = shared.written(placed.join(most, "bucket"), "open")
+    if not open_.isEmpty():
+        # links between components: a graph of components alone, much smaller than that of nodes
+        more = shared.written(confirmed(_prefix_pairs(open_, sets, percent), sets, percent).distinct(), "links")
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+        between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
+        joined = components(between).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+        nodes = nodes.join(labels, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        nodes = nodes.join(joined, "part", "left").withColumn("class", F.coalesce("whole", "part"))
+    else:
+        nodes = nodes.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))
+
+    # empty texts, which may be many, have no class and take no part in the join
+    held = sketches.filter("n_shingles > 0").join(nodes.select("k1", "k2", "class"), ["k1", "k2"], "left").select("doc_id", "n_shingles", "class")
+    out = held.unionByName(sketches.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class")))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _same_id(known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the nodes of the classes that one doc_id stands in, where it has different texts."""
+    twice = known.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
+    each = known.select("doc_id", "k1", "k2").join(twice, "doc_id").distinct().join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("doc_id", "node")
+    return each.join(each.groupBy("doc_id").agg(F.min("node").alias("least")), "doc_id").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+
+
 def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(shared.table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least doc_id."""
+    """One document of each group of near duplicates, that of the least doc_id, with all rows that repeat its id.
+
+    Null and empty texts and rows with a null doc_id stay, as nothing is like them; very long texts are compared whole.
+    All columns stay as they are, whatever they are called. No rows: no rows.
+    """
     found = near_duplicates(docs, shingle=5, percent=80)
     return docs.join(found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
