@@ -26,7 +26,11 @@ from . import shared
 DEPTH = 5
 #: The end of a text, and what stands before its beginning.
 END = 10
-GRAM, WORD = 0, 1
+GRAM, WORD, NODE = 0, 1, 2
+#: Context bytes by which grams are dealt out: a task weights the depths from there on, `Top` the rest.
+DEALT = 3
+#: Blocks in one row of a gram or word, at most: one that every block holds is many rows.
+MOST_BLOCKS = 1000
 _HALF = math.log(0.5)
 
 
@@ -105,7 +109,7 @@ def _weighted(own: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return both, np.exp(_HALF + own - both)
 
 
-def subtree(keys: np.ndarray, counts: np.ndarray, shallow: int = 2) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, ...]]]:
+def subtree(keys: np.ndarray, counts: np.ndarray, shallow: int = DEALT) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, ...]]]:
     """For sorted keys with all that share a context of `shallow` bytes: what the depths from there on predict.
 
     Returns a row of eight for each key, the probability of each of its bits (nan where no such context was met), and for
@@ -213,88 +217,147 @@ def _count(table: pa.Table) -> pa.Table:
     )
 
 
-def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the grams of whole two-byte contexts: predictions for each gram, and sums for the nodes one byte up."""
-    keys, counts, blocks = [], [], []
+def _rows(key: np.ndarray, n: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted keys: the distinct ones and their sums of n; where rows of at most MOST_BLOCKS blocks each begin, and of which distinct key."""
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(start, append=len(key))
+    pieces = -(-size // MOST_BLOCKS)
+    of = np.repeat(np.arange(len(start)), pieces)
+    cuts = start[of] + MOST_BLOCKS * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return key[start], np.add.reduceat(n, start), cuts, of
+
+
+def _grow(batches: Iterator[pa.RecordBatch], least: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """From (kind, key, n, block), sorted by kind and key, whole DEALT-byte contexts: the sums of words, predictions for grams,
+    and sums for the nodes one byte up. Holds `least` rows and one context at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        keys.append(batch.column("key").to_numpy())
-        counts.append(batch.column("n").to_numpy())
-        blocks.append(batch.column("blocks"))
-    if not sum(map(len, keys)):
-        return
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key)
-    predicted, nodes = subtree(key[order], count[order])
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    at = 0
-    for k, b in zip(keys, blocks, strict=True):
-        rows = predicted[back[at : at + len(k)]].astype(np.float32)
-        at += len(k)
-        yield pa.record_batch({"kind": pa.array(np.zeros(len(k), dtype=np.int32)), "key": pa.array(k), "blocks": b, "p": pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1) * 8, pa.int32()), pa.array(rows.ravel()))})
-    for j, (prefix, zeros, ones, log_w) in nodes.items():
-        node = prefix >> 8 + j << 8 | 1 << j | prefix & (1 << j) - 1  # nearest byte, then bits seen behind a leading 1
-        distinct, where = np.unique(node, return_inverse=True)
-        sums = np.stack([np.bincount(where, weights=x, minlength=len(distinct)) for x in (zeros, ones, log_w)], axis=1)
-        yield pa.record_batch({"kind": pa.array(np.ones(len(distinct), dtype=np.int32)), "key": pa.array(distinct), "blocks": pa.nulls(len(distinct), pa.list_(pa.int32())), "p": pa.ListArray.from_arrays(pa.array(np.arange(len(distinct) + 1) * 3, pa.int32()), pa.array(sums.ravel().astype(np.float32)))})
+        held.append(batch)
+        size += batch.num_rows
+        if size >= least:
+            table = pa.Table.from_batches(held).combine_chunks()
+            kind, key = table["kind"].to_numpy(), table["key"].to_numpy()
+            context = np.where(kind == GRAM, key >> 8 * (DEPTH + 1 - DEALT), key)
+            change = np.flatnonzero((kind[1:] != kind[:-1]) | (context[1:] != context[:-1]))
+            held, size = [], 0
+            if len(change):
+                yield from _grown(table.slice(0, int(change[-1]) + 1))
+                table = table.slice(int(change[-1]) + 1)
+            for rest in table.to_batches():
+                held.append(rest)
+                size += rest.num_rows
+            least = max(least, 2 * size)  # a context larger than that is waited for
+    if size:
+        yield from _grown(pa.Table.from_batches(held).combine_chunks())
+    shared.release_memory()
+
+
+def _grown(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(cuts, len(values)), pa.int32()), pa.array(values))
+
+    none = lambda n, kind: pa.nulls(n, pa.list_(kind))
+    kinds = table["kind"].to_numpy()
+    for kind in (GRAM, WORD):
+        own = slice(*np.searchsorted(kinds, [kind, kind + 1]))
+        key, n, block = (table[c].to_numpy()[own] for c in ("key", "n", "block"))
+        if not len(key):
+            continue
+        distinct, count, cuts, of = _rows(key, n, block)
+        predicted = None
+        if kind == GRAM:
+            predicted, nodes = subtree(distinct, count)
+            predicted = predicted.astype(np.float32)[of]
+        yield pa.record_batch(
+            {
+                "kind": pa.array(np.full(len(of), kind, dtype=np.int32)),
+                "key": pa.array(distinct[of]),
+                "n": pa.array(count[of]),
+                "first": pa.array(np.append(True, of[1:] != of[:-1])),
+                "blocks": lists(block, cuts),
+                "p": none(len(of), pa.float32()) if predicted is None else lists(predicted.ravel(), 8 * np.arange(len(of))),
+                "sums": none(len(of), pa.float64()),
+            }
+        )
+        if kind == GRAM:
+            for j, (prefix, zeros, ones, log_w) in nodes.items():
+                node = prefix >> 8 + j << 8 | 1 << j | prefix & (1 << j) - 1  # nearer bytes, then bits seen behind a leading 1
+                near, where = np.unique(node, return_inverse=True)
+                total = np.stack([np.bincount(where, weights=x, minlength=len(near)) for x in (zeros, ones, log_w)], axis=1)
+                m = len(near)
+                yield pa.record_batch({"kind": pa.array(np.full(m, NODE, dtype=np.int32)), "key": pa.array(near), "n": pa.nulls(m, pa.int64()), "first": pa.nulls(m, pa.bool_()), "blocks": none(m, pa.int32()), "p": none(m, pa.float32()), "sums": lists(total.ravel(), 3 * np.arange(m))})
 
 
 class Top:
-    """The nodes of depths 1 and 0, at most 256 * 255 and 255: made from the sums over all longer contexts."""
+    """The nodes of depths 2, 1 and 0, made from the sums over all longer contexts, in double precision.
+
+    There are at most 255 for each pair of bytes that occurs, so 16 million whatever the corpus; text has some hundred thousand.
+    """
 
-    def __init__(self, rows: list[tuple[int, float, float, float]]):
-        size = 256 * 256
-        key = np.array([r[0] for r in rows], dtype=np.int64)
-        self.zeros, self.ones, longer = (np.bincount(key, weights=[r[k] for r in rows], minlength=size) if rows else np.zeros(size) for k in (1, 2, 3))
-        log_w, self.stay = _weighted(log_kt(self.zeros, self.ones), longer)
-        log_w = np.where(self.zeros + self.ones > 0, log_w, 0.0)
-        self.zeros0, self.ones0, longer0 = (x.reshape(256, 256).sum(axis=0) for x in (self.zeros, self.ones, log_w))
-        self.stay0 = _weighted(log_kt(self.zeros0, self.ones0), longer0)[1]
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, longer: np.ndarray):
+        pairs = np.unique(keys >> 8)
+        self.pair = np.zeros(1 << 16, dtype=np.int32)
+        self.pair[pairs] = np.arange(len(pairs))
+        self.depths = []  # from depth 2 on: probability of a zero and of a one, and how much of the mixture is the node's own
+        at, size = self.pair[keys >> 8].astype(np.int64) << 8 | keys & 255, max(1, len(pairs)) << 8
+        for depth in (2, 1, 0):
+            zeros, ones, longer = (np.bincount(at, weights=x, minlength=size) for x in (zeros, ones, longer))
+            log_w, stay = _weighted(log_kt(zeros, ones), longer)
+            total = zeros + ones
+            self.depths.append([np.where(total > 0, (x + 0.5) / (total + 1.0), np.nan) for x in (zeros, ones)] + [stay])
+            longer = np.where(total > 0, log_w, 0.0)
+            if depth == 2:  # of the two bytes only the nearer one stays
+                at, size = np.repeat(np.append(pairs, 0)[: max(1, len(pairs))] >> 8, 256) << 8 | np.arange(size) & 255, 1 << 16
+            else:
+                at, size = np.arange(size) & 255, 256
 
     def log10(self, keys: np.ndarray, predicted: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each key's byte; predicted: of its bits, by depths 2 and more."""
+        """log10 of the probability of each key's byte; predicted: of its bits, by depths DEALT and more."""
         out = np.zeros(len(keys))
+        pair = self.pair[keys >> 8 * (DEPTH - 1)].astype(np.int64) << 8
+        near = keys >> 8 * DEPTH << 8
         for j in range(8):
-            near, bits, bit = keys >> 8 * DEPTH & 255, 1 << j | (keys & 255) >> 8 - j, keys >> 7 - j & 1
+            bits, bit = 1 << j | (keys & 255) >> 8 - j, (keys >> 7 - j & 1).astype(bool)
             p = predicted[:, j].astype(np.float64)
-            for at, zeros, ones, stay in ((near << 8 | bits, self.zeros, self.ones, self.stay), (bits, self.zeros0, self.ones0, self.stay0)):
-                total = zeros[at] + ones[at]
-                kt = (np.where(bit, ones[at], zeros[at]) + 0.5) / (total + 1.0)
-                p = np.where(total > 0, np.where(np.isnan(p), kt, stay[at] * kt + (1 - stay[at]) * p), np.nan)
+            for at, (zero, one, stay) in zip((pair | bits, near | bits, bits), self.depths, strict=True):
+                kt, own = np.where(bit, one[at], zero[at]), stay[at]
+                p = np.where(np.isnan(p), kt, own * kt + (1 - own) * p)
             out += np.log10(np.where(np.isnan(p), 0.5, p))
         return out
 
 
 def score(docs: DataFrame, *, block_bytes: int = 14 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text, held_out).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of each row of docs (doc_id, text, held_out).
 
     Learns from the rows that aren't held out, and scores all. A text is its words (parted by ASCII white space, A-Z in
     lower case) with single spaces between, and an end; score is the log10 probability of all its bytes and the end, and
     base_score that of its words and the end by add-one counts.
 
     1. Texts are dealt by hash into blocks of about block_bytes; each block is reduced to its distinct grams (context and
-       byte) and words with counts, which are summed over blocks. What is gathered grows with the texts.
-    2. Grams are dealt by their nearest two context bytes, so each task holds whole subtrees of distinct grams and
-       weights them from the longest contexts up; sums for the nodes at depth 1 (65,280 at most) go to the driver.
+       byte) and words with counts. What is gathered grows with the texts.
+    2. Grams are dealt by their nearest three context bytes and sorted, so that a task sums equal ones and weights whole
+       subtrees of distinct grams from the longest contexts up, one context after another; sums for the nodes at depth 2
+       (bounded, see `Top`) go to the driver in double precision.
     3. Each block gets back the values of its own grams and words, and scores its texts.
 
-    No model is broadcast but the nodes of depths 0 and 1. A null or empty text is its end alone. Null doc_ids and
-    repeated rows are rows like others. Without rows to learn from each bit costs one bit. No rows: no rows.
+    No model is broadcast but the nodes of depths 0 to 2. n_bytes counts the bytes of a text so written with its end, and
+    bits_per_byte is its code length over them. A null or empty text is its end alone. Null doc_ids and repeated rows are
+    rows like others. Without rows to learn from each bit costs one bit. No rows: no rows.
     """
     spark = docs.sparkSession
     shared.prepare(spark)
     n_blocks = max(1, math.ceil(shared.text_bytes(docs) / block_bytes))
     texts = _texts(docs, n_blocks)
     counted = texts.groupBy("block").applyInArrow(_count, "block int, kind int, key long, n long")
-    summed = counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
-    summed = shared.written(summed, "counts")
-    word_sums = summed.filter(F.col("kind") == WORD).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    context = F.when(F.col("kind") == GRAM, F.shiftright("key", 8 * (DEPTH + 1 - DEALT))).otherwise(F.col("key"))
+    dealt = counted.repartition(max(n_blocks, shared.parts_for(spark, 0, 1)), "kind", context).sortWithinPartitions("kind", "key")
+    grown = shared.map_arrow(dealt.select("kind", "key", "n", "block"), _grow, "kind int, key long, n long, first boolean, blocks array<int>, p array<float>, sums array<double>")
+    grown = shared.written(grown, "subtrees")
+    word_sums = grown.filter(f"kind = {WORD} AND first").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n_train, vocabulary = word_sums.n or 0, word_sums.v or 0
-
-    dealt = summed.filter(F.col("kind") == GRAM).select("key", "n", "blocks").repartition(shared.parts_for(spark, 0, 1), F.shiftright("key", 8 * (DEPTH - 1)))
-    grown = shared.written(shared.map_arrow(dealt, _grow, "kind int, key long, blocks array<int>, p array<float>"), "subtrees")
-    sums = grown.filter("kind = 1").groupBy("key").agg(*[F.sum(F.get("p", F.lit(k)).cast("double")) for k in range(3)])
-    top = Top([tuple(r) for r in sums.collect()])  # one row a node of depth 1
+    sums = grown.filter(f"kind = {NODE}").groupBy("key").agg(*[F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(3)]).toArrow()
+    top = Top(*(sums[c].to_numpy() for c in ("key", "s0", "s1", "s2")))  # one row a node of depth 2
     base = math.log10(n_train + vocabulary + 1)
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,9 +366,9 @@ def score(docs: DataFrame, *, block_bytes: int = 14 << 20) -> DataFrame:
             predicted = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, 8)
             yield pa.record_batch({"key": batch.column("key"), "blocks": batch.column("blocks"), "value": pa.array(top.log10(key, predicted))})
 
-    grams = shared.map_arrow(grown.filter("kind = 0").select("key", "blocks", "p"), value, "key long, blocks array<int>, value double")
+    grams = shared.map_arrow(grown.filter(f"kind = {GRAM}").select("key", "blocks", "p"), value, "key long, blocks array<int>, value double")
     grams = grams.select(F.explode("blocks").alias("block"), F.lit(GRAM).alias("kind"), "key", "value")
-    words = summed.filter(F.col("kind") == WORD).select(F.explode("blocks").alias("block"), "kind", "key", F.col("n").cast("double").alias("value"))
+    words = grown.filter(f"kind = {WORD}").select(F.explode("blocks").alias("block"), "kind", "key", F.col("n").cast("double").alias("value"))
 
     def apply(table: pa.Table, values: pa.Table) -> pa.Table:
         kind = values["kind"].to_numpy()
@@ -322,8 +385,9 @@ def score(docs: DataFrame, *, block_bytes: int = 14 << 20) -> DataFrame:
             cost, unknown = dict(zip(distinct, costs.tolist(), strict=True)), -base
             for k, w in enumerate(texts):
                 each = [cost[x] for x in (*w, b"\n")]
-                out.append((len(each), sum(e > unknown for e in each), math.fsum(each), totals[k]))
-        fields = list(zip(*out, strict=True)) if out else [[]] * 4
+                size = sum(map(len, w)) + max(1, len(w))
+                out.append((len(each), sum(e > unknown for e in each), math.fsum(each), totals[k], size, -totals[k] * math.log2(10) / size))
+        fields = list(zip(*out, strict=True)) if out else [[]] * 6
         del of_gram, of_word
         shared.release_memory()
         return pa.table(
@@ -335,10 +399,12 @@ def score(docs: DataFrame, *, block_bytes: int = 14 << 20) -> DataFrame:
                 "train_tokens": pa.array([n_train] * len(out), pa.int64()),
                 "base_score": pa.array(fields[2], pa.float64()),
                 "score": pa.array(fields[3], pa.float64()),
+                "n_bytes": pa.array(fields[4], pa.int64()),
+                "bits_per_byte": pa.array(fields[5], pa.float64()),
             }
         )
 
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     return texts.groupBy("block").cogroup(grams.unionByName(words).groupBy("block")).applyInArrow(apply, out)
 
 

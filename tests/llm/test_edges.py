@@ -239,9 +239,48 @@ def test_context_tree_is_exact(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
     flat = lambda t: b" ".join(context_tree.words_of(t))
     want = brute.context_tree([flat(t) for _, t, out in rows if not out], [flat(t) for t in texts], context_tree.DEPTH)
-    got = {r.doc_id: r.score for r in context_tree.score(df, block_bytes=40).collect()}
+    found = context_tree.score(df, block_bytes=40).collect()
+    got, rates = {r.doc_id: r.score for r in found}, {r.doc_id: (r.n_bytes, r.bits_per_byte) for r in found}
     for k, w in enumerate(want):
         assert math.isclose(got[k], w, rel_tol=1e-5), (k, got[k], w)
+        n = len(flat(texts[k])) + 1
+        assert rates[k][0] == n and math.isclose(rates[k][1], -w * math.log2(10) / n, rel_tol=1e-5)
+
+
+def test_context_tree_with_contexts_of_many_blocks(monkeypatch, spark):
+    """Grams that many blocks hold go as several rows, contexts come in several batches; scores stay what they are."""
+    monkeypatch.setattr(context_tree, "MOST_BLOCKS", 3)
+    key = np.array([1, 1, 1, 1, 5, 5, 9], dtype=np.int64)
+    distinct, n, cuts, of = context_tree._rows(key, np.arange(7), np.arange(7))
+    assert (distinct.tolist(), n.tolist(), cuts.tolist(), of.tolist()) == ([1, 5, 9], [6, 9, 6], [0, 3, 4, 6], [0, 0, 1, 2])
+    monkeypatch.undo()
+    rng = np.random.default_rng(18)
+    keys, starts = context_tree.keys_of([[b"".join(rng.choice([b"a", b"b", b"c"], 300))]])
+    grams, times = np.unique(keys, return_counts=True)
+    import pyarrow as pa
+
+    rows = pa.table({"kind": np.zeros(len(grams), dtype=np.int32), "key": grams, "n": times, "block": np.zeros(len(grams), dtype=np.int32)})
+    seen = []
+    for step, least in ((7, 1), (50, 60), (10**6, 10**6)):
+        out = pa.Table.from_batches(context_tree._grow(iter(rows.to_batches(max_chunksize=step)), least)).to_pylist()
+        nodes = {}
+        for r in out:
+            if r["kind"] == context_tree.NODE:
+                nodes[r["key"]] = np.add(nodes.get(r["key"], 0.0), r["sums"])
+        seen.append(({r["key"]: r["p"] for r in out if r["kind"] == context_tree.GRAM}, {k: v.round(9).tolist() for k, v in nodes.items()}))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][0]) == len(grams)
+
+
+def test_context_tree_counts_beyond_single_precision():
+    """A node of 2^31 decisions and log weights of billions: shares and weights to double precision."""
+    zeros, ones = np.array([2.0**31 + 1, 3.0]), np.array([1.0, 5.0])
+    keys = np.array([(97 << 8 | 98) << 8 | 1, (97 << 8 | 99) << 8 | 1])
+    own = context_tree.log_kt(zeros, ones)
+    top = context_tree.Top(keys, zeros, ones, own - np.array([1e-3, 2.0]))
+    at = int(top.pair[97 << 8 | 98]) << 8 | 1
+    assert math.isclose(top.depths[0][1][at], 1.5 / (2.0**31 + 3), rel_tol=1e-12)
+    assert math.isclose(top.depths[0][2][at], 1 / (1 + math.exp(-1e-3)), rel_tol=1e-4)
+    assert math.isclose(top.depths[1][0][97 << 8 | 1], (2.0**31 + 4.5) / (2.0**31 + 11), rel_tol=1e-12)
 
 
 def test_context_tree_edges(spark, docs, none):
