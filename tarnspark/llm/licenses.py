@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +24,7 @@ PHRASES = (
 #: Wordings of public licenses, and their labels.
 TEMPLATES = (
     ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "mit"),
+    ("The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement", "mit"),
     ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "mit"),
     ("Released under the MIT License", "mit"),
     ("Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License", "apache-2.0"),
@@ -35,6 +36,10 @@ TEMPLATES = (
     ("This program is free software: you can redistribute it under the terms of the GNU Affero General Public License", "agpl"),
     ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
     ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "bsd"),
+    ("This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose", "gpl"),
+    ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied", "apache-2.0"),
+    ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means", "unlicense"),
     ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2.0"),
     ("This is free and unencumbered software released into the public domain", "unlicense"),
     ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by-4.0"),
@@ -60,17 +65,62 @@ class Join:
 
     def __init__(self, templates: list[tuple[list[bytes], str, float]], order: dict[bytes, int]):
         self.order = order
-        self.templates = []
+        self.templates, self.reach = [], []
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for words, label, threshold in templates:
+        self.member = np.zeros((len(templates), len(order) + 1), dtype=bool)  # the last column: words of no template
+        self.starts = np.zeros_like(self.member)
+        for t, (words, label, threshold) in enumerate(templates):
             tokens = sorted({order[w] for w in words})
             need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
             for place, token in enumerate(tokens[: len(tokens) - need + 1]):
-                self.index[token].append((len(self.templates), place))
+                self.index[token].append((t, place))
+                self.starts[t, token] = True
+            self.member[t, tokens] = True
             self.templates.append((tokens, need, label))
+            self.reach.append(max(1, math.ceil(len(words) / threshold - 1e-9)))
         sets = [set(t) for t, _, _ in self.templates]
         self.rivals = [{u for u in range(len(sets)) if u != t and 2 * len(sets[t] & sets[u]) >= min(len(sets[t]), len(sets[u]))} for t in range(len(sets))]
 
+    def windows(self, own: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(template, first word, end, containment) of each stretch of a text in which windows meet a template.
+
+        own: the token of each word, -1 where it is of no template. A template of so many words is sought in every window
+        of that many over its threshold; the best window of those that meet and overlap speaks for all of them. Only
+        windows that hold a prefix token are looked at, and only where enough template tokens are within reach of one.
+        """
+        out = []
+        for t in sorted({t for token in np.unique(own).tolist() for t, _ in self.index.get(token, ())}):
+            tokens, need, _ = self.templates[t]
+            reach = self.reach[t]
+            at = np.flatnonzero(self.member[t][own])
+            if len(at) < need:
+                continue
+            hits = at[self.starts[t][own[at]]]
+            k = np.searchsorted(hits, at)
+            far = np.minimum(at - np.append(-reach, hits)[k], np.append(hits, at[-1] + reach)[np.minimum(k, len(hits))] - at)
+            at = at[far < reach]
+            token = own[at]
+            if len(np.unique(token)) < need:
+                continue
+            places, seen = token.tolist(), Counter()
+            starts, stops = at.tolist(), np.searchsorted(at, at + reach).tolist()  # of the window from each place on
+            upto, last, best = 0, None, (0, 0)
+            for x, stop in enumerate(stops):
+                for y in range(upto, stop):
+                    seen[places[y]] += 1
+                upto = stop
+                if len(seen) >= need:
+                    if last is not None and starts[x] >= last + reach:
+                        out.append((t, -best[1], last + reach, best[0] / len(tokens)))
+                        best = (0, 0)
+                    last, best = starts[x], max(best, (len(seen), -starts[x]))
+                seen[places[x]] -= 1
+                if not seen[places[x]]:
+                    del seen[places[x]]
+            if last is not None:
+                out.append((t, -best[1], last + reach, best[0] / len(tokens)))
+        return out
+
     def match(self, block: list[int]) -> list[tuple[int, float]]:
         """(template, containment) for each template that a block meets; block: its distinct template tokens, in order."""
         first: dict[int, tuple[int, int]] = {}
@@ -87,10 +137,11 @@ class Join:
                 out.append((t, both / len(tokens)))
         return out
 
-    def best(self, met: list[tuple[int, float]]) -> set[str]:
-        """The labels of the templates met by a block, but for those whose wording is much like that of one met better."""
-        rank = {t: (share, len(self.templates[t][0])) for t, share in met}
-        return {self.templates[t][2] for t, own in rank.items() if not any(rank.get(u, own) > own for u in self.rivals[t])}
+    def best(self, met: list[tuple[int, int, int, float]]) -> set[str]:
+        """The labels of what `windows` found, but for those beside which a template of like wording is met better."""
+        rank = [(share, len(self.templates[t][0])) for t, _, _, share in met]
+        beaten = lambda k, t, a, b: any(u in self.rivals[t] and rank[n] > rank[k] and a < d and c < b for n, (u, c, d, _) in enumerate(met))
+        return {self.templates[t][2] for k, (t, a, b, _) in enumerate(met) if not beaten(k, t, a, b)}
 
 
 def token_counts(docs: DataFrame, tokens: list[bytes], text: str = "text") -> dict[bytes, int]:
@@ -112,17 +163,19 @@ def token_counts(docs: DataFrame, tokens: list[bytes], text: str = "text") -> di
     return {bytes(r.token): r.n for r in rows.groupBy("token").agg(F.sum("n").alias("n")).collect()}
 
 
-def scan(docs: DataFrame, *, threshold: float = 0.8, lines: int = 4, key: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
+def scan(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     """One row a document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
-    Blocks are every window of `lines` consecutive lines (one window if there are fewer), as sets of words; any block
-    that holds `threshold` of a template's distinct words is found, none is missed. Phrases join with the whole text as
-    a block, at containment 1, and count where their words stand in a row. matches: (label, first line, containment) of
-    every template that any block meets; labels: of those that no template of like wording is met better than; score: the greatest containment, 1 for a phrase, 0 without any.
+    Blocks are all windows of consecutive words, for each template of as many as it has over `threshold`, however lines
+    are broken; any window that holds `threshold` of a template's distinct words is found, none is missed. Phrases join
+    with the whole text as a block, at containment 1, and count where their words stand in a row. matches: (label, first
+    word, containment) of the best window of each stretch of overlapping ones that meet a template; labels: of those that
+    no template of like wording is met better than in the same place; score: the greatest containment, 1 for a phrase, 0
+    without any.
 
     Two passes over the texts, without a shuffle: one counts template tokens for their global order, one joins; the
     templates are a fixed list. A null or empty text: no words, no labels. Repeated rows each get their row. Very long
-    texts are read whole; only lines of documents that hold some template's prefix token are looked at one by one.
+    texts are read whole; only documents that hold some template's prefix token are looked at word by word.
     """
     wordings = [(words_of(w), label, threshold) for w, label in templates]
     sayings = [(words_of(w), label, 1.0) for w, label in phrases]
@@ -131,19 +184,18 @@ def scan(docs: DataFrame, *, threshold: float = 0.8, lines: int = 4, key: str =
     order = {w: k for k, w in enumerate(sorted(tokens, key=lambda w: (seen.get(w, 0), w)))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_lines, by_text = Join(wordings, order), Join(sayings, order)
+        by_window, by_text = Join(wordings, order), Join(sayings, order)
         sought = [[order[w] for w in words] for words, _, _ in sayings]
         for batch in batches:
             for part in shared.blocks_of(batch, "text"):
                 words = shared.Words(part.column("text"), plain=True)
                 token = np.fromiter((order.get(w, -1) for w in words.distinct), dtype=np.int64, count=len(words.distinct))[words.which]
-                starts = np.isin(token, list({*by_lines.index, *by_text.index}))
+                starts = np.isin(token, list({*by_window.index, *by_text.index}))
                 n = part.num_rows
                 out = [(0, None, None, "", "", 0.0, [])] * n
                 for k in np.unique(words.row[starts]).tolist():
                     own = token[words.before[k] : words.before[k + 1]]
-                    raw = words.data[words.offsets[k] : words.offsets[k + 1]]
-                    out[k] = judge(own, words.at[words.before[k] : words.before[k + 1]] - words.offsets[k], part.column("text")[k], by_lines, by_text, sought, len(raw))
+                    out[k] = judge(own, by_window, by_text, sought)
                 fields = list(zip(*out, strict=True)) if n else [[]] * 7
                 yield pa.record_batch(
                     {
@@ -155,12 +207,12 @@ def scan(docs: DataFrame, *, threshold: float = 0.8, lines: int = 4, key: str =
                         "base_labels": pa.array(fields[3], pa.string()),
                         "labels": pa.array(fields[4], pa.string()),
                         "score": pa.array(fields[5], pa.float64()),
-                        "matches": pa.array([[{"label": a, "line": b, "containment": c} for a, b, c in m] for m in fields[6]], pa.list_(pa.struct([("label", pa.string()), ("line", pa.int64()), ("containment", pa.float64())]))),
+                        "matches": pa.array([[{"label": a, "word": b, "containment": c} for a, b, c in m] for m in fields[6]], pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("containment", pa.float64())]))),
                     }
                 )
 
-    def judge(own: np.ndarray, at: np.ndarray, text: pa.Scalar, by_lines: Join, by_text: Join, sought: list[list[int]], size: int) -> tuple:
-        places, base, labels, score, matches = [], set(), set(), 0.0, []
+    def judge(own: np.ndarray, by_window: Join, by_text: Join, sought: list[list[int]]) -> tuple:
+        places, base, score = [], set(), 0.0
         for t, _ in by_text.match(np.unique(own[own >= 0]).tolist()):
             phrase = sought[t]
             if len(own) < len(phrase):
@@ -172,24 +224,16 @@ def scan(docs: DataFrame, *, threshold: float = 0.8, lines: int = 4, key: str =
                 places.extend(np.flatnonzero(hit).tolist())
                 base.add(by_text.templates[t][2])
                 score = 1.0
-        if len(known := np.flatnonzero(own >= 0)):
-            breaks = np.flatnonzero(np.frombuffer(text.as_buffer(), dtype=np.uint8) == 10)
-            line = np.searchsorted(breaks, at[known])
-            last, started = len(breaks), np.unique(line[np.isin(own[known], list(by_lines.index))]).tolist()
-            for first in sorted({max(0, min(a, last - lines + 1)) for x in started for a in range(max(0, x - lines + 1), x + 1)}):
-                inside = known[np.searchsorted(line, first) : np.searchsorted(line, first + lines)]
-                met = by_lines.match(np.unique(own[inside]).tolist())
-                labels |= by_lines.best(met)
-                for t, share in met:
-                    matches.append((by_lines.templates[t][2], first, share))
-                    score = max(score, share)
-        return len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score, matches
+        met = by_window.windows(own)
+        matches = [(by_window.templates[t][2], first, share) for t, first, _, share in met]
+        score = max([score, *(share for *_, share in met)])
+        return len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | by_window.best(met))), score, matches
 
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return shared.map_arrow(
         rows,
         run,
-        f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label: string, line: long, containment: double>>",
+        f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label: string, word: long, containment: double>>",
     )
 
 

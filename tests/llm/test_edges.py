@@ -298,7 +298,7 @@ def test_multi_index_edges(spark):
     rows = [(k, rng.normal(size=4).tolist()) for k in range(30)]
     rows += [(30, None), (31, [0.0] * 4), (32, [1.0, None, 0.0, 0.0]), (33, [float("nan"), 1.0, 1.0, 1.0]), (34, [float("inf"), 1.0, 1.0, 1.0]), (None, [1.0] * 4), (35, [1.0, 2.0]), (36, rows[3][1]), (37, rows[3][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1))
-    out = multi_index.search(df, is_query=F.col("vec_id") % 10 == 0, k=5, share=1.0).collect()
+    out = multi_index.search(df, is_query=F.col("vec_id") % 10 == 0, k=5, recall=1.0).collect()
     ok = {i: np.array(v) for i, v in rows if i is not None and i not in range(30, 36)}
     for q in (0, 10, 20):
         want = sorted(((-float(ok[q] @ v), i) for i, v in ok.items() if i != q))[:5]
@@ -310,6 +310,41 @@ def test_multi_index_edges(spark):
     assert len(few) == 6
 
 
+@pytest.mark.parametrize(("shape", "most"), [("clusters", 0.25), ("none", 0.8), ("hot", 0.8)])
+def test_multi_index_prunes_and_finds(spark, shape, most):
+    """Recall of all queries, not of those tried, and the share of rows scored; vectors of norms about 1,000 as well."""
+    rng = np.random.default_rng(21)
+    n, d = 6000, 32
+    m = rng.normal(size=(n, d))
+    if shape == "clusters":
+        m = m * 0.3 + rng.normal(size=(60, d))[rng.integers(0, 60, n)]
+    if shape == "hot":
+        m[: n // 3] = 1000 * m[0]  # a third of all rows is one vector: ties go by id
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(m.tolist())], "vec_id long, embedding array<double>")
+    rows = multi_index.search(df, is_query=F.col("vec_id") % 10 == 0, k=10).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.query_id, []).append(r)
+    hit, near = 0, m @ m.T
+    for q in range(0, n, 10):
+        own = near[q].copy()
+        own[q] = -np.inf
+        best = set(np.lexsort((np.arange(n), -own))[:10].tolist())
+        hit += len(best & {r.vec_id for r in found[q]})
+    scored = np.mean([r[0].n_scored for r in found.values()]) / n
+    assert hit / (10 * len(found)) >= 0.9 and len(found) == n // 10
+    assert scored <= most
+
+
+def test_blocks_hold_each_cell():
+    counts = np.array([0, 5000, 10, 0, 4000, 90, 9000, 0, 3])
+    index = multi_index.Index(np.zeros((3, 1)), np.zeros((3, 1)), counts)
+    assert all(index.low[index.block[c]] <= c < index.high[index.block[c] + index.parts[c] - 1] for c in np.flatnonzero(counts))
+    assert index.parts[[1, 2, 4, 5, 6, 8]].tolist() == [2, 1, 1, 1, 3, 1]
+    held = np.bincount(index.block, weights=np.where(index.parts == 1, counts, 0), minlength=len(index.low))
+    assert held.max() <= multi_index.BLOCK
+
+
 def test_visit_goes_by_falling_sum():
     rng = np.random.default_rng(7)
     f, s, counts = rng.normal(size=9), rng.normal(size=7), rng.integers(0, 5, 63)
@@ -328,21 +363,44 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0 and licenses.scan(docs).count() == len(TEXTS)
 
 
-def test_every_block_that_holds_enough_of_a_template_is_found(spark):
+def test_every_window_that_holds_enough_of_a_template_is_found(spark):
+    """Against all windows of all words; a match is a stretch of windows that meet and overlap, with its best containment."""
     rng = np.random.default_rng(8)
     templates = [(" ".join(rng.choice(list("abcdefghijklmnop"), 9)), f"t{k}") for k in range(6)]
-    texts = [(k, "\n".join(" ".join(rng.choice(list("abcdefghijklmnopqrst"), int(rng.integers(0, 7)))) for _ in range(int(rng.integers(1, 12))))) for k in range(80)]
+    texts = [(k, "\n".join(" ".join(rng.choice(list("abcdefghijklmnopqrst"), int(rng.integers(0, 7)))) for _ in range(int(rng.integers(1, 12))))) for k in range(120)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    got = {r.doc_id: {(m.label, m.line) for m in r.matches} for r in licenses.scan(df, templates=templates, threshold=0.8, lines=3).collect()}
+    got = {r.doc_id: (r.score, {(m.label, round(m.containment, 9)) for m in r.matches}) for r in licenses.scan(df, templates=templates, threshold=0.8).collect()}
     for k, t in texts:
-        lines, want = t.split("\n"), set()
-        for first in range(max(1, len(lines) - 2)):
-            block = set(" ".join(lines[first : first + 3]).split())
-            for words, label in templates:
-                own = set(words.split())
-                if len(own & block) >= math.ceil(0.8 * len(own) - 1e-9):
-                    want.add((label, first))
-        assert got[k] == want
+        words, want = t.split(), set()
+        for template, label in templates:
+            own = set(template.split())
+            reach, last, best = math.ceil(len(template.split()) / 0.8 - 1e-9), None, 0.0
+            for first, w in enumerate(words):
+                share = len(own & set(words[first : first + reach])) / len(own)
+                if w in own and share >= 0.8 - 1e-9:
+                    if last is not None and first >= last + reach:
+                        want.add((label, round(best, 9)))
+                        best = 0.0
+                    last, best = first, max(best, share)
+            if last is not None:
+                want.add((label, round(best, 9)))
+        assert got[k][1] == want and math.isclose(got[k][0], max((c for _, c in want), default=0.0), abs_tol=1e-9)
+
+
+def test_licenses_however_they_are_wrapped(spark):
+    wording = licenses.TEMPLATES[0][0].split()
+    shapes = {
+        1: " ".join(wording),
+        2: "\n".join(" ".join(wording[k : k + 4]) for k in range(0, len(wording), 4)),
+        3: "\n".join(wording),
+        4: "\n\n".join(" ".join(wording[k : k + 6]) for k in range(0, len(wording), 6)),
+        5: "\n".join(" * " + " ".join(wording[k : k + 3]) + " *" for k in range(0, len(wording), 3)),
+        6: " ".join(wording[: len(wording) // 2]),
+        7: " filler ".join(wording),
+    }
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(shapes.items()), "doc_id long, text string")).collect()}
+    assert all(got[k].labels == "mit" and got[k].score == 1 for k in (1, 2, 3, 4, 5))
+    assert all(got[k].labels == "" and got[k].score == 0 for k in (6, 7))
 
 
 def test_toxicity_learns_from_positive_and_unlabelled_rows(spark, docs, none):
