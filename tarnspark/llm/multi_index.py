@@ -19,27 +19,48 @@ from . import shared
 
 #: Rows that the centroids are fitted on, at most; every row is indexed.
 SAMPLE = 8192
+#: Queries whose true neighbours are sought among all rows, to see how far queries must go.
+TRIED = 128
 #: Entries of a block, and queries, that one task scores; STEP queries at a time.
-BLOCK, QUERIES, STEP = 16384, 4096, 256
-#: Cells of neighbouring first-half centroids that stand together.
-SLABS = 8
+BLOCK, QUERIES, STEP = 4096, 4096, 256
 
 
 @dataclass
 class Index:
-    """Centroids of both halves, rows in each cell (first centroid * n + second), and how many blocks each slab of cells has."""
+    """Centroids of both halves, rows in each cell (first centroid * n + second), and which blocks hold each cell.
+
+    A block holds a run of neighbouring cells of BLOCK rows together, or a part of one cell that has more.
+    """
 
     first: np.ndarray
     second: np.ndarray
     counts: np.ndarray
-    blocks: list[int]
+
+    def __post_init__(self):
+        self.block, self.parts = np.zeros(len(self.counts), dtype=np.int64), np.zeros(len(self.counts), dtype=np.int64)
+        low, high, room = [], [], 0
+        for c in np.flatnonzero(self.counts).tolist():
+            n = int(self.counts[c])
+            if n > room:
+                self.block[c], self.parts[c] = len(low), -(-n // BLOCK)
+                low += [c] * int(self.parts[c])
+                high += [c + 1] * int(self.parts[c])
+                room = BLOCK - n if n <= BLOCK else 0
+            else:
+                self.block[c], self.parts[c] = len(low) - 1, 1
+                high[-1], room = c + 1, room - n
+        self.low, self.high = np.array(low, dtype=np.int64), np.array(high, dtype=np.int64)
 
     @property
-    def n(self) -> int:
-        return len(self.first)
+    def width(self) -> int:
+        return len(self.second)
 
-    def slab(self, i: np.ndarray) -> np.ndarray:
-        return i * len(self.blocks) // self.n
+    def visited(self, near_first: np.ndarray, near_second: np.ndarray, wanted: int) -> tuple[np.ndarray, int]:
+        """Which cells a query visits, and how many rows they hold."""
+        seen = np.zeros(len(self.counts), dtype=bool)
+        at = np.array(visit(near_first, near_second, self.counts, wanted), dtype=np.int64).reshape(-1, 2)
+        seen[at[:, 0] * self.width + at[:, 1]] = True
+        return seen, int(self.counts[seen].sum())
 
 
 def _usable(vector, dim: int):
@@ -93,29 +114,78 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def centroids_for(n: int) -> int:
+    """A quarter of the root of the rows, 8 at least and 64 at most: cells of a few rows each, or 4,096 cells."""
+    return min(64, max(8, round(math.sqrt(n) / 4)))
+
+
+def _nearest_of_all(indexed: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """query (its place in ids), i, j: the cells of the k rows nearest to each of a few queries, by looking at all rows.
+
+    Each task keeps k rows a query; what is gathered grows with the partitions, not the rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(q)
+        best, cell, known = np.full((n, k), -np.inf), np.zeros((n, k, 2), dtype=np.int32), np.zeros((n, k), dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("vec_id").to_numpy()
+            near = q @ _matrix(batch.column("v"), q.shape[1]).T
+            near[ids[:, None] == own[None, :]] = -np.inf
+            cells = np.stack([batch.column("i").to_numpy(), batch.column("j").to_numpy()], axis=1)
+            both = np.concatenate([best, near], axis=1)
+            take = np.argsort(-both, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(both, take, axis=1)
+            known = np.take_along_axis(np.concatenate([known, np.broadcast_to(own, near.shape)], axis=1), take, axis=1)
+            cell = np.take_along_axis(np.concatenate([cell, np.broadcast_to(cells, (n, *cells.shape))], axis=1), take[:, :, None], axis=1)
+        r, c = np.nonzero(best > -np.inf)
+        yield pa.record_batch({"query": pa.array(r, pa.int32()), "score": pa.array(best[r, c]), "vec_id": pa.array(known[r, c]), "i": pa.array(cell[r, c, 0]), "j": pa.array(cell[r, c, 1])})
+
+    found = shared.map_arrow(indexed.select("vec_id", "v", "i", "j"), run, "query int, score double, vec_id long, i int, j int")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "i", "j")
+
+
+def _far_enough(index: Index, near: list[tuple[np.ndarray, np.ndarray]], truth: pa.Table, recall: float) -> int:
+    """How many rows queries must see so that of all true neighbours of the tried ones the share `recall` is among them."""
+    query, cell = truth["query"].to_numpy(), truth["i"].to_numpy().astype(np.int64) * index.width + truth["j"].to_numpy()
+    depth = []
+    for r, (x, y) in enumerate(near):
+        at = np.array(visit(x, y, index.counts, int(index.counts.sum())), dtype=np.int64).reshape(-1, 2)
+        cells = at[:, 0] * index.width + at[:, 1]
+        upto = np.zeros(len(index.counts), dtype=np.int64)
+        upto[cells] = np.cumsum(index.counts[cells])
+        depth.append(upto[cell[query == r]])
+    depth = np.sort(np.concatenate(depth))
+    return int(depth[min(len(depth) - 1, math.ceil(recall * len(depth)) - 1)]) if len(depth) else 0
+
+
 def search(
     vectors: DataFrame,
     *,
     is_query,
     k: int = 20,
-    centroids: int = 32,
-    share: float = 0.55,
+    centroids: int | None = None,
+    recall: float = 0.94,
     key: str = "vec_id",
     vector: str = "embedding",
 ) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each row where is_query holds, the k rows of largest inner product found.
-
-    Each half of the vectors gets `centroids` centroids, fitted on SAMPLE rows of least id hash; every row is indexed.
-    A query visits cells in order of the two halves' summed inner products until they hold `share` of all rows (and 50
-    k rows at least), and scores all their entries in double precision. Vectors without structure need a large share:
-    uniform unit vectors of 64 numbers need 0.5 for a recall of 0.93, clustered ones a few hundredths.
-
-    Entries stand in blocks of about BLOCK rows of neighbouring cells, so a cell that holds a third of all rows is
-    spread over many; a query goes to the blocks of the slabs of cells it visits, in blocks of queries as well, and
-    each block gives back its k best. Ties go
-    to the smaller vec_id. Vectors that are null, zero, of another length than most, or hold null or non-finite numbers
-    take no part, nor do null ids. Rows with the query's own id are no candidates; a repeated query id is one query. An
-    empty table gives no rows; with k candidates or fewer, all are returned.
+    """query_id, rank (from 1), vec_id, score, n_scored: for each row where is_query holds, the k rows of largest inner product found.
+
+    Each half of the vectors gets `centroids` centroids (`centroids_for` the rows), fitted on SAMPLE rows of least id
+    hash; every row is indexed. A query visits cells in order of the two halves' summed inner products and scores all
+    their entries in double precision (n_scored of them). How far queries go is measured: TRIED queries of least id hash
+    are held against all rows, and all go as far as it takes to find the share `recall` of those queries' true neighbours.
+    Vectors without structure need about half of all rows, clustered ones a few hundredths.
+
+    Entries stand in blocks of about BLOCK rows of neighbouring cells, so a cell that holds a third of all rows is spread
+    over many. A query goes to the blocks that hold cells it visits; a block is copied once for each QUERIES queries that
+    come to it, and not at all if none does. Ties go to the smaller vec_id. Vectors that are null, zero, of another length
+    than most, or hold null or non-finite numbers take no part, nor do null ids. Rows with the query's own id are no
+    candidates; a repeated query id is one query. An empty table gives no rows; with k candidates or fewer, all are
+    returned.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -125,15 +195,16 @@ def search(
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & _usable(F.col("v"), dim))
     half = max(1, dim // 2)
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()], dtype=np.float64).reshape(-1, dim)
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, n_scored long"
     if not len(sample):
         return spark.createDataFrame([], schema)
-    first, second = kmeans(sample[:, :half], centroids), kmeans(sample[:, half:] if dim > 1 else np.zeros((len(sample), 1)), centroids)
-    width = len(second)
 
     def halves(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return m[:, :half], m[:, half:] if dim > 1 else np.zeros((len(m), 1))
 
+    first, second = (kmeans(x, centroids or centroids_for(usual.c)) for x in halves(sample))
+    width = len(second)
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -144,13 +215,15 @@ def search(
     counts = np.zeros(len(first) * width, dtype=np.int64)
     for r in indexed.groupBy("i", "j").agg(F.count("*").alias("n")).collect():  # one row a cell, centroids ** 2 at most
         counts[r.i * width + r.j] = r.n
-    n_slabs = min(SLABS, len(first))
-    slab_of = np.arange(len(first)) * n_slabs // len(first)
-    held = np.bincount(slab_of, weights=counts.reshape(-1, width).sum(axis=1), minlength=n_slabs)
-    index = Index(first, second, counts, [max(1, math.ceil(x / BLOCK)) for x in held.tolist()])
-    wanted = max(math.ceil(share * counts.sum()), 50 * k)
+    index = Index(first, second, counts)
     queries = indexed.filter("q").groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_query_blocks = max(1, math.ceil(indexed.filter("q").count() / QUERIES))
+    tried = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIED).collect()
+    if not tried:
+        return spark.createDataFrame([], schema)
+    m = np.array([r.v for r in tried], dtype=np.float64)
+    x, y = halves(m)
+    truth = _nearest_of_all(indexed, np.array([r.vec_id for r in tried]), m, k).toArrow()
+    wanted = max(k + 1, _far_enough(index, list(zip(x @ first.T, y @ second.T, strict=True)), truth, recall))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,69 +231,71 @@ def search(
                 continue
             x, y = halves(_matrix(batch.column("v"), dim))
             near_first, near_second = x @ index.first.T, y @ index.second.T
-            at, slabs, blocks, masks = [], [], [], []
+            at, blocks, masks, rows_seen = [], [], [], []
             for r in range(batch.num_rows):
-                seen = np.zeros((index.n, width), dtype=bool)
-                cells = np.array(visit(near_first[r], near_second[r], index.counts, wanted))
-                seen[cells[:, 0], cells[:, 1]] = True
-                for s in range(n_slabs):
-                    part = seen[slab_of == s]
-                    if part.any():
-                        packed = np.packbits(part.ravel(), bitorder="little").tobytes()
-                        for b in range(index.blocks[s]):
-                            at.append(r)
-                            slabs.append(s)
-                            blocks.append(b)
-                            masks.append(packed)
+                seen, n = index.visited(near_first[r], near_second[r], wanted)
+                before = np.append(0, np.cumsum(seen))
+                for b in np.flatnonzero(before[index.high] > before[index.low]).tolist():
+                    at.append(r)
+                    blocks.append(b)
+                    masks.append(np.packbits(seen[index.low[b] : index.high[b]], bitorder="little").tobytes())
+                    rows_seen.append(n)
             yield pa.record_batch(
                 {
-                    "slab": pa.array(slabs, pa.int32()),
                     "block": pa.array(blocks, pa.int32()),
                     "query_id": batch.column("vec_id").take(pa.array(at)),
                     "v": batch.column("v").take(pa.array(at)),
                     "cells": pa.array(masks, pa.binary()),
+                    "n_scored": pa.array(rows_seen, pa.int64()),
                 }
             )
 
     def best_of(q: np.ndarray, own: np.ndarray, masks: np.ndarray, e: np.ndarray, ids: np.ndarray, by_cell: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         near = np.full((len(q), len(e)), -np.inf)
-        for c, columns in by_cell:
+        for c, a, b in by_cell:
             asking = np.flatnonzero(masks[:, c])
             if len(asking):
-                near[np.ix_(asking, columns)] = q[asking] @ e[columns].T
+                near[asking, a:b] = q[asking] @ e[a:b].T
         near[own[:, None] == ids[None, :]] = -np.inf
         # the k best of each query, and what ties with the last of them but for rounding
         last = np.partition(near, len(e) - k, axis=1)[:, len(e) - k] if len(e) > k else np.full(len(q), -np.inf)
-        r, c = np.nonzero((near >= last[:, None] - 1e-9) & (near > -np.inf))
+        rounding = 8 * dim * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(e, axis=1).max()
+        r, c = np.nonzero((near >= (last - rounding)[:, None]) & (near > -np.inf))
         exact = np.einsum("ij,ij->i", q[r], e[c])
         order = np.lexsort((ids[c], -exact, r))
         r, c, exact = r[order], c[order], exact[order]
         keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-        return own[r[keep]], ids[c[keep]], exact[keep]
+        return r[keep], ids[c[keep]], exact[keep]
 
     def score(entries: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if entries.num_rows and asked.num_rows:
-            e, q = _matrix(entries["v"], dim), _matrix(asked["v"], dim)
-            ids, own = entries["vec_id"].to_numpy(), asked["query_id"].to_numpy()
-            low = int(np.flatnonzero(slab_of == entries["slab"][0].as_py())[0])
-            cell = (entries["i"].to_numpy() - low) * width + entries["j"].to_numpy()
+            low = int(index.low[entries["block"][0].as_py()])
+            cell = entries["i"].to_numpy().astype(np.int64) * width + entries["j"].to_numpy() - low
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            e, ids = _matrix(entries["v"], dim)[order], entries["vec_id"].to_numpy()[order]
+            q, own = _matrix(asked["v"], dim), asked["query_id"].to_numpy()
             masks = np.unpackbits(np.frombuffer(b"".join(asked["cells"].to_pylist()), dtype=np.uint8).reshape(len(q), -1), axis=1, bitorder="little").astype(bool)
-            by_cell = [(c, np.flatnonzero(cell == c)) for c in np.unique(cell).tolist()]
+            starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            by_cell = list(zip(cell[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=True))
             for low_q in range(0, len(q), STEP):
                 asked_now = slice(low_q, low_q + STEP)
-                out.append(best_of(q[asked_now], own[asked_now], masks[asked_now], e, ids, by_cell))
-        a, b, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    slab = F.floor(F.col("i") * n_slabs / len(first)).cast("int")
-    blocks_of_slab = F.element_at(F.array(*map(F.lit, index.blocks)), slab + 1)
-    entries = indexed.select("vec_id", "v", "i", "j", slab.alias("slab"), F.pmod(F.xxhash64("vec_id"), blocks_of_slab).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))).alias("asked"))
-    routed = shared.map_arrow(queries, route, "slab int, block int, query_id long, v array<double>, cells binary").withColumn("asked", F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks)).cast("int"))
-    by = ["slab", "block", "asked"]
-    found = entries.groupBy(*by).cogroup(routed.groupBy(*by)).applyInArrow(score, "query_id long, vec_id long, score double")
+                r, i, s = best_of(q[asked_now], own[asked_now], masks[asked_now], e, ids, by_cell)
+                out.append((r + low_q, i, s))
+        r, i, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": asked["query_id"].take(pa.array(r)), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64()), "n_scored": asked["n_scored"].take(pa.array(r))})
+
+    routed = shared.written(shared.map_arrow(queries, route, "block int, query_id long, v array<double>, cells binary, n_scored long"), "routed")
+    groups = routed.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))
+    of_cell = spark.createDataFrame([(c // width, c % width, int(index.block[c]), int(index.parts[c])) for c in np.flatnonzero(counts).tolist()], "i int, j int, block int, parts int")
+    placed = indexed.join(F.broadcast(of_cell), ["i", "j"])  # one small row a cell, centroids ** 2 at most
+    placed = placed.select("vec_id", "v", "i", "j", (F.col("block") + F.pmod(F.xxhash64("vec_id"), "parts")).cast("int").alias("block"))
+    entries = placed.join(groups, "block").withColumn("asked", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    asking = routed.join(groups, "block").withColumn("asked", F.pmod(F.xxhash64("query_id"), "groups").cast("int")).drop("groups")
+    found = entries.groupBy("block", "asked").cogroup(asking.groupBy("block", "asked")).applyInArrow(score, "query_id long, vec_id long, score double, n_scored long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "n_scored")
 
 
 def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

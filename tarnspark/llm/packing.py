@@ -311,6 +311,10 @@ def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences with their ids, which follow one another by sequence_id and offset."""
+    """The pieces of the packed sequences with their ids, which follow one another by sequence_id and offset.
+
+    Every document is packed: a null or empty text as the end id alone, a very long one in pieces; rows with a null doc_id
+    and repeated rows are rows like others. Columns of docs but doc_id and text don't go further. No rows: no rows.
+    """
     packed = pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=1, as_bytes=True)
     return unpacked(sequences(packed), with_ids=True)
