@@ -17,8 +17,6 @@ from . import shared
 PERMUTATIONS = 60
 #: The chance that a pair just at the threshold shares no band.
 MISSED = 1e-6
-#: Bits of the filter on document ids: at least eight for each id sought, and no filter beyond the most, which take 128 MB.
-FILTER_BITS, MOST_FILTER_BITS = 1 << 23, 1 << 30
 #: Counters of shingles: bounded, whatever the input.
 COUNTERS = 1 << 19
 
@@ -127,21 +125,6 @@ def sketch(docs: DataFrame, *, shingle: int, threshold: float, key: str = "doc_i
     return shared.map_arrow(rows, run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def _maybe_in(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of docs whose key may be among `ids` (one column), by a bitmap of key hashes that is broadcast: eight bits
-    an id, or none at all where that would pass MOST_FILTER_BITS. A row that is kept in error is left to the join that
-    follows; none is dropped in error."""
-    wanted = max(FILTER_BITS, 1 << (8 * ids.count()).bit_length())
-    if wanted > MOST_FILTER_BITS:
-        return docs
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(wanted)) + 1
-    bits = ids.select(slot(F.col(ids.columns[0])).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits"))
-    at = F.bitmap_bit_position(slot(F.col(key)))
-    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = docs.withColumn("_bucket", F.bitmap_bucket_number(slot(F.col(key)))).join(F.broadcast(bits), "_bucket")
-    return found.filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*docs.columns)
-
-
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """node, k1, k2, shingles: the shingle sets of the classes (k1, k2), each from the texts of its node (a doc_id) once more."""
 
@@ -154,7 +137,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.record_batch({"node": part.column("doc_id"), "k1": part.column("k1"), "k2": part.column("k2"), "shingles": sets}).filter(pa.array(same))
 
-    rows = _maybe_in(docs.select("doc_id", "text"), nodes.select("node"), "doc_id")
+    rows = shared.maybe_in(docs.select("doc_id", "text"), nodes.select("node"), "doc_id")
     rows = rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text", "k1", "k2")
     return shared.map_arrow(rows, run, "node long, k1 long, k2 long, shingles array<long>").dropDuplicates(["k1", "k2"])
 

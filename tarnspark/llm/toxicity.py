@@ -230,7 +230,8 @@ def train(
     if not share:
         return Model({}, -30.0, 0.0)
     prior = min(max(share, 1e-4), 0.9)
-    confirmed = shared.written(docs.join(marks.filter("toxic = 1"), "doc_id").select("text"), "confirmed")
+    toxic = marks.filter("toxic = 1").select("doc_id")
+    confirmed = shared.written(shared.maybe_in(docs, toxic, "doc_id").join(toxic, "doc_id").select("text"), "confirmed")
     n_positive = confirmed.count()
     often = _all_features(confirmed.repartition(shared.parts_for(docs.sparkSession, 0, 1))).filter(F.col("n") >= max(min_rows, min_share * n_positive))
     found = [(r.feature, r.n) for r in often.orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).collect()]
