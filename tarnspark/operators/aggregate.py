@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnspark.functions.ordered import running
+from tarnspark.functions.shipping import ship
+
+from .sufficient import chi_square_p
 
 
 def clean(x: Column | str) -> Column:
@@ -51,11 +54,13 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """i, j, covariance, correlation of each pair of columns: one aggregation, one row of statistics turned long."""
-    pairs = [(a, b) for a in columns for b in columns]
+    """i, j, covariance, correlation of each pair of columns: one aggregation of the pairs in one order, turned long."""
+    columns = list(columns)
+    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k:]]
     wide = df.agg(*[F.covar_samp(a, b).alias(f"v{k}") for k, (a, b) in enumerate(pairs)], *[correlation(F.col(a), F.col(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"v{k}").alias("covariance"), F.col(f"r{k}").alias("correlation")) for k, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(cells))
+    cell = lambda i, j, k: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{k}").alias("covariance"), F.col(f"r{k}").alias("correlation"))
+    cells = [cell(i, j, k) for k, pair in enumerate(pairs) for i, j in dict.fromkeys([pair, pair[::-1]])]
+    return wide.select(F.inline(F.array(*cells)))
 
 
 def quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequence[str] = (), approximate: bool = False, accuracy: int = 10000) -> DataFrame:
@@ -133,22 +138,80 @@ def margin_tables(df: DataFrame, effects: Sequence[Sequence[str]]) -> DataFrame:
     return df.groupingSets(sets, *columns).agg(F.count("*").alias("n"), F.grouping_id().alias("grouping"))
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """One row a column and group: observed, missing, distinct, mean, sd, min, quartiles, max. NaN and infinities are missing."""
+def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), quartiles: dict[str, float] | None = None) -> DataFrame:
+    """One row a column and group: observed, missing, distinct, mean, sd, min, quantiles (by name; the quartiles), max.
+
+    NaN and infinities are missing. Rows are counted by value first, on both sides of the shuffle; all else is made from
+    the distinct values and their counts, ranked by a sort that can spill. Quantiles are exact (type 7).
+    """
+    probs = {"q25": 0.25, "median": 0.5, "q75": 0.75} if quartiles is None else quartiles
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")
     long = df.select(*by, values).select(*by, "v.variable", F.when(F.abs("v.x") < float("inf"), F.col("v.x")).alias("x"))
-    q = F.percentile("x", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
-    out = long.groupBy(*by, "variable").agg(
-        F.count("x").alias("observed"),
-        F.count_if(F.col("x").isNull()).alias("missing"),
-        F.countDistinct("x").alias("distinct_values"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("sd"),
+    group = Window.partitionBy(*by, "variable")
+    counts = long.groupBy(*by, "variable", "x").agg(F.count("*").alias("_c")).withColumn("_o", F.when(F.col("x").isNotNull(), F.col("_c")).otherwise(0))
+    ranked = counts.withColumns({"_upto": F.sum("_o").over(group.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_o").over(group), "_low": F.min("x").over(group)})
+    y, at = F.col("x") - F.col("_low"), []
+    for k, p in enumerate(probs.values()):
+        place = F.floor((F.col("_n") - 1) * F.lit(p))
+        for name, rank in (("a", place), ("b", F.least(place + 1, F.col("_n") - 1))):
+            at.append(F.max(F.when((F.col("_upto") - F.col("_o") <= rank) & (rank < F.col("_upto")), F.col("x"))).alias(f"_{name}{k}"))
+    found = ranked.groupBy(*by, "variable").agg(
+        F.sum("_o").alias("observed"),
+        F.sum(F.col("_c") - F.col("_o")).alias("missing"),
+        F.count("x").alias("distinct_values"),
+        F.sum(y * F.col("_o")).alias("_s"),
+        F.sum(y * y * F.col("_o")).alias("_ss"),
         F.min("x").alias("min"),
-        q.alias("q"),
         F.max("x").alias("max"),
+        *at,
     )
-    return out.select(*by, "variable", "observed", "missing", "distinct_values", "mean", "sd", "min", *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("q25", "median", "q75"))], "max")
+    n = F.col("observed")
+    spread = F.greatest(F.lit(0.0), F.try_divide(F.col("_ss") - F.try_divide(F.col("_s") * F.col("_s"), n), n - 1))
+    between = [(F.col(f"_a{k}") + ((n - 1) * F.lit(p) - F.floor((n - 1) * F.lit(p))) * (F.col(f"_b{k}") - F.col(f"_a{k}"))).alias(c) for k, (c, p) in enumerate(probs.items())]
+    sd = F.when(n > 1, F.sqrt(spread)).alias("sd")
+    return found.select(*by, "variable", "observed", "missing", "distinct_values", (F.col("min") + F.try_divide(F.col("_s"), n)).alias("mean"), sd, "min", *between, "max")
+
+
+#: The probabilities of a full summary.
+TWENTIETHS = {f"q{5 * k:02d}": round(k / 20, 2) for k in range(1, 20)}
+
+
+def summary(df: DataFrame) -> DataFrame:
+    """variable, kind (numeric, categorical, datetime), statistic, value of each column by its type; other types are left out.
+
+    Numeric: observed, missing, distinct_values, mean, sd, min, 19 quantiles, max. Categorical (strings and booleans): as
+    `categorical_summary`, true as 1. Datetime: observed, missing, days, and first and last in seconds since 1970.
+    """
+    kinds: dict[str, list[str]] = {"numeric": [], "categorical": [], "datetime": []}
+    for c, t in df.dtypes:
+        if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):
+            kinds["numeric"].append(c)
+        elif t in ("string", "boolean"):
+            kinds["categorical"].append(c)
+        elif t in ("date", "timestamp", "timestamp_ntz"):
+            kinds["datetime"].append(c)
+    parts = []
+    if kinds["numeric"]:
+        parts.append(("numeric", numeric_summary(df, kinds["numeric"], quartiles=TWENTIETHS)))
+    if kinds["categorical"]:
+        parts.append(("categorical", categorical_summary(df, kinds["categorical"])))
+    if kinds["datetime"]:
+        parts.append(("datetime", datetime_columns(df, kinds["datetime"])))
+    out = None
+    for kind, wide in parts:
+        names = [c for c in wide.columns if c != "variable"]
+        cells = F.array(*[F.struct(F.lit(c).alias("statistic"), F.col(c).cast("double").alias("value")) for c in names])
+        long = wide.select("variable", F.lit(kind).alias("kind"), F.inline(cells))
+        out = long if out is None else out.unionByName(long)
+    return out if out is not None else df.sparkSession.createDataFrame([], "variable string, kind string, statistic string, value double")
+
+
+def datetime_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row a column: observed, missing, days (distinct dates), first and last in seconds since 1970."""
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    values = F.array(*[F.struct(F.lit(c).alias("variable"), F.to_date(c).alias("day"), seconds(c).alias("s")) for c in columns])
+    by_day = df.select(F.inline(values)).groupBy("variable", "day").agg(F.count("s").alias("c"), F.count_if(F.col("s").isNull()).alias("m"), F.min("s").alias("a"), F.max("s").alias("b"))
+    return by_day.groupBy("variable").agg(F.sum("c").alias("observed"), F.sum("m").alias("missing"), F.count("day").alias("days"), F.min("a").alias("first"), F.max("b").alias("last"))
 
 
 def shape(df: DataFrame, x: str, far: float = 5.0) -> DataFrame:
@@ -203,15 +266,26 @@ def kl_divergence(df: DataFrame, p: str, q: str) -> DataFrame:
 
 
 def chi_square_two_way(df: DataFrame, a: str, b: str) -> DataFrame:
-    """statistic, df, valid (each expected count 5 at least) of a contingency table."""
-    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    cells = rows.groupBy(a, b).agg(F.count("*").alias("o"))
+    """statistic, df, valid (each expected count 5 at least) of a contingency table; only cells that occur are made."""
+    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("o"))
     ra, rb = cells.groupBy(a).agg(F.sum("o").alias("ra")), cells.groupBy(b).agg(F.sum("o").alias("rb"))
-    full = ra.crossJoin(F.broadcast(rb)).join(cells, [a, b], "left").withColumn("o", F.coalesce("o", F.lit(0)))  # levels by levels
-    total = ra.agg(F.sum("ra").cast("double").alias("t"))
-    e = F.col("ra") * F.col("rb") / F.col("t")
-    out = full.join(F.broadcast(total)).agg(F.sum((F.col("o") - e) ** 2 / e).alias("statistic"), ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).alias("df"), (F.min(e) >= 5).alias("valid"))
-    return out
+    o, ra_, rb_ = (F.col(c).cast("double") for c in ("o", "ra", "rb"))
+    s = cells.join(ra, a).join(rb, b).agg(
+        F.sum(o).alias("n"), F.sum(o * o / (ra_ * rb_)).alias("q"), F.countDistinct(a).alias("na"), F.countDistinct(b).alias("nb"), F.min(ra_).alias("ma"), F.min(rb_).alias("mb")
+    )
+    # the sum of (o - e)^2 / e over all cells, empty ones too, is n times (the sum of o^2 / (row * column) less 1)
+    return s.select((F.col("n") * (F.col("q") - 1)).alias("statistic"), ((F.col("na") - 1) * (F.col("nb") - 1)).alias("df"), (F.col("ma") * F.col("mb") / F.col("n") >= 5).alias("valid"))
+
+
+def with_chi_square_p(result: DataFrame) -> DataFrame:
+    """A result of few rows with statistic and df, and p: the chance of a greater statistic."""
+
+    @F.udf(returnType="double")
+    def p(statistic, n):
+        return None if statistic is None or not n or n < 1 else chi_square_p(max(0.0, statistic), n)
+
+    ship(result.sparkSession)
+    return result.withColumn("p", p("statistic", "df"))
 
 
 def chi_square_one_way(df: DataFrame, x: str, expected: dict[str, float]) -> DataFrame:
@@ -297,3 +371,24 @@ def hosmer_lemeshow(df: DataFrame, p: str, y: str, key: str, groups: int = 10) -
     cuts = df.agg(F.percentile(p, F.array(*[F.lit(k / groups) for k in range(1, groups)])).alias("c"))
     g = F.size(F.filter("c", lambda c: c < F.col(p)))
     return df.join(F.broadcast(cuts)).groupBy(g.cast("bigint").alias("decile")).agg(F.count("*").alias("n"), F.avg(p).alias("predicted"), F.avg(y).alias("observed"))
+
+
+# --- stored sketches ---
+
+
+def sketch(df: DataFrame, x: str, by: Sequence[str], k: int = 800) -> DataFrame:
+    """by, sketch (binary) of a column's values: a few KB a group, to be stored and merged."""
+    v = clean(F.col(x).cast("double"))
+    return df.filter(v.isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(v, k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, sketch: as if made from all rows behind the sketches at once."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """by, prob, quantile of stored sketches, with a rank error of about a half percent at k = 800."""
+    p = F.array(*[F.lit(float(q)) for q in probs])
+    found = sketches.select(*by, F.posexplode(F.kll_sketch_get_quantile_double("sketch", p)).alias("k", "quantile"))
+    return found.select(*by, F.element_at(p, F.col("k") + 1).alias("prob"), "quantile")

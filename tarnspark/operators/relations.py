@@ -78,10 +78,16 @@ def lookup(df: DataFrame, names: DataFrame, key: str, value: str, default) -> Da
     return df.join(names.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
-def within(df: DataFrame, day: Column, windows: DataFrame, limit_days: int) -> DataFrame:
-    """df joined with the windows (name, first, last) that hold its day. Windows are opened into their days (limit_days each at most) for an equi-join."""
-    days = windows.filter(F.datediff("last", "first") < limit_days).select("name", "first", "last", F.explode(F.sequence("first", "last")).alias("_day"))
-    return df.withColumn("_day", day).join(days, "_day").drop("_day")
+def within(df: DataFrame, day: Column, windows: DataFrame, width: int = 32) -> DataFrame:
+    """df joined with the windows (name, first, last) that hold its day, however long they are.
+
+    Windows are opened into stretches of `width` days for an equi-join; the days themselves decide. Windows that end before
+    they begin, or have no end, hold nothing.
+    """
+    stretch = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / width)
+    opened = windows.filter("first <= last").select("name", "first", "last", F.explode(F.sequence(stretch("first"), stretch("last"))).alias("_stretch"))
+    rows = df.withColumn("_day", day).withColumn("_stretch", stretch("_day"))
+    return rows.join(opened, "_stretch").filter(F.col("_day").between(F.col("first"), F.col("last"))).drop("_day", "_stretch")
 
 
 def factorial(spark, levels: dict[str, Sequence[str]]) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnspark.functions.shipping import ship
+
 
 def gaussian(x: Column, w: Column | None = None) -> list[Column]:
     if w is None:
@@ -78,12 +81,66 @@ def least_squares(df: DataFrame, y: str, design: dict[str, Column], weight: Colu
     return df.sparkSession.createDataFrame(rows, "term string, estimate double, se double, t double")
 
 
+def lm(df: DataFrame, y: str, design: dict[str, Column], weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Coefficients (term, estimate, se, t, p) and the analysis of variance (source, df, ss, ms, f, p, r2, adjusted_r2) of a
+    regression whose design holds an intercept of ones; one aggregation in all."""
+    names, g = gramian(df, {**design, "_y": F.col(y), "_1": F.lit(1.0)}, weight)
+    k = len(design)
+    xtx, xty, yty, n, total = g[:k, :k], g[:k, k], g[k, k], g[k + 1, k + 1], g[k, k + 1]
+    inverse = np.linalg.pinv(xtx)
+    b = inverse @ xty
+    syy = yty - total * total / n if n else 0.0
+    sse = min(syy, max(0.0, yty - b @ xty))
+    d1, d2 = k - 1, n - k
+    sigma2 = sse / d2 if d2 > 0 else float("nan")
+    se = np.sqrt(np.maximum(0.0, np.diag(inverse)) * sigma2)
+    terms = [(c, float(e), float(s), float(e / s) if s > 0 else None, student_p(float(e / s), float(d2)) if s > 0 else None) for c, e, s in zip(names[:k], b, se, strict=True)]
+    f = (syy - sse) / d1 / sigma2 if d1 > 0 and d2 > 0 and sigma2 > 0 else None
+    r2 = 1 - sse / syy if syy > 0 else None
+    adjusted = 1 - (1 - r2) * (n - 1) / d2 if r2 is not None and d2 > 0 else None
+    table = [
+        ("model", float(d1), float(syy - sse), float((syy - sse) / d1) if d1 else None, None if f is None else float(f), None if f is None else f_p(float(f), d1, float(d2)), r2, adjusted),
+        ("residual", float(d2), float(sse), float(sigma2) if d2 > 0 else None, None, None, None, None),
+        ("total", float(n - 1), float(syy), None, None, None, None, None),
+    ]
+    spark = df.sparkSession
+    plain = [tuple(None if v is None else v if isinstance(v, str) else float(v) for v in r) for r in table]
+    return spark.createDataFrame(terms, "term string, estimate double, se double, t double, p double"), spark.createDataFrame(plain, "source string, df double, ss double, ms double, f double, p double, r2 double, adjusted_r2 double")
+
+
 def mvn(df: DataFrame, vector: str, by: Sequence[str], dim: int) -> DataFrame:
-    """by, i, j, n, mean_i, mean_j, s (centred cross-product): long form, each row of a vector opened once."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(dim) for j in range(i, dim)])
-    rows = df.select(*by, F.col(vector).alias("v"), F.explode(pairs).alias("c"))
-    a, b = F.get("v", F.col("c.i")).cast("double"), F.get("v", F.col("c.j")).cast("double")
-    return rows.groupBy(*by, F.col("c.i").alias("i"), F.col("c.j").alias("j")).agg(F.count("*").alias("n"), F.avg(a).alias("mean_i"), F.avg(b).alias("mean_j"), (F.covar_pop(a, b) * F.count("*")).alias("s"))
+    """by, i, j, n, mean_i, mean_j, s (centred cross-product), i <= j: for vectors of `dim` numbers; others are left out.
+
+    Each task adds up one product of matrices a group; these partial sums are added by Spark.
+    """
+    ship(df.sparkSession)
+    keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    i, j = np.triu_indices(dim)
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+        for frame in frames:
+            for group, rows in frame.groupby(list(by), dropna=False, sort=False) if by else [((), frame)]:
+                group = group if isinstance(group, tuple) else (group,)
+                m = np.stack(rows["_v"].to_list()).astype(np.float64)
+                own = held.setdefault(tuple(None if g != g else g for g in group), [0, np.zeros(dim), np.zeros((dim, dim))])
+                own[0] += len(m)
+                own[1] += m.sum(axis=0)
+                own[2] += m.T @ m
+            if len(held) > 2000:
+                yield from out(held)
+                held = {}
+        yield from out(held)
+
+    def out(held: dict[tuple, list]) -> Iterator[pd.DataFrame]:
+        for group, (n, total, products) in held.items():
+            yield pd.DataFrame({**{c: [g] * len(i) for c, g in zip(by, group, strict=True)}, "i": i, "j": j, "n": n, "a": total[i], "b": total[j], "ab": products[i, j]})
+
+    v = F.col(vector).cast("array<double>")
+    whole = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x))
+    sums = df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull() & F.coalesce(whole, F.lit(False))).mapInPandas(partial, f"{keys}{', ' if by else ''}i int, j int, n long, a double, b double, ab double")
+    out_ = sums.groupBy(*by, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "ab")])
+    return out_.select(*by, "i", "j", "n", (F.col("a") / F.col("n")).alias("mean_i"), (F.col("b") / F.col("n")).alias("mean_j"), (F.col("ab") - F.col("a") * F.col("b") / F.col("n")).alias("s"))
 
 
 # --- conjugate posteriors ---

@@ -11,18 +11,15 @@ from .register import ORACLES, query, table
 
 
 @query("""WITH c AS (SELECT sum((event_type = 'purchase')::INT) FILTER (user_id % 2 = 0) AS y1, count(*) FILTER (user_id % 2 = 0) AS n1,
-    sum((event_type = 'purchase')::INT) FILTER (user_id % 2 = 1) AS y2, count(*) FILTER (user_id % 2 = 1) AS n2 FROM events WHERE event_id < 800),
+    sum((event_type = 'purchase')::INT) FILTER (user_id % 2 = 1) AS y2, count(*) FILTER (user_id % 2 = 1) AS n2 FROM events),
   p AS (SELECT y1, n1, y2, n2, y1 + 1 AS a1, n1 - y1 + 1 AS b1, y2 + 1 AS a2, n2 - y2 + 1 AS b2, unnest(range(y2::BIGINT + 1)) AS i FROM c)
   SELECT y1::BIGINT AS y1, n1, y2::BIGINT AS y2, n2, round(sum(exp(lgamma(a1 + i) + lgamma(b1 + b2) - lgamma(a1 + i + b1 + b2) - ln(b2 + i) - lgamma(1 + i) - lgamma(b2) + lgamma(1 + i + b2) - lgamma(a1) - lgamma(b1) + lgamma(a1 + b1))), 6) AS probability FROM p GROUP BY y1, n1, y2, n2""")
 def compare_proportions(spark, d):
-    events = table(spark, d, "events").filter("event_id < 800").withColumn("g", F.col("user_id") % 2)
+    events = table(spark, d, "events").withColumn("g", F.col("user_id") % 2)
     return rounded(compare.compare_proportions(events, "g", F.col("event_type") == "purchase", 0, 1))
 
 
-@query(ORACLES["compare_proportions"].replace(" WHERE event_id < 800", ""))
-def compare_proportions_all(spark, d):
-    events = table(spark, d, "events").withColumn("g", F.col("user_id") % 2)
-    return rounded(compare.compare_proportions(events, "g", F.col("event_type") == "purchase", 0, 1))
+query(ORACLES["compare_proportions"], "compare_proportions_all")(compare_proportions)
 
 
 @query("""WITH s AS (SELECT count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, sum((y - x) ** 2) AS sse0, regr_syy(y, x) - regr_slope(y, x) ** 2 * regr_sxx(y, x) AS sse1

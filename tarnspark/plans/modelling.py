@@ -83,9 +83,17 @@ def least_squares(spark, d):
     return rounded(S.least_squares(table(spark, d, "lineitem"), "l_extendedprice", {"(Intercept)": F.lit(1.0), "l_quantity": F.col("l_quantity")}), 3)
 
 
-@query("SELECT label, i::INT AS i, j::INT AS j, count(*) AS n, round(avg(embedding[i + 1]), 5) AS mean_i, round(avg(embedding[j + 1]), 5) AS mean_j, round(covar_pop(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE) * count(*), 4) AS s FROM embeddings, range(3) AS a(i), range(3) AS b(j) WHERE i <= j GROUP BY 1, 2, 3")
+@query("""WITH s AS (SELECT regr_count(l_extendedprice, l_quantity) AS n, regr_syy(l_extendedprice, l_quantity) AS syy, regr_sxy(l_extendedprice, l_quantity) ** 2 / regr_sxx(l_extendedprice, l_quantity) AS ssm FROM lineitem)
+  SELECT 'model' AS source, 1.0::DOUBLE AS df, round(ssm / 1e6, 2) AS ss_millions, round(ssm / ((syy - ssm) / (n - 2)), 2) AS f, round(ssm / syy, 8) AS r2, round(1 - (1 - ssm / syy) * (n - 1) / (n - 2), 8) AS adjusted_r2 FROM s
+  UNION ALL SELECT 'residual', n - 2, round((syy - ssm) / 1e6, 2), NULL, NULL, NULL FROM s UNION ALL SELECT 'total', n - 1, round(syy / 1e6, 2), NULL, NULL, NULL FROM s""")
+def lm_anova(spark, d):
+    _, out = S.lm(table(spark, d, "lineitem"), "l_extendedprice", {"(Intercept)": F.lit(1.0), "l_quantity": F.col("l_quantity")})
+    return out.select("source", "df", F.round(F.col("ss") / 1e6, 2).alias("ss_millions"), F.round("f", 2).alias("f"), F.round("r2", 8).alias("r2"), F.round("adjusted_r2", 8).alias("adjusted_r2"))
+
+
+@query("SELECT label, i::INT AS i, j::INT AS j, count(*) AS n, round(avg(embedding[i + 1]), 5) AS mean_i, round(avg(embedding[j + 1]), 5) AS mean_j, round(covar_pop(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE) * count(*), 4) AS s FROM embeddings, range(64) AS a(i), range(64) AS b(j) WHERE i <= j GROUP BY 1, 2, 3")
 def mvn_statistics(spark, d):
-    out = S.mvn(table(spark, d, "embeddings"), "embedding", ["label"], 3)
+    out = S.mvn(table(spark, d, "embeddings"), "embedding", ["label"], 64)
     return out.select("label", "i", "j", "n", F.round("mean_i", 5).alias("mean_i"), F.round("mean_j", 5).alias("mean_j"), F.round("s", 4).alias("s"))
 
 

@@ -245,3 +245,36 @@ def suggest_burn(spark, d):
 def hosmer_lemeshow(spark, d):
     r = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_discount") + F.col("l_quantity") / 100).alias("p"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
     return rounded(A.hosmer_lemeshow(r, "p", "y", "l_orderkey"))
+
+
+_ORDERS = {"numeric": ("o_orderkey", "o_custkey", "o_totalprice"), "categorical": ("o_orderstatus", "o_orderpriority")}
+_NUMERIC = {"observed": "count({c})", "missing": "count(*) - count({c})", "distinct_values": "count(DISTINCT {c})", "mean": "avg({c})", "sd": "stddev_samp({c})", "min": "min({c})", **{n: f"quantile_cont({{c}}::DOUBLE, {p})" for n, p in A.TWENTIETHS.items()}, "max": "max({c})"}
+_LEVELS = {"observed": "count({c})", "missing": "count(*) - count({c})", "levels": "count(DISTINCT {c})", "is_binary": "(count(DISTINCT {c}) = 2)::INT", "high_cardinality": "(count(DISTINCT {c}) > greatest(100, cbrt(count({c}))))::INT"}
+_TIMES = {"observed": "count({c})", "missing": "count(*) - count({c})", "days": "count(DISTINCT {c}::DATE)", "first": "min(epoch_us({c})) / 1e6", "last": "max(epoch_us({c})) / 1e6"}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, '{kind}' AS kind, '{s}' AS statistic, round(({e.format(c=c)})::DOUBLE, 4) AS value FROM orders"
+        for kind, columns, statistics in (("numeric", _ORDERS["numeric"], _NUMERIC), ("categorical", _ORDERS["categorical"], _LEVELS), ("datetime", ("o_orderdate",), _TIMES))
+        for c in columns
+        for s, e in statistics.items()
+    )
+)
+def summary(spark, d):
+    return rounded(A.summary(table(spark, d, "orders")), 4)
+
+
+@query("""WITH c AS (SELECT level, share, (SELECT count(*) FROM orders WHERE o_orderstatus = level) AS o FROM (VALUES ('F', 0.4), ('O', 0.4), ('P', 0.2)) AS g(level, share)),
+  s AS (SELECT sum((o - share * t) ** 2 / (share * t))::DOUBLE AS s FROM c, (SELECT sum(o)::DOUBLE AS t FROM c)) SELECT round(s, 4) AS statistic, 2::BIGINT AS df, round(exp(-s / 2), 8) AS p FROM s""")
+def chi_square_one_way_p(spark, d):
+    found = A.with_chi_square_p(A.chi_square_one_way(table(spark, d, "orders"), "o_orderstatus", {"F": 0.4, "O": 0.4, "P": 0.2}))
+    return found.select(F.round("statistic", 4).alias("statistic"), "df", F.round("p", 8).alias("p"))
+
+
+@query()
+def merged_sketches(spark, d):
+    """Sketches of each day, stored as columns, merged to those of each type."""
+    events = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    daily = A.sketch(events, "value", ["event_type", "day"])
+    return A.sketch_quantiles(A.merge_sketches(daily, ["event_type"]), ["event_type"], [0.05, 0.25, 0.5, 0.75, 0.95])

@@ -206,28 +206,23 @@ def time_scale(spark, d):
     return D.time_scale(table(spark, d, "orders").select(F.trunc("o_orderdate", "MM").alias("m")), "m")
 
 
-@query("""WITH x AS (SELECT ts::DATE AS d FROM events WHERE event_id % 5 = 0), g AS (SELECT datediff('day', lag(d) OVER (ORDER BY d), d) AS g FROM (SELECT DISTINCT d FROM x))
+@query("""WITH x AS (SELECT ts::DATE AS d FROM events), g AS (SELECT datediff('day', lag(d) OVER (ORDER BY d), d) AS g FROM (SELECT DISTINCT d FROM x))
   SELECT (SELECT count(*) FROM x) AS n, (SELECT count(DISTINCT d) FROM x) AS days, (SELECT count(*) = count(DISTINCT d) FROM x) AS no_duplicates, coalesce(max(g) < 1.8 * min(g), true) AS no_gaps, (SELECT count(*) = count(DISTINCT d) FROM x) AND coalesce(max(g) < 1.8 * min(g), true) AS is_regular FROM g""")
 def regularity(spark, d):
-    return D.regularity(_events(spark, d).filter("event_id % 5 = 0").select(F.to_date("ts").alias("d")), "d")
+    return D.regularity(_events(spark, d).select(F.to_date("ts").alias("d")), "d")
 
 
-@query(ORACLES["regularity"].replace(" WHERE event_id % 5 = 0", ""))
-def regularity_all(spark, d):
-    return D.regularity(_events(spark, d).select(F.to_date("ts").alias("d")), "d")
+query(ORACLES["regularity"], "regularity_all")(regularity)
 
 
-@query("""WITH x AS (SELECT o_orderdate::DATE AS d, count(*) AS n FROM orders WHERE o_orderkey % 40 = 0 GROUP BY 1), g AS (SELECT unnest(range((SELECT min(d) FROM x), (SELECT max(d) FROM x) + 1, INTERVAL 1 DAY))::DATE AS d)
+@query("""WITH x AS (SELECT o_orderdate::DATE AS d, count(*) AS n FROM orders GROUP BY 1), g AS (SELECT unnest(range((SELECT min(d) FROM x), (SELECT max(d) FROM x) + 1, INTERVAL 1 DAY))::DATE AS d)
   SELECT strftime(d, '%Y-%m-%d') AS day, row_number() OVER (ORDER BY d) - 1 AS place, n, n IS NOT NULL AS observed FROM g LEFT JOIN x USING (d)""")
 def regularize(spark, d):
-    x = table(spark, d, "orders").filter("o_orderkey % 40 = 0").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count("*").alias("n"))
+    x = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count("*").alias("n"))
     return D.regularize(x, "d").select(_iso("d").alias("day"), F.col("place").cast("bigint").alias("place"), "n", "observed")
 
 
-@query(ORACLES["regularize"].replace(" WHERE o_orderkey % 40 = 0", ""))
-def regularize_all(spark, d):
-    x = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count("*").alias("n"))
-    return D.regularize(x, "d").select(_iso("d").alias("day"), F.col("place").cast("bigint").alias("place"), "n", "observed")
+query(ORACLES["regularize"], "regularize_all")(regularize)
 
 
 @query("SELECT k, strftime(CASE WHEN last_day(d) = d THEN last_day(d + to_months(k::INT)) ELSE d + to_months(k::INT) END, '%Y-%m-%d') AS day FROM (SELECT last_day(max(o_orderdate::DATE)) AS d FROM orders), range(1, 13) AS r(k)")
