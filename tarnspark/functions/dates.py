@@ -89,6 +89,56 @@ def holidays(spark, first_year: int, last_year: int) -> DataFrame:
     return years.select(F.inline(F.array(*days)))
 
 
+def guessed_date(text: Column, delimiter: str = "/") -> Column:
+    """The date in a text of three numbers. The year is the one over 31: the last, else the first, else the second; the others
+    are read as month and day, as day and month if only that can be. A leading year is followed by the day, if both orders can
+    be. NULL where no number is over 31, or where that is no date."""
+    parts = F.transform(F.split(F.trim(text), rf"\Q{delimiter}\E"), lambda v: F.try_to_number(F.trim(v), F.lit("9999")).cast("int"))
+    a, b, c = (F.get(parts, F.lit(k)) for k in range(3))
+    late = c > 31
+    year = F.when(late, c).when(a > 31, a).when(b > 31, b)
+    first = F.when(late | (a <= 31), a).otherwise(c)
+    second = F.when(late | (a > 31), b).otherwise(c)
+    month, day = F.when(first > 12, second).otherwise(first), F.when(first > 12, first).otherwise(second)
+    return F.when(F.size(parts) == 3, F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd")).cast("date"))
+
+
+def seconds_into_day(ts: Column) -> Column:
+    return F.hour(ts) * 3600.0 + F.minute(ts) * 60.0 + F.date_part(F.lit("SECOND"), ts).cast("double")
+
+
+def seconds_to_next_day(ts: Column) -> Column:
+    """More than 0, to 86400 at the start of a day."""
+    return 86400.0 - seconds_into_day(ts)
+
+
+def seconds_left_in_hour(ts: Column) -> Column:
+    """More than 0, to 3600 at the start of an hour."""
+    return 3600.0 - seconds_into_day(ts) % 3600.0
+
+
+def fraction_of_day_remaining(ts: Column) -> Column:
+    """From 0, at the start of a day, to less than 1."""
+    return (seconds_to_next_day(ts) / 86400.0) % 1.0
+
+
+def group_timestamps(df: DataFrame, ts: str, name: str = "period") -> DataFrame:
+    """df with a label of the period each timestamp belongs to, which sorts as time does.
+
+    Years if all span more than 5 of 365 days, months over 365 days, weeks (their Monday) over 30 days, days over one; else
+    the time of day, behind its date if there are two. NULL where the timestamp is.
+    """
+    t = F.col(ts)
+    ends = df.agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
+    span = F.floor((F.unix_micros(F.col("_b").cast("timestamp")) - F.unix_micros(F.col("_a").cast("timestamp"))) / 86400e6)
+    form = lambda pattern, c=t: F.date_format(c, pattern)
+    label = (
+        F.when(span > 5 * 365, form("yyyy")).when(span > 365, form("yyyy-MM")).when(span > 30, form("yyyy-MM-dd", F.date_trunc("week", t))).when(span > 1, form("yyyy-MM-dd"))
+        .when(F.to_date("_a") == F.to_date("_b"), form("HH:mm:ss")).otherwise(form("yyyy-MM-dd HH:mm:ss"))
+    )
+    return df.join(F.broadcast(ends)).withColumn(name, label).drop("_a", "_b")  # one row
+
+
 def holiday_windows(calendar: DataFrame, before: int, after: int) -> DataFrame:
     return calendar.select("name", F.date_sub("day", before).alias("first"), F.date_add("day", after).alias("last"))
 

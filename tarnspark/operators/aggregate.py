@@ -337,6 +337,18 @@ def kernel_density(df: DataFrame, x: str, bandwidth: float, low: float, high: fl
     return wide.select(F.inline(F.array(*[F.struct(F.lit(g).alias("point"), F.try_divide(F.col(f"d{k}"), F.col("t")).alias("density")) for k, g in enumerate(grid)])))
 
 
+def event_intensity(df: DataFrame, ts: str, hours: float, points: int = 20) -> DataFrame:
+    """at, a_day: the number of events a day around each of some times from the first event to the last, by a Gaussian kernel of
+    this many hours; the area under it is the number of events, but for what falls outside."""
+    t = (F.unix_micros(F.col(ts).cast("timestamp")) / 86400e6).alias("_t")
+    rows = df.filter(F.col(ts).isNotNull()).select(t)
+    low, high, n = rows.agg(F.min("_t"), F.max("_t"), F.count("*")).first()
+    if not n:
+        return df.sparkSession.createDataFrame([], "at timestamp, a_day double")
+    found = kernel_density(rows, "_t", hours / 24, low, high, points)
+    return found.select(F.timestamp_micros(F.round(F.col("point") * 86400e6).cast("bigint")).alias("at"), (F.col("density") * n).alias("a_day"))
+
+
 def optimal_arms(draws: DataFrame) -> DataFrame:
     """draws: draw, arm, value. arm, wins, probability of being best; ties go to the least arm."""
     best = draws.groupBy("draw").agg(F.max(F.struct("value", (-F.col("arm")).alias("m"))).alias("b")).select((-F.col("b.m")).alias("arm"))

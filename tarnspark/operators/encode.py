@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +125,10 @@ class Interaction:
     a: object
     b: object
 
+    @property
+    def variable(self) -> str:
+        return f"{self.a.variable}:{self.b.variable}"
+
     def names(self) -> list[str]:
         return [f"{x}:{y}" for x in self.a.names() for y in self.b.names()]
 
@@ -148,8 +154,7 @@ class Dataset:
         out, at = ({"(Intercept)": [0]} if self.intercept else {}), int(self.intercept)
         for e in self.encoders:
             n = len(e.names())
-            name = getattr(e, "variable", None) or f"{e.a.variable}:{e.b.variable}"
-            out.setdefault(name, []).extend(range(at, at + n))
+            out.setdefault(e.variable, []).extend(range(at, at + n))
             at += n
         return out
 
@@ -188,17 +193,92 @@ def levels_of(df: DataFrame, x: str, limit: int = 1000) -> tuple:
     return tuple(found)
 
 
+def integer_effects(variable: str, codes: int) -> Effects:
+    """Deviation coding of the codes 0 to codes - 1; the last is the baseline."""
+    return Effects(variable, tuple(range(codes)))
+
+
+def interaction(encoders: Sequence) -> object:
+    """One encoder of all products of the columns of several, the first one's outermost."""
+    out = encoders[0]
+    for e in encoders[1:]:
+        out = Interaction(out, e)
+    return out
+
+
 def factorial_columns(levels: dict[str, Sequence[str]], order: int) -> Dataset:
     """Treatment coding of several factors (the first level is the baseline) with all interactions up to `order`."""
-    from itertools import combinations
-
-    single = {v: OneHot(v, tuple(ls), ls[0]) for v, ls in levels.items()}
-    out: list = list(single.values())
-    for k in range(2, order + 1):
-        for names in combinations(levels, k):
-            e = single[names[0]]
-            for n in names[1:]:
-                e = Interaction(e, single[n])
-            out.append(e)
-    return Dataset(tuple(out), True)
-
+    return contextual_columns(levels, {}, order)
+
+
+def contextual_columns(arms: dict[str, Sequence[str]], context: dict[str, Sequence[str]], order: int) -> Dataset:
+    """As `factorial_columns`, over what an experiment sets and what it finds: interactions may hold factors of both."""
+    single = [OneHot(v, tuple(ls), ls[0]) for v, ls in (arms | context).items()]
+    return Dataset(tuple(interaction(group) for k in range(1, order + 1) for group in combinations(single, k)), True)
+
+
+def bandit_design(contexts: DataFrame, arms: Sequence[dict], encoder, keep: Sequence[str] = ()) -> DataFrame:
+    """A design row for each context and arm: an arm's levels take the place of columns of their names, then all is encoded.
+
+    arms: a list of dicts of equal keys, as short as an experiment's; each context is read once and repeated in its own task.
+    """
+    names = list(arms[0])
+    each = F.array(*[F.struct(*[F.lit(arm[n]).alias(n) for n in names]) for arm in arms])
+    return encode(contexts.drop(*names).select("*", F.inline(each)), encoder, [*keep, *names])
+
+
+def formula(df: DataFrame, right: str, omit: Sequence[str] = ()) -> Dataset:
+    """The encoder of a right-hand side such as "a * b + log(c) + a:d - 1", by the columns of df.
+
+    Terms stand between plus signs: a column, a named transform of one, a product with `:`, or with `*`, which stands for the
+    columns and all products of them; `.` is every column but those in `omit`; `- 1` leaves the intercept out. Text and
+    booleans are coded by treatment, their least level the baseline; levels are read from df, once a column. Terms of fewer
+    columns come first.
+    """
+    intercept = not re.search(r"-\s*1\s*$", right)
+    terms: list[tuple[str, ...]] = []
+    for term in re.sub(r"-\s*1\s*$", "", right).split("+"):
+        factors = [f.strip() for f in re.split(r"[*:]", term)]
+        if factors == ["."]:
+            terms += [(c,) for c in df.columns if c not in omit]
+        elif "*" in term:
+            terms += [g for k in range(1, len(factors) + 1) for g in combinations(factors, k)]
+        elif factors != [""]:
+            terms.append(tuple(factors))
+    types, coded = dict(df.dtypes), {}
+    for f in dict.fromkeys(f for t in terms for f in t):
+        call = re.fullmatch(r"(\w+)\((.+)\)", f)
+        if call:
+            coded[f] = Transform(call[2].strip(), call[1])
+        elif types[f] in ("string", "boolean"):
+            levels = levels_of(df, f)
+            coded[f] = OneHot(f, levels, levels[0] if levels else None)
+        else:
+            coded[f] = Transform(f)
+    ordered = sorted(dict.fromkeys(terms), key=len)
+    return Dataset(tuple(interaction([coded[f] for f in t]) for t in ordered), intercept)
+
+
+def single_encoders(encoder) -> list:
+    """The encoders of single columns inside an encoder, each once; a dummy for missing values counts as one."""
+    parts = encoder.encoders if isinstance(encoder, Dataset) else (encoder.a, encoder.b) if isinstance(encoder, Interaction) else ()
+    return list(dict.fromkeys(e for p in parts for e in single_encoders(p))) if parts else [encoder]
+
+
+def predictor_matrix(new: DataFrame, encoder, keep: Sequence[str] = (), unknown: str = "error") -> DataFrame:
+    """The design of new rows by an encoder made on others. Rows that miss a value are left out, unless a dummy stands for it.
+
+    unknown: what to do with a level that the encoder doesn't know: "error" fails the job, "drop" leaves the row out.
+    """
+    for e in single_encoders(encoder):
+        x = F.col(e.variable)
+        if not isinstance(e, MissingDummy):
+            new = new.filter(x.isNotNull())
+        levels = getattr(getattr(e, "encoder", e), "levels", None)
+        if levels:
+            known = x.isNull() | x.isin(*levels)
+            if unknown == "drop":
+                new = new.filter(known)
+            else:
+                new = new.withColumn(e.variable, F.when(known, x).otherwise(F.raise_error(F.concat(F.lit(f"unknown level of {e.variable}: "), x.cast("string")))))
+    return encode(new, encoder, keep)

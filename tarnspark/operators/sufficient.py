@@ -143,6 +143,67 @@ def mvn(df: DataFrame, vector: str, by: Sequence[str], dim: int) -> DataFrame:
     return out_.select(*by, "i", "j", "n", (F.col("a") / F.col("n")).alias("mean_i"), (F.col("b") / F.col("n")).alias("mean_j"), (F.col("ab") - F.col("a") * F.col("b") / F.col("n")).alias("s"))
 
 
+def independent_mvn(df: DataFrame, vector: str, by: Sequence[str]) -> DataFrame:
+    """by, i, n, mean, ss (centred sum of squares) of each component of vectors; missing components are left out alone."""
+    each = df.select(*by, F.posexplode(F.col(vector).cast("array<double>")).alias("i", "_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    return each.groupBy(*by, "i").agg(F.count("*").alias("n"), F.avg("_x").alias("mean"), (F.var_pop("_x") * F.count("*")).alias("ss"))
+
+
+def weighted_mvn(df: DataFrame, columns: Sequence[str], weight: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, i, j (names of columns), sum_w, mean_i, mean_j, s (weighted centred cross-product), over rows without a missing value."""
+    w, x = F.col("_w"), [F.col(f"_x{k}") for k in range(len(columns))]
+    rows = df.select(*by, F.col(weight).cast("double").alias("_w"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(columns)]).dropna(subset=["_w", *[f"_x{k}" for k in range(len(columns))]])
+    cells = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = rows.groupBy(*by).agg(F.sum(w).alias("_n"), *[F.sum(w * c).alias(f"_m{k}") for k, c in enumerate(x)], *[F.sum(w * x[i] * x[j]).alias(f"_s{i}_{j}") for i, j in cells])
+    n = F.col("_n")
+    each = [F.struct(F.lit(columns[i]).alias("i"), F.lit(columns[j]).alias("j"), n.alias("sum_w"), F.try_divide(F.col(f"_m{i}"), n).alias("mean_i"), F.try_divide(F.col(f"_m{j}"), n).alias("mean_j"), (F.col(f"_s{i}_{j}") - F.try_divide(F.col(f"_m{i}") * F.col(f"_m{j}"), n)).alias("s")) for i, j in cells]
+    return sums.select(*by, F.inline(F.array(*each)))
+
+
+def dirichlet(df: DataFrame, shares: str, by: Sequence[str]) -> DataFrame:
+    """by, i, n, sum_log of each component of arrays of shares; arrays that hold one that isn't above 0 are left out whole."""
+    p = F.col(shares).cast("array<double>")
+    whole = df.filter(F.coalesce(F.forall(p, lambda v: F.coalesce(v > 0, F.lit(False))), F.lit(False)))
+    return whole.select(*by, F.posexplode(p).alias("i", "_p")).groupBy(*by, "i").agg(F.count("*").alias("n"), F.sum(F.ln("_p")).alias("sum_log"))
+
+
+def wishart(df: DataFrame, matrix: str, by: Sequence[str], dim: int) -> DataFrame:
+    """by, cell (row * dim + column), n, sum, sum_log_det: of symmetric matrices in arrays of dim * dim numbers, row by row.
+
+    Those that aren't positive definite are left out. Determinants are found in Arrow batches, by Cholesky's factors.
+    """
+    ship(df.sparkSession)
+
+    @F.pandas_udf("double")
+    def log_det(cells: pd.Series) -> pd.Series:
+        def one(v) -> float | None:
+            try:
+                return None if v is None else 2 * float(np.log(np.diag(np.linalg.cholesky(np.asarray(v, dtype=float).reshape(dim, dim)))).sum())
+            except (ValueError, np.linalg.LinAlgError):
+                return None
+
+        return cells.map(one).astype("float64")
+
+    m = F.col(matrix).cast("array<double>")
+    rows = df.select(*by, m.alias("_m")).withColumn("_d", log_det("_m")).filter(F.col("_d").isNotNull() & ~F.isnan("_d"))
+    return rows.select(*by, "_d", F.posexplode("_m").alias("cell", "_v")).groupBy(*by, "cell").agg(F.count("*").alias("n"), F.sum("_v").alias("sum"), F.sum("_d").alias("sum_log_det"))
+
+
+def multivariate_regression(df: DataFrame, responses: Sequence[str], design: dict[str, Column]) -> DataFrame:
+    """response, term, estimate, se: least squares of several responses on one design, from one aggregation of X'X, X'Y and Y'Y;
+    rows that miss any of them are left out for all."""
+    names, g = gramian(df, {**design, **{f"_y{k}": F.col(c) for k, c in enumerate(responses)}, "_n": F.lit(1.0)})
+    p, n = len(design), g[-1, -1]
+    xtx, xty, yty = g[:p, :p], g[:p, p:-1], g[p:-1, p:-1]
+    inverse = np.linalg.pinv(xtx)
+    b = inverse @ xty
+    sse = np.maximum(0.0, np.diag(yty - xty.T @ b))
+    sigma2 = sse / (n - p) if n > p else np.full(len(responses), np.nan)
+    se = np.sqrt(np.maximum(0.0, np.diag(inverse))[:, None] * sigma2[None, :])
+    rows = [(c, t, float(b[i, k]), float(se[i, k])) for k, c in enumerate(responses) for i, t in enumerate(names[:p])]
+    return df.sparkSession.createDataFrame(rows, "response string, term string, estimate double, se double")
+
+
 # --- conjugate posteriors ---
 
 

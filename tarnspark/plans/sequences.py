@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnspark.functions import dates as D
+from tarnspark.operators import aggregate as A
 from tarnspark.operators import windows as W
 
 from .profile import rounded
@@ -238,6 +239,42 @@ def datetime_summary(spark, d):
     return out.select(F.round("seconds", 3).alias("seconds"), "granularity", F.round("modal_share", 8).alias("modal_share"), F.round("a_day", 6).alias("a_day"))
 
 
+@query("""WITH t AS (SELECT o_orderkey, o_orderdate::DATE AS d, month(o_orderdate) AS m, day(o_orderdate) AS k, year(o_orderdate) AS y FROM orders)
+  SELECT o_orderkey, d::VARCHAR AS us, CASE WHEN k > 12 OR k = m THEN d ELSE make_date(y, k, m) END::VARCHAR AS european, CASE WHEN k > 12 OR k = m THEN d ELSE make_date(y, k, m) END::VARCHAR AS iso, NULL::VARCHAR AS short FROM t""")
+def guessed_dates(spark, d):
+    o, day = table(spark, d, "orders"), F.col("o_orderdate")
+    forms = {"us": ("M/d/yyyy", "/"), "european": ("dd.MM.yyyy", "."), "iso": ("yyyy-MM-dd", "-"), "short": ("M/d/", "/")}
+    return o.select("o_orderkey", *[D.guessed_date(F.date_format(day, form), by).cast("string").alias(c) for c, (form, by) in forms.items()])
+
+
+@query("""WITH t AS (SELECT event_id, epoch_us(ts) - epoch_us(date_trunc('day', ts)) AS s FROM events)
+  SELECT event_id, s AS into_day, 86400000000 - s AS to_next_day, 3600000000 - s % 3600000000 AS left_in_hour, (86400000000 - s) % 86400000000 AS remaining FROM t""")
+def times_of_day(spark, d):
+    """All as whole microseconds."""
+    t = F.col("ts")
+    parts = {"into_day": D.seconds_into_day(t), "to_next_day": D.seconds_to_next_day(t), "left_in_hour": D.seconds_left_in_hour(t)}
+    return table(spark, d, "events").select("event_id", *[F.round(c * 1e6).cast("bigint").alias(n) for n, c in parts.items()], F.round(D.fraction_of_day_remaining(t) * 86400e6).cast("bigint").alias("remaining"))
+
+
+@query("""SELECT 'orders' AS source, strftime(o_orderdate, '%Y') AS period, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'events', strftime(ts, '%Y-%m-%d'), count(*) FROM events GROUP BY 2
+  UNION ALL SELECT 'lines', strftime(date_trunc('week', ts), '%Y-%m-%d'), count(*) FROM (SELECT ts FROM events UNION ALL SELECT ts + INTERVAL 30 DAY FROM events) GROUP BY 2
+  UNION ALL SELECT 'hours', strftime(TIMESTAMP '2024-01-01' + (ts - date_trunc('hour', ts)), '%H:%M:%S'), count(*) FROM events GROUP BY 2""")
+def grouped_timestamps(spark, d):
+    e = _events(spark, d)
+    later = e.select("ts").unionByName(e.select((F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")))
+    minutes = e.select((F.lit("2024-01-01").cast("timestamp_ntz") + (F.col("ts") - F.date_trunc("hour", "ts"))).alias("ts"))
+    parts = {"orders": table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("ts")), "events": e.select("ts"), "lines": later, "hours": minutes}
+    out = [D.group_timestamps(p, "ts").groupBy("period").agg(F.count("*").alias("n")).select(F.lit(s).alias("source"), "period", "n") for s, p in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query("""WITH t AS (SELECT epoch_us(ts) / 86400e6 AS t FROM events), e AS (SELECT min(t) AS a, max(t) AS b FROM t), g AS (SELECT a + k * ((b - a) / 11) AS p FROM e, range(12) AS r(k))
+  SELECT round(p, 6) AS day, round(sum(exp(-0.5 * ((t - p) / 0.25) ** 2)) * 0.3989422804014327 / 0.25, 4) AS a_day FROM g, t GROUP BY 1""")
+def event_intensity(spark, d):
+    found = A.event_intensity(table(spark, d, "events"), "ts", 6.0, 12)
+    return found.select(F.round(F.unix_micros("at") / 86400e6, 6).alias("day"), F.round("a_day", 4).alias("a_day"))
+
+
 @query("""WITH g AS (SELECT 'weekday' AS part, k AS slot FROM range(7) AS r(k) UNION ALL SELECT p, k FROM (VALUES ('weekday_hour'), ('weekend_hour')) AS x(p), range(24) AS r(k)),
   n AS (SELECT 'weekday' AS part, dayofweek(ts) AS slot FROM events UNION ALL SELECT CASE WHEN dayofweek(ts) IN (0, 6) THEN 'weekend_hour' ELSE 'weekday_hour' END, hour(ts) FROM events)
   SELECT g.part, g.slot, count(n.slot) AS n FROM g LEFT JOIN n ON n.part = g.part AND n.slot = g.slot GROUP BY 1, 2""")
