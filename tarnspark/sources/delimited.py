@@ -80,28 +80,44 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def scan(spark: SparkSession, path: str, *, sep: str | None = None, kind: str = "double") -> DataFrame:
-    """value: all fields of a text file, cast to one type; fields are parted by white space unless sep is given."""
+def numbered_lines(spark: SparkSession, path: str, blank: bool = True) -> DataFrame:
+    """value, file, line (from 1 in each file): lines are counted in each block that a task reads, and blocks by where they begin.
+
+    blank: whether lines of white space alone are kept and counted.
+    """
+    block = ["file", "_start"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    lines = lines if blank else lines.filter("trim(value) <> ''")
+    sizes = lines.groupBy(*block).agg(F.count("*").alias("_n"))
+    before = sizes.select(*block, F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*block).orderBy("_at"))
+    return lines.withColumn("_k", inside).join(before, block).select("value", "file", (F.col("_before") + F.col("_k")).alias("line"))
+
+
+def scan(spark: SparkSession, path: str, *, sep: str | None = None, kind: str = "double", skip: int = 0, nmax: int = 0) -> DataFrame:
+    """value: all fields of a text file, cast to one type; fields are parted by white space unless sep is given.
+
+    skip: the lines to pass over at the start of each file; nmax: the lines to read after them, if above 0.
+    """
+    lines = spark.read.text(path)
+    if skip or nmax > 0:
+        lines = numbered_lines(spark, path).filter((F.col("line") > skip) & (F.col("line") <= skip + nmax if nmax > 0 else F.lit(True)))
     parts = F.split(F.trim("value"), r"\s+" if sep is None else rf"\Q{sep}\E")
-    return spark.read.text(path).select(F.explode(parts).alias("value")).filter("value <> ''").select(F.trim("value").cast(kind).alias("value"))
+    return lines.select(F.explode(parts).alias("value")).filter("value <> ''").select(F.trim("value").cast(kind).alias("value"))
 
 
 def matrix_scan(spark: SparkSession, path: str, n_columns: int, *, row: str | None = None, burn: int = 0, thin: int = 1, sep: str = r"\s+") -> DataFrame:
     """Rows of n_columns numbers, V1 to Vn; of them those after the first `burn`, then every thin-th.
 
     row: the name of a column that numbers the rows in the file (its first), which then gives the order; else rows go by
-    their place in the file, which takes one file that one task reads from its start.
+    their place among the lines of their file that aren't blank.
     """
     parts = F.split(F.trim("value"), sep)
-    lines = spark.read.text(path).filter("trim(value) <> ''")
-    if row is None:
-        lines = lines.withColumn("_at", F.monotonically_increasing_id() + 1)
-        order = F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("_at"))
-        if burn or thin > 1:
-            lines = lines.coalesce(1).withColumn("_at", order)
+    if row is None and (burn or thin > 1):
+        lines = numbered_lines(spark, path, blank=False).withColumnRenamed("line", "_at")
     else:
-        lines = lines.withColumn("_at", F.get(parts, F.lit(0)).cast("bigint"))
-    kept = lines.filter((F.col("_at") > burn) & ((F.col("_at") - burn) % thin == 0))
+        lines = spark.read.text(path).filter("trim(value) <> ''").withColumn("_at", F.get(parts, F.lit(0)).cast("bigint") if row else F.lit(None).cast("bigint"))
+    kept = lines.filter((F.col("_at") > burn) & ((F.col("_at") - burn) % thin == 0)) if burn or thin > 1 or row else lines
     return kept.select(*[F.get(parts, F.lit(k)).cast("double").alias(f"V{k + 1}") for k in range(n_columns)])
 
 

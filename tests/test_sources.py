@@ -77,3 +77,21 @@ def test_streamed_transitions_stitch_chunks(spark, tmp_path):
         aggregates.into_table(aggregates.transitions(stream, "u", "ts", "s"), str(tmp_path / "out"), str(tmp_path / "state")).start().awaitTermination()
     got = {(r.u, r.previous, r.next): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, "a", "b"): 1, (1, "b", "a"): 1}
+
+
+def test_lines_are_numbered_over_many_blocks(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for name, n in (("a", 400), ("b", 3)):
+            (tmp_path / f"{name}.txt").write_text("".join(f"{k} {k * k}\n" + ("\n" if k % 50 == 0 else "") for k in range(1, n + 1)))
+        lines = delimited.numbered_lines(spark, str(tmp_path), blank=False).collect()
+        assert len(lines) == 403 and all(r.value.split()[0] == str(r.line) for r in lines)
+        assert delimited.numbered_lines(spark, str(tmp_path)).count() == 411
+        assert sorted(r.value for r in delimited.scan(spark, str(tmp_path / "a.txt"), skip=2, nmax=2).collect()) == [3, 4, 9, 16]
+        assert sorted(r.value for r in delimited.scan(spark, str(tmp_path / "b.txt"), skip=1).collect()) == [2, 3, 4, 9]
+        assert [r.V1 for r in delimited.matrix_scan(spark, str(tmp_path / "a.txt"), 2, burn=100, thin=150).orderBy("V1").collect()] == [250, 400]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
