@@ -161,13 +161,34 @@ def bspline_basis(x: np.ndarray, knots: Sequence[float], degree: int = 3) -> np.
     return out[:, : n - degree]
 
 
-def bspline(df: DataFrame, x: str, knots: Sequence[float], degree: int = 3, name: str = "basis") -> DataFrame:
-    """df with the B-spline basis of x as an array; null where x is."""
+def mspline_basis(x: np.ndarray, knots: Sequence[float], degree: int = 3) -> np.ndarray:
+    """As `bspline_basis`, scaled so that each function has an area of one."""
+    t = np.concatenate([[knots[0]] * degree, knots, [knots[-1]] * degree]).astype(float)
+    n = len(knots) - 1 + degree
+    return bspline_basis(x, knots, degree) * (degree + 1) / (t[degree + 1 : degree + 1 + n] - t[:n])
+
+
+def ispline_basis(x: np.ndarray, knots: Sequence[float], degree: int = 3) -> np.ndarray:
+    """The integrals of `mspline_basis` up to x: they rise from 0 at the first knot to 1 at the last, and stay there."""
+    higher = bspline_basis(np.clip(x, knots[0], knots[-1]), knots, degree + 1)
+    return np.cumsum(higher[:, ::-1], axis=1)[:, ::-1][:, 1:]
+
+
+def natural_spline(x: Column, knots: Sequence[float]) -> Column:
+    """An array of len(knots) - 1 functions that, with a constant, span the cubic splines that are straight beyond the outer
+    knots: x, then for each knot but the last two a difference of truncated cubes. Plain arithmetic in the JVM."""
+    cube = lambda k: F.pow(F.greatest(x - float(k), F.lit(0.0)), F.lit(3.0))
+    part = lambda k: (cube(k) - cube(knots[-1])) / float(knots[-1] - k)
+    return F.when(x.isNotNull(), F.array(x.cast("double"), *[part(k) - part(knots[-2]) for k in knots[:-2]]))
+
+
+def bspline(df: DataFrame, x: str, knots: Sequence[float], degree: int = 3, name: str = "basis", functions=bspline_basis) -> DataFrame:
+    """df with the B-spline basis of x as an array (or that of the `functions` given: M- or I-splines); null where x is."""
     ship(df.sparkSession)
 
     @F.pandas_udf("array<double>")
     def basis(v: pd.Series) -> pd.Series:
-        rows = bspline_basis(v.to_numpy(dtype=float, na_value=np.nan), knots, degree)
+        rows = functions(v.to_numpy(dtype=float, na_value=np.nan), knots, degree)
         return pd.Series([None if m else r for r, m in zip(rows, v.isna(), strict=True)])
 
     return df.withColumn(name, basis(F.col(x).cast("double")))

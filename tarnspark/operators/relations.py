@@ -136,6 +136,14 @@ def resample(df: DataFrame, weight: str, key: str, n: int, seed: int = 0) -> Dat
     return counted.filter("draws > 0").drop("_w", "_c", "_t")
 
 
+def importance_resample(df: DataFrame, log_target: str, log_proposal: str, key: str, n: int, seed: int = 0) -> DataFrame:
+    """`resample` by the ratio of target to proposal, given as logs; the greatest ratio is taken out first, so none overflows."""
+    ratio = F.col(log_target) - F.col(log_proposal)
+    top = df.agg(F.max(ratio).alias("_top"))
+    weighed = df.join(F.broadcast(top)).withColumn("_ratio", F.exp(ratio - F.col("_top"))).drop("_top")  # one row
+    return resample(weighed, "_ratio", key, n, seed).drop("_ratio")
+
+
 # --- sets ---
 
 

@@ -164,3 +164,10 @@ def streamed_transitions(spark, d):
 def event_sessions(spark, d):
     found = aggregates.sessions(table(spark, d, "events"), "ts", ["user_id"], gap="6 hours")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, greatest(q - 5, 0) ** 3 AS c5, greatest(q - 15, 0) ** 3 AS c15, greatest(q - 30, 0) ** 3 AS c30, greatest(q - 45, 0) ** 3 AS c45 FROM lineitem)
+  SELECT l_orderkey, l_linenumber, q AS b0, round((c5 - c45) / 40 - (c30 - c45) / 15, 6) AS b1, round((c15 - c45) / 30 - (c30 - c45) / 15, 6) AS b2 FROM c""")
+def natural_spline(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("b", mathx.natural_spline(F.col("l_quantity"), [5, 15, 30, 45]))
+    return rows.select("l_orderkey", "l_linenumber", *[F.round(F.get("b", F.lit(k)), 6).alias(f"b{k}") for k in range(3)])

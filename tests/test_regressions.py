@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnspark.functions import dates, mathx
-from tarnspark.operators import encode, glm
+from tarnspark.operators import encode, glm, relations
 
 
 def data(spark, seed=1, n=600):
@@ -123,3 +123,28 @@ def test_labels_of_short_spans(spark):
     assert label("2024-01-01 01:02:03", "2024-01-01 04:05:06") == ["01:02:03", "04:05:06"]
     assert label("2024-01-01 23:00:00", "2024-01-02 01:00:00") == ["2024-01-01 23:00:00", "2024-01-02 01:00:00"]
     assert label("2022-01-01 00:00:00", "2024-01-02 00:00:00", None) == [None, "2022-01", "2024-01"]
+
+
+def test_areas_and_integrals_of_splines(spark):
+    knots, x = [0.0, 1.0, 2.5, 4.0], np.linspace(0, 4, 40_001)
+    for degree in (1, 2, 3):
+        m, i = mathx.mspline_basis(x, knots, degree), mathx.ispline_basis(x, knots, degree)
+        area = np.concatenate([np.zeros((1, m.shape[1])), np.cumsum((m[1:] + m[:-1]) / 2 * 1e-4, axis=0)])
+        assert np.abs(area - i).max() < 1e-4 and np.abs(i[-1] - 1).max() < 1e-12
+    out = mathx.bspline(spark.createDataFrame([(9.0,), (None,)], "x double"), "x", knots, functions=mathx.ispline_basis).collect()
+    assert out[0].basis == [1.0] * 6 and out[1].basis is None
+
+
+def test_natural_splines_are_straight_outside(spark):
+    at = [-3.0, -2.0, -1.0, 6.0, 7.0, 8.0, None]
+    got = [r.b for r in spark.createDataFrame([(v,) for v in at], "x double").coalesce(1).select(mathx.natural_spline(F.col("x"), [0, 1, 3, 5]).alias("b")).collect()]
+    b = np.array(got[:6])
+    assert got[6] is None and b.shape == (6, 3) and np.abs(b[[0, 3]] - 2 * b[[1, 4]] + b[[2, 5]]).max() < 1e-9
+
+
+def test_importance_resampling(spark):
+    df = spark.range(1000).select("id", (F.col("id") * -0.01 + 5000.0).alias("target"), F.lit(0.0).alias("proposal"))
+    got = relations.importance_resample(df, "target", "proposal", "id", 20_000).collect()
+    mean = sum(r.id * r.draws for r in got) / sum(r.draws for r in got)
+    w = np.exp(-0.01 * np.arange(1000))
+    assert abs(sum(r.draws for r in got) - 20_000) <= 1 and abs(mean - (np.arange(1000) * w).sum() / w.sum()) < 0.5
