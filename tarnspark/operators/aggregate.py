@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnspark.functions.ordered import running
+from tarnspark.functions import ordered
 from tarnspark.functions.shipping import ship
 
 from .sufficient import chi_square_p
@@ -64,10 +64,37 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequence[str] = (), approximate: bool = False, accuracy: int = 10000) -> DataFrame:
-    """One row a probability: prob, quantile. Exact (type 7) or, for large groups, by a mergeable sketch."""
+    """One row a probability: prob, quantile. Exact (type 7, from the counts of values, ranked in stretches) or by a sketch."""
     p = F.array(*[F.lit(float(q)) for q in probs])
-    value = F.percentile_approx(x, list(map(float, probs)), accuracy) if approximate else F.percentile(x, p)
-    return df.groupBy(*by).agg(value.alias("v")).select(*by, F.posexplode("v").alias("k", "quantile")).select(*by, F.element_at(p, F.col("k") + 1).alias("prob"), "quantile")
+    if approximate:
+        found = df.groupBy(*by).agg(F.percentile_approx(x, list(map(float, probs)), accuracy).alias("v"))
+    else:
+        counts = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_o"))
+        found = _ranked(counts, by).groupBy(*by).agg(F.first("_n").alias("_n"), *_at_ranks(probs))
+        found = found.select(*by, F.array(*[_between(k, q, F.col("_n")) for k, q in enumerate(probs)]).alias("v"))
+    return found.select(*by, F.posexplode("v").alias("k", "quantile")).select(*by, F.element_at(p, F.col("k") + 1).alias("prob"), "quantile")
+
+
+def _ranked(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Distinct values _x and their numbers _o, with _n rows of the group in all, of them _upto up to _x, and the least _low."""
+    totals = counts.groupBy(*by).agg(F.sum("_o").alias("_n"), F.min("_x").alias("_low"))
+    ranked = ordered.running(counts, "_x", "_o", "_upto", by=by)
+    return ordered.beside(ranked, totals, by) if by else ranked.join(F.broadcast(totals))
+
+
+def _at_ranks(probs: Sequence[float]) -> list[Column]:
+    """Aggregates of `_ranked`: _a0, _b0, _a1, ..., the values on both sides of each probability's place."""
+    out = []
+    for k, p in enumerate(probs):
+        place = F.floor((F.col("_n") - 1) * F.lit(float(p)))
+        for name, rank in (("a", place), ("b", F.least(place + 1, F.col("_n") - 1))):
+            out.append(F.max(F.when((F.col("_upto") - F.col("_o") <= rank) & (rank < F.col("_upto")), F.col("_x"))).alias(f"_{name}{k}"))
+    return out
+
+
+def _between(k: int, p: float, n: Column) -> Column:
+    at = (n - 1) * F.lit(float(p))
+    return F.col(f"_a{k}") + F.when(F.col(f"_a{k}") == F.col(f"_b{k}"), 0.0).otherwise((at - F.floor(at)) * (F.col(f"_b{k}") - F.col(f"_a{k}")))
 
 
 def frequency_table(df: DataFrame, x: str, contiguous: bool = False, support: tuple[int, int] | None = None) -> DataFrame:
@@ -142,32 +169,26 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
     """One row a column and group: observed, missing, distinct, mean, sd, min, quantiles (by name; the quartiles), max.
 
     NaN and infinities are missing. Rows are counted by value first, on both sides of the shuffle; all else is made from
-    the distinct values and their counts, ranked by a sort that can spill. Quantiles are exact (type 7).
+    the distinct values and their counts, ranked in stretches of their values, of which no task holds more than one. Quantiles are exact (type 7).
     """
     probs = {"q25": 0.25, "median": 0.5, "q75": 0.75} if quartiles is None else quartiles
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")
     long = df.select(*by, values).select(*by, "v.variable", F.when(F.abs("v.x") < float("inf"), F.col("v.x")).alias("x"))
-    group = Window.partitionBy(*by, "variable")
-    counts = long.groupBy(*by, "variable", "x").agg(F.count("*").alias("_c")).withColumn("_o", F.when(F.col("x").isNotNull(), F.col("_c")).otherwise(0))
-    ranked = counts.withColumns({"_upto": F.sum("_o").over(group.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_o").over(group), "_low": F.min("x").over(group)})
-    y, at = F.col("x") - F.col("_low"), []
-    for k, p in enumerate(probs.values()):
-        place = F.floor((F.col("_n") - 1) * F.lit(p))
-        for name, rank in (("a", place), ("b", F.least(place + 1, F.col("_n") - 1))):
-            at.append(F.max(F.when((F.col("_upto") - F.col("_o") <= rank) & (rank < F.col("_upto")), F.col("x"))).alias(f"_{name}{k}"))
-    found = ranked.groupBy(*by, "variable").agg(
+    counts = long.groupBy(*by, "variable", F.col("x").alias("_x")).agg(F.count("*").alias("_c")).withColumn("_o", F.when(F.col("_x").isNotNull(), F.col("_c")).otherwise(0))
+    y = F.col("_x") - F.col("_low")
+    found = _ranked(counts, [*by, "variable"]).groupBy(*by, "variable").agg(
         F.sum("_o").alias("observed"),
         F.sum(F.col("_c") - F.col("_o")).alias("missing"),
-        F.count("x").alias("distinct_values"),
+        F.count("_x").alias("distinct_values"),
         F.sum(y * F.col("_o")).alias("_s"),
         F.sum(y * y * F.col("_o")).alias("_ss"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        *at,
+        F.min("_x").alias("min"),
+        F.max("_x").alias("max"),
+        *_at_ranks(list(probs.values())),
     )
     n = F.col("observed")
     spread = F.greatest(F.lit(0.0), F.try_divide(F.col("_ss") - F.try_divide(F.col("_s") * F.col("_s"), n), n - 1))
-    between = [(F.col(f"_a{k}") + ((n - 1) * F.lit(p) - F.floor((n - 1) * F.lit(p))) * (F.col(f"_b{k}") - F.col(f"_a{k}"))).alias(c) for k, (c, p) in enumerate(probs.items())]
+    between = [_between(k, p, n).alias(c) for k, (c, p) in enumerate(probs.items())]
     sd = F.when(n > 1, F.sqrt(spread)).alias("sd")
     return found.select(*by, "variable", "observed", "missing", "distinct_values", (F.col("min") + F.try_divide(F.col("_s"), n)).alias("mean"), sd, "min", *between, "max")
 
@@ -303,7 +324,7 @@ def ecdf(df: DataFrame, x: str) -> DataFrame:
     n = df.filter(clean(F.col(x)).isNotNull()).groupBy(F.col(x).alias("value")).agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("_total"))
     c = F.col("_upto")
-    return running(n, "value", "n", "_upto").join(F.broadcast(total)).select("value", (c / F.col("_total")).alias("at_most"), ((c - F.col("n")) / F.col("_total")).alias("below"))
+    return ordered.running(n, "value", "n", "_upto").join(F.broadcast(total)).select("value", (c / F.col("_total")).alias("at_most"), ((c - F.col("n")) / F.col("_total")).alias("below"))
 
 
 def ecdf_at(df: DataFrame, x: str, points: Sequence[float]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnspark.functions.shipping import ship
 
-from .sufficient import compare_rates, f_p, gramian
+from .sufficient import compare_rates, f_p, gramian, kept
 
 
 def compare_proportions(df: DataFrame, group: str, success: Column, first, second) -> DataFrame:
@@ -43,17 +43,19 @@ def ks_critical_value(n: Column, alpha: float) -> Column:
 def _reweighted(df: DataFrame, y: Column, design: dict[str, Column], weight, rounds: int) -> tuple[list[str], np.ndarray]:
     """Least squares over and over, weight(residual) given: each round is one aggregation of a weighted Gramian."""
     names, beta = list(design), None
-    columns = {**design, "_y": y}
-    for _ in range(rounds):
-        fit = F.lit(0.0) if beta is None else sum((c * float(b) for c, b in zip(design.values(), beta, strict=True)), F.lit(0.0))
-        w = None if beta is None else weight(y - fit)
-        _, g = gramian(df, columns, w)
-        p = len(names)
-        new = np.linalg.lstsq(g[:p, :p], g[:p, p], rcond=None)[0]
-        if beta is not None and np.abs(new - beta).max() < 1e-9 * (1 + np.abs(new).max()):
-            return names, new
-        beta = new
-    return names, beta
+    terms = [F.col(f"_x{i}") for i in range(len(names))]
+    columns = {**dict(zip(names, terms, strict=True)), "_y": F.col("_y")}
+    with kept(df.select(y.cast("double").alias("_y"), *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(design.values())]).dropna()) as rows:
+        for _ in range(rounds):
+            fit = F.lit(0.0) if beta is None else sum((c * float(b) for c, b in zip(terms, beta, strict=True)), F.lit(0.0))
+            w = None if beta is None else weight(F.col("_y") - fit)
+            _, g = gramian(rows, columns, w)
+            p = len(names)
+            new = np.linalg.lstsq(g[:p, :p], g[:p, p], rcond=None)[0]
+            if beta is not None and np.abs(new - beta).max() < 1e-9 * (1 + np.abs(new).max()):
+                break
+            beta = new
+    return names, new
 
 
 def quantile_regression(df: DataFrame, y: Column, design: dict[str, Column], q: float = 0.5, rounds: int = 40, least: float = 1e-4) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tarnspark.functions.mathx import logit_inv, normal_cdf, normal_density
 
-from .sufficient import gramian
+from .sufficient import gramian, kept
 
 
 def _linear(b: Sequence[float], x: Sequence[Column]) -> Column:
@@ -70,27 +70,30 @@ def probit(df: DataFrame, y: Column, design: dict[str, Column], rounds: int = 50
         gradient, last["g"] = _matrices(_sums(lean, cells), k)
         return b + np.linalg.solve(last["g"], gradient)
 
-    b = _settled(step, np.zeros(k), rounds)
+    with kept(rows) as rows:
+        b = _settled(step, np.zeros(k), rounds)
     return _table(df, list(design), b, last["g"])
 
 
 def gamma_regression(df: DataFrame, y: Column, design: dict[str, Column], rounds: int = 50) -> tuple[DataFrame, float]:
     """term, estimate, se of a gamma regression with a log link, and its shape (by likelihood); y that isn't above 0 is left out."""
-    v = y.cast("double")
-    rows, k, last = df.filter(v > 0), len(design), {}
-    x = [c.cast("double") for c in design.values()]
-    _, g = gramian(rows, {**design, "_z": F.ln(v)})
+    v, k, last = F.col("_y"), len(design), {}
+    x = [F.col(f"_x{i}") for i in range(k)]
+    terms = dict(zip(design, x, strict=True))
+    rows = df.select(y.cast("double").alias("_y"), *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(design.values())]).dropna().filter("_y > 0")
 
     def step(b: np.ndarray) -> np.ndarray:
         eta = _linear(b, x)
-        _, g = gramian(rows, {**design, "_z": eta + v * F.exp(-eta) - 1})
+        _, g = gramian(rows, {**terms, "_z": eta + v * F.exp(-eta) - 1})
         last["g"] = g[:k, :k]
         return np.linalg.solve(g[:k, :k], g[:k, k])
 
-    b = _settled(step, np.linalg.solve(g[:k, :k], g[:k, k]), rounds)
-    ratio = v * F.exp(-_linear(b, x))
-    # at the estimate the shape solves ln(a) - digamma(a) = mean(ratio) - 1 - mean(ln(ratio))
-    gap = rows.agg(F.avg(ratio - 1 - F.ln(ratio))).first()[0] or 0.0
+    with kept(rows) as rows:
+        _, g = gramian(rows, {**terms, "_z": F.ln(v)})
+        b = _settled(step, np.linalg.solve(g[:k, :k], g[:k, k]), rounds)
+        ratio = v * F.exp(-_linear(b, x))
+        # at the estimate the shape solves ln(a) - digamma(a) = mean(ratio) - 1 - mean(ln(ratio))
+        gap = rows.agg(F.avg(ratio - 1 - F.ln(ratio))).first()[0] or 0.0
     shape = _shape(gap)
     return _table(df, list(design), b, last["g"] * shape), shape
 
@@ -138,7 +141,8 @@ def multinomial_logit(df: DataFrame, y: str, levels: Sequence, design: dict[str,
         gradient, last["g"] = _matrices(_sums(chances, cells), size)
         return b + np.linalg.solve(last["g"], gradient)
 
-    b = _settled(step, np.zeros(size), rounds)
+    with kept(rows) as rows:
+        b = _settled(step, np.zeros(size), rounds)
     se = np.sqrt(np.maximum(0.0, np.diag(np.linalg.pinv(last["g"]))))
     out = [(str(level), t, float(b[a * k + i]), float(se[a * k + i])) for a, level in enumerate(others) for i, t in enumerate(design)]
     return df.sparkSession.createDataFrame(out, "level string, term string, estimate double, se double")
@@ -151,7 +155,7 @@ def ordinal_logit(df: DataFrame, y: str, levels: Sequence, design: dict[str, Col
     place = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(y)).cast("int")
     rows = df.select(place.alias("_y"), *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(design.values())]).dropna().filter("_y > 0")
     x, cuts, size, last = [F.col(f"_x{i}") for i in range(k)], m - 1, m - 1 + k, {}
-    counts = dict(rows.groupBy("_y").count().collect())
+    counts = dict(rows.groupBy("_y").count().collect())  # one row a level
     if len(counts) < m:
         raise ValueError("each level has to occur")
     share = np.cumsum([counts[i + 1] for i in range(cuts)]) / sum(counts.values())
@@ -178,7 +182,8 @@ def ordinal_logit(df: DataFrame, y: str, levels: Sequence, design: dict[str, Col
             move /= 2
         return b + move
 
-    b = _settled(step, np.append(np.log(share / (1 - share)), np.zeros(k)), rounds)
+    with kept(rows) as rows:
+        b = _settled(step, np.append(np.log(share / (1 - share)), np.zeros(k)), rounds)
     return _table(df, [*[f"cut.{v}" for v in levels[:-1]], *design], b, last["g"])
 
 

@@ -8,16 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnspark.functions.ordered import numbered, running
+from tarnspark.functions.ordered import coded, numbered, running
 
 
 # --- rows and columns ---
 
 
 def level_codes(df: DataFrame, x: str, name: str = "code") -> DataFrame:
-    """df with the place of x among its sorted distinct values, from 0. The level table is aggregated, not a global sort of df."""
-    levels = df.filter(F.col(x).isNotNull()).select(F.col(x).alias("_level")).distinct()
-    codes = levels.select("_level", (F.row_number().over(Window.orderBy("_level")) - 1).cast("bigint").alias(name))
+    """df with the place of x among its sorted distinct values, from 0, of which no task sorts more than a range."""
+    codes = coded(df.filter(F.col(x).isNotNull()).select(F.col(x).alias("_level")).distinct(), "_level", name)
     return df.join(codes, df[x] == codes["_level"], "left").drop("_level")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,16 @@ def gramian(df: DataFrame, columns: dict[str, Column], weight: Column | None = N
     return names, g
 
 
+@contextmanager
+def kept(rows: DataFrame):
+    """rows, which the rounds of a fit read over and over, on the executors until the block ends; what is lost is made again."""
+    held = rows.persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def least_squares(df: DataFrame, y: str, design: dict[str, Column], weight: Column | None = None) -> DataFrame:
     """term, estimate, se, t of the regression of y on the design (which holds its own intercept)."""
     names, g = gramian(df, {**design, "_y": F.col(y), "_n": F.lit(1.0)}, weight)
@@ -231,11 +242,13 @@ def normal_inverse_gamma(df: DataFrame, by: Sequence[str], x: Column, mu0: float
 
 
 def dirichlet_multinomial(df: DataFrame, by: Sequence[str], level: str, alpha: float = 1.0) -> DataFrame:
-    """by, level, posterior: mean share of each level seen anywhere, in each group."""
-    n = df.groupBy(*by, level).agg(F.count("*").alias("n"))
-    groups, levels = n.select(*by).distinct(), n.select(level).distinct()
-    full = groups.crossJoin(levels).join(n, [*by, level], "left").withColumn("n", F.coalesce("n", F.lit(0)))  # groups by levels
-    return full.select(*by, level, "n", ((F.col("n") + alpha) / F.sum(F.col("n") + alpha).over(Window.partitionBy(*by))).alias("posterior"))
+    """by, level, posterior: mean share of each level seen anywhere, in each group. NULL is no level."""
+    n = df.groupBy(*by, level).agg(F.count(level).alias("n"))
+    levels = n.agg(F.sort_array(F.collect_set(level)).alias("_levels"))  # one row, as long as each group's share of the result
+    held = n.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.when(F.col(level).isNotNull(), F.struct(level, "n")))).alias("_n"), F.sum("n").alias("_total"))
+    full = held.join(F.broadcast(levels)).select(*by, "_n", "_total", F.size("_levels").alias("_k"), F.explode("_levels").alias(level))
+    count = F.coalesce(F.element_at("_n", F.col(level)), F.lit(0))
+    return full.select(*by, level, count.alias("n"), ((count + alpha) / (F.col("_total") + alpha * F.col("_k"))).alias("posterior"))
 
 
 # --- distribution functions, by series and continued fractions ---
