@@ -28,7 +28,7 @@ def beside(df: DataFrame, other: DataFrame, by: Sequence[str], both: Sequence[st
 def _stretched(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """df with _b, the stretch of its key (within its group), 0 for the least. key: a number, date or timestamp."""
     n = min(MOST_STRETCHES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.groupBy(*by).agg(F.percentile_approx(key, [k / n for k in range(1, n)] or [0.5], 10_000).alias("_cuts"))
+    cuts = df.groupBy(*by).agg(F.percentile_approx(key, [k / n for k in range(1, n)] or [0.5], max(100, 10 * n)).alias("_cuts"))
     inside = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < F.col(key)))
     held = beside(df, cuts, by) if by else df.join(F.broadcast(cuts))
     return held.withColumn("_b", F.coalesce(inside, F.lit(0))).drop("_cuts")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnspark.functions import ordered
+from tarnspark.functions.folders import new_path
 from tarnspark.functions.shipping import ship
 
 from .sufficient import chi_square_p
@@ -76,7 +77,11 @@ def quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequence[str] =
 
 
 def _ranked(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Distinct values _x and their numbers _o, with _n rows of the group in all, of them _upto up to _x, and the least _low."""
+    """Distinct values _x and their numbers _o, with _n rows of the group in all, of them _upto up to _x, and the least _low.
+    They are written first: four steps read them, and the rows that they count would be read as often."""
+    path = new_path(counts.sparkSession, "counts")
+    counts.write.parquet(path)
+    counts = counts.sparkSession.read.schema(counts.schema).parquet(path)
     totals = counts.groupBy(*by).agg(F.sum("_o").alias("_n"), F.min("_x").alias("_low"))
     ranked = ordered.running(counts, "_x", "_o", "_upto", by=by)
     return ordered.beside(ranked, totals, by) if by else ranked.join(F.broadcast(totals))
