@@ -111,6 +111,20 @@ def log_density(kind: str, x: Column, *p: Column | float) -> Column:
     raise ValueError(f"no distribution named {kind}")
 
 
+def mvn_log_density(x: Column, mean: Sequence[float], covariance: Sequence[Sequence[float]], df: float | None = None) -> Column:
+    """ln of the multivariate normal density of an array, or of the multivariate Student one with df degrees of freedom (then
+    `covariance` is its scale matrix). NULL where the array isn't as long as the mean or holds a NULL."""
+    d, low = len(mean), np.linalg.cholesky(np.asarray(covariance, dtype=float))
+    whiten = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in np.linalg.inv(low)])
+    off = F.zip_with(x.cast("array<double>"), F.array(*[F.lit(float(v)) for v in mean]), lambda a, b: a - b)
+    along = lambda row: F.aggregate(F.zip_with(row, off, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    square = F.aggregate(F.transform(whiten, along), F.lit(0.0), lambda s, v: s + v * v)
+    log_root = float(np.log(np.diag(low)).sum())
+    if df is None:
+        return -0.5 * square - (log_root + 0.5 * d * math.log(2 * math.pi))
+    return F.lit(math.lgamma((df + d) / 2) - math.lgamma(df / 2) - 0.5 * d * math.log(df * math.pi) - log_root) - (df + d) / 2 * F.log1p(square / df)
+
+
 def _tail_coefficients(degree: int = 24) -> list[float]:
     """Of a polynomial in 2 t - 1, t = 2 / (2 + z), for ln(erfc(z) / t) + z * z: fitted at Chebyshev's points of z from 0 on."""
 

@@ -72,7 +72,7 @@ def quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequence[str] =
     else:
         counts = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_o"))
         found = _ranked(counts, by).groupBy(*by).agg(F.first("_n").alias("_n"), *_at_ranks(probs))
-        found = found.select(*by, F.array(*[_between(k, q, F.col("_n")) for k, q in enumerate(probs)]).alias("v"))
+        found = found.filter("_n > 0").select(*by, F.array(*[_between(k, q, F.col("_n")) for k, q in enumerate(probs)]).alias("v"))
     return found.select(*by, F.posexplode("v").alias("k", "quantile")).select(*by, F.element_at(p, F.col("k") + 1).alias("prob"), "quantile")
 
 

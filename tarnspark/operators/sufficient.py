@@ -119,6 +119,20 @@ def lm(df: DataFrame, y: str, design: dict[str, Column], weight: Column | None =
     return spark.createDataFrame(terms, "term string, estimate double, se double, t double, p double"), spark.createDataFrame(plain, "source string, df double, ss double, ms double, f double, p double, r2 double, adjusted_r2 double")
 
 
+def screened_regression(df: DataFrame, y: str, candidates: dict[str, Column], keep: int) -> DataFrame:
+    """term, estimate, se, t of y on an intercept and the `keep` candidates that go most with it (ties to the first named).
+
+    The rows are read twice: once for each candidate's correlation with y, over rows that have both, once for the Gramian of
+    those chosen. What comes back grows with the number of candidates, then with the square of `keep`.
+    """
+    names, v = list(candidates), F.col(y).cast("double")
+    both = [(F.when(c.isNotNull(), v), F.when(v.isNotNull(), c.cast("double"))) for c in candidates.values()]
+    found = df.agg(*[F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b))).alias(f"r{k}") for k, (a, b) in enumerate(both)]).first()
+    told = [0.0 if r is None or r != r else abs(r) for r in found]
+    chosen = sorted(sorted(range(len(names)), key=lambda k: -told[k])[:keep])
+    return least_squares(df, y, {"(Intercept)": F.lit(1.0), **{names[k]: candidates[names[k]] for k in chosen}})
+
+
 def mvn(df: DataFrame, vector: str, by: Sequence[str], dim: int) -> DataFrame:
     """by, i, j, n, mean_i, mean_j, s (centred cross-product), i <= j: for vectors of `dim` numbers; others are left out.
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnspark.functions import mathx
 from tarnspark.operators import encode as E
 from tarnspark.operators import glm as G
+from tarnspark.operators import latent as L
 from tarnspark.operators import models as M
 from tarnspark.operators import sufficient as S
 
@@ -205,9 +207,6 @@ def partial_dependence(spark, d):
     return rounded(M.partial_dependence(table(spark, d, "lineitem"), [0, 5, 10], lambda p: 1 / (1 + F.exp(-(0.1 * p - F.col("l_discount") * 10)))), 8)
 
 
-
-
-
 def _design():
     return {"(Intercept)": F.lit(1.0), "quantity": F.col("l_quantity") / 10, "discount": F.col("l_discount") * 10, "tax": F.col("l_tax") * 10}
 
@@ -282,3 +281,65 @@ def zero_inflated_fit(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
     k = c.join(o, c["c_custkey"] == o["o_custkey"], "left").groupBy("c_nationkey", "c_custkey").agg(F.count("o_orderkey").alias("k"))
     return rounded(G.zero_inflated_fit(k, ["c_nationkey"], F.col("k")), 7)
+
+
+@query("""WITH x AS (SELECT unnest(['discount', 'quantity', 'tax']) AS term, unnest([l_discount, l_quantity, l_tax]) AS x, l_extendedprice AS y FROM lineitem),
+  s AS (SELECT term, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_count(y, x) AS n, avg(x) AS m FROM x GROUP BY 1 ORDER BY abs(corr(y, x)) DESC LIMIT 1),
+  v AS (SELECT *, (syy - b * b * sxx) / (n - 2) AS s2 FROM s) SELECT '(Intercept)' AS term, round(a, 3) AS estimate, round(sqrt(s2 * (1 / n + m * m / sxx)), 3) AS se FROM v UNION ALL SELECT term, round(b, 3), round(sqrt(s2 / sxx), 3) FROM v""")
+def screened_regression(spark, d):
+    candidates = {"discount": F.col("l_discount"), "quantity": F.col("l_quantity"), "tax": F.col("l_tax")}
+    return rounded(S.screened_regression(table(spark, d, "lineitem"), "l_extendedprice", candidates, 1).drop("t"), 3)
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(-0.5 * q - 0.5 * ln(7.6e-7) - ln(2 * pi()), 6) AS normal, round(lgamma(3) - lgamma(2) - ln(4 * pi()) - 0.5 * ln(7.6e-7) - 3 * ln(1 + q / 4), 6) AS student FROM
+  (SELECT l_orderkey, l_linenumber, (8e-4 * a * a - 4e-4 * a * b + 1e-3 * b * b) / 7.6e-7 AS q FROM (SELECT *, l_discount - 0.05 AS a, l_tax - 0.04 AS b FROM lineitem))""")
+def multivariate_densities(spark, d):
+    x, at = F.array("l_discount", "l_tax"), ([0.05, 0.04], [[1e-3, 2e-4], [2e-4, 8e-4]])
+    return rounded(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", mathx.mvn_log_density(x, *at).alias("normal"), mathx.mvn_log_density(x, *at, df=4.0).alias("student")), 6)
+
+
+@query("SELECT user_id, date_trunc('day', ts)::DATE AS day, count(value) AS n, round(avg(value), 9) AS mean, round(var_pop(value) * count(value), 7) AS ss FROM events GROUP BY 1, 2")
+def multiplexed_series(spark, d):
+    out = L.multiplexed(table(spark, d, "events").withColumn("day", F.to_date("ts")), ["user_id"], "day", "value")
+    return out.select("user_id", "day", "n", F.round("mean", 9).alias("mean"), F.round("ss", 7).alias("ss"))
+
+
+@query("""WITH n AS (SELECT l_linestatus AS s, l_returnflag AS f, l_linenumber AS m, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2, 3),
+  s AS (SELECT s, sum(n) AS ps FROM n GROUP BY 1), f AS (SELECT s, f, sum(n) / sum(sum(n)) OVER (PARTITION BY s) AS pf FROM n GROUP BY 1, 2), m AS (SELECT f, m, sum(n) / sum(sum(n)) OVER (PARTITION BY f) AS pm FROM n GROUP BY 1, 2)
+  SELECT s.s AS l_linestatus, round(sum(ps * pf * pm) / sum(sum(ps * pf * pm)) OVER (), 9) AS p FROM s JOIN f ON f.s = s.s JOIN m ON m.f = f.f WHERE m.m = 1 GROUP BY 1""")
+def net_posterior(spark, d):
+    """The status of first lines in a chain: status, flag given status, number given flag."""
+    li = table(spark, d, "lineitem")
+    node = lambda child, parents: M.conditional_table(li, child, parents).drop("n").withColumnRenamed("probability", "p")
+    first = li.groupBy("l_linestatus").agg(F.count("*").cast("double").alias("p"))
+    found = L.eliminate([first, node("l_returnflag", ["l_linestatus"]), node("l_linenumber", ["l_returnflag"])], ["l_linestatus"], {"l_linenumber": 1})
+    return rounded(found, 9)
+
+
+@query()
+def factor_analysis(spark, d):
+    return L.factor_analysis(table(spark, d, "embeddings"), "embedding", 64, 2)
+
+
+@query()
+def rasch_items(spark, d):
+    items = {"many": F.col("l_quantity") > 25, "cheap": F.col("l_discount") > 0.05, "taxed": F.col("l_tax") > 0.04, "back": F.col("l_returnflag") == "R", "open": F.col("l_linestatus") == "O"}
+    return L.rasch(table(spark, d, "lineitem"), items)
+
+
+@query()
+def local_level_fit(spark, d):
+    return L.local_level_fit(table(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"])
+
+
+@query()
+def level_forecast(spark, d):
+    return L.level_forecast(L.local_level_fit(table(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"]), ["user_id"], 5)
+
+
+@query()
+def zero_inflated_regression(spark, d):
+    """Line numbers of goods that came back, 0 for others."""
+    one = {"(Intercept)": F.lit(1.0)}
+    y = F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")).otherwise(0)
+    return L.zero_inflated_regression(table(spark, d, "lineitem"), y, one | {"quantity": F.col("l_quantity") / 10}, one | {"tax": F.col("l_tax") * 10})
