@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, context_tree, licenses, line_cleaning, minhash, multi_index, packing, sstable, toxicity
+from . import byte_bpe, chat, collocations, context_tree, fill_middle, licenses, line_cleaning, minhash, multi_index, packing, sstable, toxicity
 from .sql import ORACLES
 
 QUERIES = {
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_pu_toxicity": toxicity.op8_pu_toxicity,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_line_cleaning": line_cleaning.op10_line_cleaning,
+    "op11_collocations": collocations.op11_collocations,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
