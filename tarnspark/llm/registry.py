@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, collocations, context_tree, fill_middle, licenses, line_cleaning, minhash, multi_index, packing, sstable, toxicity
+from . import byte_bpe, chat, collocations, context_tree, fill_middle, jaccard_join, licenses, line_cleaning, minhash, multi_index, packing, sstable, toxicity
 from .sql import ORACLES
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_line_cleaning": line_cleaning.op10_line_cleaning,
     "op11_collocations": collocations.op11_collocations,
+    "op12_jaccard_join": jaccard_join.op12_jaccard_join,
     "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 

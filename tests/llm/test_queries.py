@@ -144,6 +144,11 @@ def test_op10(spark, sf_dir, docs):
         assert not (r.base_failed and r.kept)
 
 
+def test_op12(spark, sf_dir, docs):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, sf_dir, "op12_jaccard_join").collect()}
+    assert got == {i: (n, c) for i, (n, c, _) in brute.components(docs, 4, 85).items()}
+
+
 def test_pipeline(spark, sf_dir, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     texts, at = dict(docs), shared.table(spark, sf_dir, "documents")
