@@ -22,7 +22,7 @@ def _linear(b: Sequence[float], x: Sequence[Column]) -> Column:
     return sum((c * float(v) for c, v in zip(x, b, strict=True)), F.lit(0.0))
 
 
-def _settled(step: Callable[[np.ndarray], np.ndarray], b: np.ndarray, rounds: int, close: float = 1e-9) -> np.ndarray:
+def settled_steps(step: Callable[[np.ndarray], np.ndarray], b: np.ndarray, rounds: int, close: float = 1e-9) -> np.ndarray:
     """b after as many steps as it takes until none of its entries moves by `close` of its size (or of 1)."""
     for _ in range(rounds):
         new = step(b)
@@ -71,7 +71,7 @@ def probit(df: DataFrame, y: Column, design: dict[str, Column], rounds: int = 50
         return b + np.linalg.solve(last["g"], gradient)
 
     with kept(rows) as rows:
-        b = _settled(step, np.zeros(k), rounds)
+        b = settled_steps(step, np.zeros(k), rounds)
     return _table(df, list(design), b, last["g"])
 
 
@@ -90,7 +90,7 @@ def gamma_regression(df: DataFrame, y: Column, design: dict[str, Column], rounds
 
     with kept(rows) as rows:
         _, g = gramian(rows, {**terms, "_z": F.ln(v)})
-        b = _settled(step, np.linalg.solve(g[:k, :k], g[:k, k]), rounds)
+        b = settled_steps(step, np.linalg.solve(g[:k, :k], g[:k, k]), rounds)
         ratio = v * F.exp(-_linear(b, x))
         # at the estimate the shape solves ln(a) - digamma(a) = mean(ratio) - 1 - mean(ln(ratio))
         gap = rows.agg(F.avg(ratio - 1 - F.ln(ratio))).first()[0] or 0.0
@@ -142,7 +142,7 @@ def multinomial_logit(df: DataFrame, y: str, levels: Sequence, design: dict[str,
         return b + np.linalg.solve(last["g"], gradient)
 
     with kept(rows) as rows:
-        b = _settled(step, np.zeros(size), rounds)
+        b = settled_steps(step, np.zeros(size), rounds)
     se = np.sqrt(np.maximum(0.0, np.diag(np.linalg.pinv(last["g"]))))
     out = [(str(level), t, float(b[a * k + i]), float(se[a * k + i])) for a, level in enumerate(others) for i, t in enumerate(design)]
     return df.sparkSession.createDataFrame(out, "level string, term string, estimate double, se double")
@@ -183,7 +183,7 @@ def ordinal_logit(df: DataFrame, y: str, levels: Sequence, design: dict[str, Col
         return b + move
 
     with kept(rows) as rows:
-        b = _settled(step, np.append(np.log(share / (1 - share)), np.zeros(k)), rounds)
+        b = settled_steps(step, np.append(np.log(share / (1 - share)), np.zeros(k)), rounds)
     return _table(df, [*[f"cut.{v}" for v in levels[:-1]], *design], b, last["g"])
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from contextlib import contextmanager
 
 import numpy as np
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tarnspark.functions.shipping import ship
 
+from .moments import Fit, fit, grouped_moments, moments
+
 
 def gaussian(x: Column, w: Column | None = None) -> list[Column]:
     if w is None:
@@ -57,15 +59,8 @@ def ar1(y: str, by: Sequence[str], order: Sequence[str]):
 
 
 def gramian(df: DataFrame, columns: dict[str, Column], weight: Column | None = None) -> tuple[list[str], np.ndarray]:
-    """Names and X'WX of the given columns, over rows where none is NULL: one aggregation of the upper triangle, one row to the driver."""
-    names = list(columns)
-    rows = df.select(*[c.cast("double").alias(f"x{k}") for k, c in enumerate(columns.values())], (F.lit(1.0) if weight is None else weight.cast("double")).alias("w")).dropna()
-    cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    row = rows.agg(*[F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in cells]).first()
-    g = np.zeros((len(names), len(names)))
-    for (i, j), v in zip(cells, row, strict=True):
-        g[i, j] = g[j, i] = v or 0.0
-    return names, g
+    """Names and X'WX of the given columns, over rows where none is missing: centred sums put together again, see `moments`."""
+    return list(columns), moments(df, list(columns.values()), weight).gramian
 
 
 @contextmanager
@@ -78,44 +73,46 @@ def kept(rows: DataFrame):
         held.unpersist()
 
 
+def _number(x: float) -> float | None:
+    return None if x != x else float(x)
+
+
+def _terms(names: Sequence[str], f: Fit, k: int = 0) -> list[tuple[str, float | None, float | None, float | None]]:
+    """(term, estimate, se, t) of the k-th response; terms that others give have none of them."""
+    free = f.w - f.rank
+    sigma2 = f.sse[k] / free if free > 0 else math.nan
+    se = np.sqrt(np.maximum(0.0, np.diag(f.inverse)) * sigma2)
+    return [(c, float(b), _number(s), float(b / s) if s > 0 else None) if told else (c, None, None, None) for c, b, s, told in zip(names, f.b[:, k], se, f.told, strict=True)]
+
+
 def least_squares(df: DataFrame, y: str, design: dict[str, Column], weight: Column | None = None) -> DataFrame:
-    """term, estimate, se, t of the regression of y on the design (which holds its own intercept)."""
-    names, g = gramian(df, {**design, "_y": F.col(y), "_n": F.lit(1.0)}, weight)
-    p = len(design)
-    xtx, xty, yty, n = g[:p, :p], g[:p, p], g[p, p], g[p + 1, p + 1]
-    inverse = np.linalg.pinv(xtx)
-    b = inverse @ xty
-    sse = max(0.0, yty - b @ xty)
-    sigma2 = sse / (n - p) if n > p else float("nan")
-    se = np.sqrt(np.maximum(0.0, np.diag(inverse)) * sigma2)
-    rows = [(k, float(e), float(s), float(e / s) if s > 0 else None) for k, e, s in zip(names[:p], b, se, strict=True)]
-    return df.sparkSession.createDataFrame(rows, "term string, estimate double, se double, t double")
+    """term, estimate, se, t of the regression of y on the design (which holds its own intercept).
+
+    Solved from centred products, so columns may stand as far from zero as they like. A term that those before it give has
+    NULL for an estimate. Rows that miss a value are left out."""
+    f = fit(moments(df, [*design.values(), F.col(y)], weight), len(design))
+    return df.sparkSession.createDataFrame(_terms(list(design), f), "term string, estimate double, se double, t double")
 
 
 def lm(df: DataFrame, y: str, design: dict[str, Column], weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Coefficients (term, estimate, se, t, p) and the analysis of variance (source, df, ss, ms, f, p, r2, adjusted_r2) of a
-    regression whose design holds an intercept of ones; one aggregation in all."""
-    names, g = gramian(df, {**design, "_y": F.col(y), "_1": F.lit(1.0)}, weight)
-    k = len(design)
-    xtx, xty, yty, n, total = g[:k, :k], g[:k, k], g[k, k], g[k + 1, k + 1], g[k, k + 1]
-    inverse = np.linalg.pinv(xtx)
-    b = inverse @ xty
-    syy = yty - total * total / n if n else 0.0
-    sse = min(syy, max(0.0, yty - b @ xty))
-    d1, d2 = k - 1, n - k
+    regression whose design holds an intercept of ones; one pass over the rows in all. Terms that others give: as `least_squares`."""
+    m = moments(df, [*design.values(), F.col(y)], weight)
+    f = fit(m, len(design))
+    n, syy = m.w, float(m.s[-1, -1])
+    sse, d1, d2 = min(syy, float(f.sse[0])), f.rank - 1, n - f.rank
     sigma2 = sse / d2 if d2 > 0 else float("nan")
-    se = np.sqrt(np.maximum(0.0, np.diag(inverse)) * sigma2)
-    terms = [(c, float(e), float(s), float(e / s) if s > 0 else None, student_p(float(e / s), float(d2)) if s > 0 else None) for c, e, s in zip(names[:k], b, se, strict=True)]
-    f = (syy - sse) / d1 / sigma2 if d1 > 0 and d2 > 0 and sigma2 > 0 else None
+    terms = [(*row, None if row[3] is None else student_p(row[3], float(d2))) for row in _terms(list(design), f)]
+    ratio = (syy - sse) / d1 / sigma2 if d1 > 0 and d2 > 0 and sigma2 > 0 else None
     r2 = 1 - sse / syy if syy > 0 else None
     adjusted = 1 - (1 - r2) * (n - 1) / d2 if r2 is not None and d2 > 0 else None
     table = [
-        ("model", float(d1), float(syy - sse), float((syy - sse) / d1) if d1 else None, None if f is None else float(f), None if f is None else f_p(float(f), d1, float(d2)), r2, adjusted),
-        ("residual", float(d2), float(sse), float(sigma2) if d2 > 0 else None, None, None, None, None),
-        ("total", float(n - 1), float(syy), None, None, None, None, None),
+        ("model", float(d1), syy - sse, (syy - sse) / d1 if d1 else None, ratio, None if ratio is None else f_p(ratio, d1, float(d2)), r2, adjusted),
+        ("residual", float(d2), sse, sigma2 if d2 > 0 else None, None, None, None, None),
+        ("total", float(n - 1), syy, None, None, None, None, None),
     ]
     spark = df.sparkSession
-    plain = [tuple(None if v is None else v if isinstance(v, str) else float(v) for v in r) for r in table]
+    plain = [tuple(v if v is None or isinstance(v, str) else float(v) for v in r) for r in table]
     return spark.createDataFrame(terms, "term string, estimate double, se double, t double, p double"), spark.createDataFrame(plain, "source string, df double, ss double, ms double, f double, p double, r2 double, adjusted_r2 double")
 
 
@@ -136,36 +133,8 @@ def screened_regression(df: DataFrame, y: str, candidates: dict[str, Column], ke
 def mvn(df: DataFrame, vector: str, by: Sequence[str], dim: int) -> DataFrame:
     """by, i, j, n, mean_i, mean_j, s (centred cross-product), i <= j: for vectors of `dim` numbers; others are left out.
 
-    Each task adds up one product of matrices a group; these partial sums are added by Spark.
-    """
-    ship(df.sparkSession)
-    keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    i, j = np.triu_indices(dim)
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list] = {}
-        for frame in frames:
-            for group, rows in frame.groupby(list(by), dropna=False, sort=False) if by else [((), frame)]:
-                group = group if isinstance(group, tuple) else (group,)
-                m = np.stack(rows["_v"].to_list()).astype(np.float64)
-                own = held.setdefault(tuple(None if g != g else g for g in group), [0, np.zeros(dim), np.zeros((dim, dim))])
-                own[0] += len(m)
-                own[1] += m.sum(axis=0)
-                own[2] += m.T @ m
-            if len(held) > 2000:
-                yield from out(held)
-                held = {}
-        yield from out(held)
-
-    def out(held: dict[tuple, list]) -> Iterator[pd.DataFrame]:
-        for group, (n, total, products) in held.items():
-            yield pd.DataFrame({**{c: [g] * len(i) for c, g in zip(by, group, strict=True)}, "i": i, "j": j, "n": n, "a": total[i], "b": total[j], "ab": products[i, j]})
-
-    v = F.col(vector).cast("array<double>")
-    whole = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x))
-    sums = df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull() & F.coalesce(whole, F.lit(False))).mapInPandas(partial, f"{keys}{', ' if by else ''}i int, j int, n long, a double, b double, ab double")
-    out_ = sums.groupBy(*by, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "ab")])
-    return out_.select(*by, "i", "j", "n", (F.col("a") / F.col("n")).alias("mean_i"), (F.col("b") / F.col("n")).alias("mean_j"), (F.col("ab") - F.col("a") * F.col("b") / F.col("n")).alias("s"))
+    Group columns may not be called like those of the result (`grouped_moments`)."""
+    return grouped_moments(df, F.col(vector), dim, by).drop("w")
 
 
 def independent_mvn(df: DataFrame, vector: str, by: Sequence[str]) -> DataFrame:
@@ -176,13 +145,9 @@ def independent_mvn(df: DataFrame, vector: str, by: Sequence[str]) -> DataFrame:
 
 def weighted_mvn(df: DataFrame, columns: Sequence[str], weight: str, by: Sequence[str] = ()) -> DataFrame:
     """by, i, j (names of columns), sum_w, mean_i, mean_j, s (weighted centred cross-product), over rows without a missing value."""
-    w, x = F.col("_w"), [F.col(f"_x{k}") for k in range(len(columns))]
-    rows = df.select(*by, F.col(weight).cast("double").alias("_w"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(columns)]).dropna(subset=["_w", *[f"_x{k}" for k in range(len(columns))]])
-    cells = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    sums = rows.groupBy(*by).agg(F.sum(w).alias("_n"), *[F.sum(w * c).alias(f"_m{k}") for k, c in enumerate(x)], *[F.sum(w * x[i] * x[j]).alias(f"_s{i}_{j}") for i, j in cells])
-    n = F.col("_n")
-    each = [F.struct(F.lit(columns[i]).alias("i"), F.lit(columns[j]).alias("j"), n.alias("sum_w"), F.try_divide(F.col(f"_m{i}"), n).alias("mean_i"), F.try_divide(F.col(f"_m{j}"), n).alias("mean_j"), (F.col(f"_s{i}_{j}") - F.try_divide(F.col(f"_m{i}") * F.col(f"_m{j}"), n)).alias("s")) for i, j in cells]
-    return sums.select(*by, F.inline(F.array(*each)))
+    out = grouped_moments(df, F.array(*[F.col(c).cast("double") for c in columns]), len(columns), by, F.col(weight))
+    name = lambda c: F.element_at(F.array(*map(F.lit, columns)), F.col(c) + 1).alias(c)
+    return out.select(*by, name("i"), name("j"), F.col("w").alias("sum_w"), "mean_i", "mean_j", "s")
 
 
 def dirichlet(df: DataFrame, shares: str, by: Sequence[str]) -> DataFrame:
@@ -215,17 +180,10 @@ def wishart(df: DataFrame, matrix: str, by: Sequence[str], dim: int) -> DataFram
 
 
 def multivariate_regression(df: DataFrame, responses: Sequence[str], design: dict[str, Column]) -> DataFrame:
-    """response, term, estimate, se: least squares of several responses on one design, from one aggregation of X'X, X'Y and Y'Y;
-    rows that miss any of them are left out for all."""
-    names, g = gramian(df, {**design, **{f"_y{k}": F.col(c) for k, c in enumerate(responses)}, "_n": F.lit(1.0)})
-    p, n = len(design), g[-1, -1]
-    xtx, xty, yty = g[:p, :p], g[:p, p:-1], g[p:-1, p:-1]
-    inverse = np.linalg.pinv(xtx)
-    b = inverse @ xty
-    sse = np.maximum(0.0, np.diag(yty - xty.T @ b))
-    sigma2 = sse / (n - p) if n > p else np.full(len(responses), np.nan)
-    se = np.sqrt(np.maximum(0.0, np.diag(inverse))[:, None] * sigma2[None, :])
-    rows = [(c, t, float(b[i, k]), float(se[i, k])) for k, c in enumerate(responses) for i, t in enumerate(names[:p])]
+    """response, term, estimate, se: least squares of several responses on one design, from one pass of centred products;
+    rows that miss any of them are left out for all. Terms that others give: as `least_squares`."""
+    f = fit(moments(df, [*design.values(), *map(F.col, responses)]), len(design))
+    rows = [(c, t, b, se) for k, c in enumerate(responses) for t, b, se, _ in _terms(list(design), f, k)]
     return df.sparkSession.createDataFrame(rows, "response string, term string, estimate double, se double")
 
 
