@@ -20,7 +20,7 @@ BREAKS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: through to the count, and the result is the same.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Bytes of text whose phrases are counted together before they become rows.
-BLOCK = 8 << 20
+BLOCK = 3 << 20
 
 _BREAK, _BETWEEN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _BREAK[list(BREAKS)] = True
@@ -61,9 +61,9 @@ class _Block:
         letters = data[inside]
         chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(places, len(letters))), pa.py_buffer(letters)]) if len(at) else pa.array([], pa.large_binary())
         coded = chunks.dictionary_encode()
-        self.distinct, self.which = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.distinct, self.which = coded.dictionary, coded.indices.to_numpy()
         coded = langs.dictionary_encode()
-        self.langs, self.lang = coded.dictionary, coded.indices.to_numpy().astype(np.int64)[row]
+        self.langs, self.lang = coded.dictionary, coded.indices.to_numpy()[row]
 
 
 def _counted(block: _Block, sizes: range, frequent: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -84,7 +84,7 @@ def _counted(block: _Block, sizes: range, frequent: np.ndarray | None) -> Iterat
         slot = _pair_slots(langs[block.lang[:-1]], hashes[block.which[:-1]], hashes[block.which[1:]], 8 * len(frequent))
         joined = joined & (frequent[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
     where = np.arange(n)  # where the phrases of this size begin
-    key = block.lang * words + block.which  # the number of the phrase that begins there, among those of its size
+    key = block.lang.astype(np.int64) * words + block.which  # the number of the phrase that begins there, among those of its size
     for size in range(1, max(sizes) + 1):
         if size > 1:
             here = where[where + size - 1 < n]
@@ -112,10 +112,11 @@ def _phrases(rows: DataFrame, sizes: range, frequent: Broadcast | None = None) -
         def count() -> Iterator[pa.RecordBatch]:
             together = pa.Table.from_batches(held).combine_chunks().to_batches()
             held.clear()
+            shared.release_memory()
             for part in together:
                 for out in _counted(_Block(part.column("text"), part.column("lang")), sizes, bits):
-                    for low in range(0, out.num_rows, 1 << 16):
-                        yield out.slice(low, 1 << 16)
+                    for low in range(0, out.num_rows, 1 << 14):
+                        yield out.slice(low, 1 << 14)
 
         for batch in batches:
             for part in shared.blocks_of(batch, "text", BLOCK):
