@@ -10,6 +10,7 @@ from tarnspark.operators import glm as G
 from tarnspark.operators import latent as L
 from tarnspark.operators import models as M
 from tarnspark.operators import sufficient as S
+from tarnspark.operators import wide as W
 
 from .profile import rounded
 from .register import query, table
@@ -343,3 +344,18 @@ def zero_inflated_regression(spark, d):
     one = {"(Intercept)": F.lit(1.0)}
     y = F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")).otherwise(0)
     return L.zero_inflated_regression(table(spark, d, "lineitem"), y, one | {"quantity": F.col("l_quantity") / 10}, one | {"tax": F.col("l_tax") * 10})
+
+
+@query("""WITH m AS (SELECT i, avg(embedding[i + 1]::DOUBLE) AS m FROM embeddings, range(64) AS r(i) GROUP BY 1)
+  SELECT (a.i // 20)::INT AS tile_i, (b.i // 20)::INT AS tile_j, a.i::INT AS i, b.i::INT AS j, round(sum((embedding[a.i + 1]::DOUBLE - a.m) * (embedding[b.i + 1]::DOUBLE - b.m)), 6) AS s
+  FROM embeddings, m AS a, m AS b WHERE a.i // 20 <= b.i // 20 GROUP BY 1, 2, 3, 4""")
+def gramian_tiles(spark, d):
+    """The products of all 64 components, in tiles of 20, four of which a task holds at a time."""
+    out = W.gramian_tiles(table(spark, d, "embeddings"), "embedding", 64, block=20, cells=1600)
+    return out.select("tile_i", "tile_j", "i", F.posexplode("values").alias("j", "s")).select("tile_i", "tile_j", "i", (F.col("j") + 20 * F.col("tile_j")).alias("j"), F.round("s", 6).alias("s"))
+
+
+@query()
+def wide_spike_and_slab(spark, d):
+    """A vector's label on its 64 components, screened in blocks of 16."""
+    return W.wide_spike_and_slab(table(spark, d, "embeddings"), F.col("label"), "embedding", 64, block=16, draws=200, burn=50)
