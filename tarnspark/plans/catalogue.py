@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import comparing, modelling, profile, relations, scalars, sequences
+from . import comparing, modelling, profile, relations, scalars, sequences, series
 from .register import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "comparing", "modelling", "profile", "relations", "scalars", "sequences"]
+__all__ = ["ORACLES", "QUERIES", "comparing", "modelling", "profile", "relations", "scalars", "sequences", "series"]

@@ -357,5 +357,6 @@ def gramian_tiles(spark, d):
 
 @query()
 def wide_spike_and_slab(spark, d):
-    """A vector's label on its 64 components, screened in blocks of 16."""
-    return W.wide_spike_and_slab(table(spark, d, "embeddings"), F.col("label"), "embedding", 64, block=16, draws=200, burn=50)
+    """A sum of two components, with the label for noise, on all 64 components, screened in blocks of 16."""
+    y = F.get("embedding", F.lit(3)) - F.get("embedding", F.lit(40)) / 2 + F.col("label") / 50
+    return W.wide_spike_and_slab(table(spark, d, "embeddings"), y, "embedding", 64, block=16, draws=200, burn=50)
