@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnspark.functions import folders
 from tarnspark.operators import structural as T
+from tarnspark.streaming import aggregates, filters
 
 from .profile import rounded
 from .register import query, table
@@ -65,3 +67,17 @@ def mixed_frequency_nowcast(spark, d):
     seen = days.join(monthly, "month_end").withColumn("y", F.when(F.col("day") == F.col("month_end"), F.col("sum")))
     model = T.Model(T.Structure(summed=True), {"noise": 1.0, "level": 1.5}, (10.0,), (100.0,))
     return rounded(T.nowcast(T.packed(seen, "y", "t", [], new="first"), model, []), 6)
+
+
+@query(f"WITH RECURSIVE {_DAYS} SELECT t, y, round(predicted, 6) AS predicted, round(sqrt(f), 6) AS predicted_sd, round(m, 6) AS level, round(sqrt(p), 6) AS level_sd FROM s WHERE y IS NOT NULL")
+def streamed_filter(spark, d):
+    """Orders a day as a stream of four chunks in order of time, filtered by a walking level whose state is kept in between."""
+    path, out, state = (folders.new_path(spark, n) for n in ("series-files", "series-out", "series-state"))
+    days = _daily(spark, d).select(F.lit("orders").alias("series"), "t", "y")
+    low, high = days.agg(F.min("t"), F.max("t")).first()
+    for k in range(4):
+        inside = F.floor((F.col("t") - low) * 4 / (high - low + 1)) == k
+        days.filter(inside).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("series string, t long, y double").parquet(path)
+        aggregates.into_table(filters.filtered_stream(stream, filters.Kalman(_walk()), "y", "t", ["series"]), out, state).start().awaitTermination()
+    return rounded(spark.read.parquet(out).select("t", "y", "predicted", "predicted_sd", "level", "level_sd"), 6)
