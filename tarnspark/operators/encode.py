@@ -164,7 +164,24 @@ def encode(df: DataFrame, encoder, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*keep, *[c.alias(n) for n, c in zip(encoder.names(), encoder.columns(), strict=True)])
 
 
-_KINDS = {c.__name__: c for c in (Effects, OneHot, Transform, Success, MissingDummy, Interaction, Dataset)}
+@dataclass(frozen=True)
+class Computed:
+    """A named transform of a SQL expression of columns."""
+
+    variable: str
+    transform: str = "identity"
+
+    def names(self) -> list[str]:
+        return [f"{self.transform}.{self.variable}"]
+
+    def source(self) -> Column:
+        return F.expr(self.variable).cast("double")
+
+    def columns(self) -> list[Column]:
+        return [TRANSFORMS[self.transform](self.source())]
+
+
+_KINDS = {c.__name__: c for c in (Effects, OneHot, Transform, Computed, Success, MissingDummy, Interaction, Dataset)}
 
 
 def to_json(encoder) -> str:
@@ -227,36 +244,141 @@ def bandit_design(contexts: DataFrame, arms: Sequence[dict], encoder, keep: Sequ
     return encode(contexts.drop(*names).select("*", F.inline(each)), encoder, [*keep, *names])
 
 
+_TOKEN = re.compile(r"\s*(?:(`[^`]+`|[A-Za-z_]\w*)|(\d+)|([-+*:^().]))")
+
+#: Terms of a formula, each the factors of a product in order, and whether it says that there is an intercept (None: nothing).
+_Sum = tuple[list[tuple[str, ...]], "bool | None"]
+
+
+def _product(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(a + b))
+
+
+def _joined(sums: Sequence[_Sum]) -> _Sum:
+    """All terms, each once whatever the order of its factors, and the last word on the intercept."""
+    seen, out = set(), []
+    for t in (t for terms, _ in sums for t in terms):
+        if frozenset(t) not in seen:
+            seen.add(frozenset(t))
+            out.append(t)
+    said = [i for _, i in sums if i is not None]
+    return out, said[-1] if said else None
+
+
+class _Formula:
+    """Reads a right-hand side from left to right: sums of `*`, of `:`, of `^`, of single terms, each binding closer."""
+
+    def __init__(self, text: str, columns: Sequence[str]):
+        self.text, self.at, self.columns = text, 0, list(columns)
+
+    def peek(self) -> str:
+        found = _TOKEN.match(self.text, self.at)
+        return found[0].strip() if found else self.text[self.at :].strip()[:1]
+
+    def take(self) -> str:
+        found = _TOKEN.match(self.text, self.at)
+        if not found:
+            raise ValueError(f"can't read the formula from here: {self.text[self.at :].strip() or 'its end'}")
+        self.at = found.end()
+        return found[0].strip()
+
+    def sum(self, ends: str) -> _Sum:
+        out: _Sum = ([], None)
+        sign = self.take() if self.peek() in ("+", "-") and self.peek() else "+"
+        while True:
+            terms, said = self.crossed()
+            if sign == "+":
+                out = _joined([out, (terms, said)])
+            else:
+                gone = {frozenset(t) for t in terms}
+                out = [t for t in out[0] if frozenset(t) not in gone], out[1] if said is None else not said
+            if self.peek() == ends:
+                return out
+            sign = self.take()
+            if sign not in ("+", "-"):
+                raise ValueError(f"can't read the formula at {sign!r}: {self.text}")
+
+    def crossed(self) -> _Sum:
+        out = self.multiplied()
+        while self.peek() == "*":
+            self.take()
+            right = self.multiplied()
+            out = _joined([out, right, self.between(out, right)])
+        return out
+
+    def between(self, a: _Sum, b: _Sum) -> _Sum:
+        return [_product(x, y) for x in a[0] for y in b[0]], None
+
+    def multiplied(self) -> _Sum:
+        out = self.raised()
+        while self.peek() == ":":
+            self.take()
+            out = _joined([self.between(out, self.raised())])
+        return out
+
+    def raised(self) -> _Sum:
+        base = out = self.single()
+        if self.peek() == "^":
+            self.take()
+            power = self.take()
+            if not power.isdigit() or not int(power):
+                raise ValueError(f"a power has to be a whole number above 0: {power}")
+            for _ in range(int(power) - 1):
+                out = _joined([out, self.between(out, base)])
+        return out
+
+    def single(self) -> _Sum:
+        token = self.take()
+        if token == "(":
+            out = self.sum(")")
+            self.take()
+            return out
+        if token == ".":
+            return [(c,) for c in self.columns], None
+        if token in ("0", "1"):
+            return [], token == "1"
+        if not re.match(r"[`A-Za-z_]", token):
+            raise ValueError(f"can't read the formula at {token!r}: {self.text}")
+        if self.peek() == "(" and not token.startswith("`"):
+            begin, depth = self.at, 0
+            while True:
+                if self.at >= len(self.text):
+                    raise ValueError(f"a bracket isn't closed: {self.text[begin:]}")
+                depth += {"(": 1, ")": -1}.get(self.text[self.at], 0)
+                self.at += 1
+                if not depth and self.text[self.at - 1] == ")":
+                    return [(token + self.text[begin : self.at].strip(),)], None
+        return [(token.strip("`"),)], None
+
+
 def formula(df: DataFrame, right: str, omit: Sequence[str] = ()) -> Dataset:
-    """The encoder of a right-hand side such as "a * b + log(c) + a:d - 1", by the columns of df.
+    """The encoder of a right-hand side such as "a * b:c + log(d + 1) - a:b - 1", by the columns of df.
 
-    Terms stand between plus signs: a column, a named transform of one, a product with `:`, or with `*`, which stands for the
-    columns and all products of them; `.` is every column but those in `omit`; `- 1` leaves the intercept out. Text and
-    booleans are coded by treatment, their least level the baseline; levels are read from df, once a column. Terms of fewer
-    columns come first.
+    `a:b` is the product, `a * b` is a + b + a:b, `(a + b)^2` is (a + b) * (a + b), and `:` binds closer than `*`. `-` takes
+    terms out again; `- 1` or `+ 0` leaves the intercept out. `.` is every column but those in `omit`. A named transform may
+    hold a column or a SQL expression of columns; odd names stand in backticks. Text and booleans are coded by treatment,
+    their least level the baseline; levels are read from df, once a column. Terms of fewer factors come first. What can't be
+    read, and a term that is no column, raises and is named.
     """
-    intercept = not re.search(r"-\s*1\s*$", right)
-    terms: list[tuple[str, ...]] = []
-    for term in re.sub(r"-\s*1\s*$", "", right).split("+"):
-        factors = [f.strip() for f in re.split(r"[*:]", term)]
-        if factors == ["."]:
-            terms += [(c,) for c in df.columns if c not in omit]
-        elif "*" in term:
-            terms += [g for k in range(1, len(factors) + 1) for g in combinations(factors, k)]
-        elif factors != [""]:
-            terms.append(tuple(factors))
     types, coded = dict(df.dtypes), {}
+    reader = _Formula(right, [c for c in df.columns if c not in omit])
+    terms, said = reader.sum("") if right.strip() else ([], None)
     for f in dict.fromkeys(f for t in terms for f in t):
-        call = re.fullmatch(r"(\w+)\((.+)\)", f)
-        if call:
-            coded[f] = Transform(call[2].strip(), call[1])
-        elif types[f] in ("string", "boolean"):
-            levels = levels_of(df, f)
-            coded[f] = OneHot(f, levels, levels[0] if levels else None)
-        else:
+        call = re.fullmatch(r"(\w+)\s*\((.+)\)", f, re.S)
+        if f in types:
             coded[f] = Transform(f)
-    ordered = sorted(dict.fromkeys(terms), key=len)
-    return Dataset(tuple(interaction([coded[f] for f in t]) for t in ordered), intercept)
+            if types[f] in ("string", "boolean"):
+                levels = levels_of(df, f)
+                coded[f] = OneHot(f, levels, levels[0] if levels else None)
+        elif call and call[1] in TRANSFORMS:
+            inside = call[2].strip().strip("`") if re.fullmatch(r"\s*(`[^`]+`|\w+)\s*", call[2]) else None
+            if inside is not None and inside not in types:
+                raise ValueError(f"unknown term of the formula: {f}")
+            coded[f] = Computed(call[2].strip(), call[1]) if inside is None else Transform(inside, call[1])
+        else:
+            raise ValueError(f"unknown term of the formula: {f}")
+    ordered = sorted(terms, key=len)
+    return Dataset(tuple(interaction([coded[f] for f in t]) for t in ordered), said is not False)
 
 
 def single_encoders(encoder) -> list:
@@ -271,7 +393,7 @@ def predictor_matrix(new: DataFrame, encoder, keep: Sequence[str] = (), unknown:
     unknown: what to do with a level that the encoder doesn't know: "error" fails the job, "drop" leaves the row out.
     """
     for e in single_encoders(encoder):
-        x = F.col(e.variable)
+        x = e.source() if isinstance(e, Computed) else F.col(e.variable)
         if not isinstance(e, MissingDummy):
             new = new.filter(x.isNotNull())
         levels = getattr(getattr(e, "encoder", e), "levels", None)

@@ -8,6 +8,7 @@ from tarnspark.functions import mathx
 from tarnspark.operators import encode as E
 from tarnspark.operators import glm as G
 from tarnspark.operators import latent as L
+from tarnspark.operators import loglinear as LL
 from tarnspark.operators import models as M
 from tarnspark.operators import sufficient as S
 from tarnspark.operators import wide as W
@@ -360,3 +361,36 @@ def wide_spike_and_slab(spark, d):
     """A sum of two components, with the label for noise, on all 64 components, screened in blocks of 16."""
     y = F.get("embedding", F.lit(3)) - F.get("embedding", F.lit(40)) / 2 + F.col("label") / 50
     return W.wide_spike_and_slab(table(spark, d, "embeddings"), y, "embedding", 64, block=16, draws=200, burn=50)
+
+
+@query("""WITH n AS (SELECT l_returnflag, l_linestatus, l_linenumber, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2, 3),
+  c AS (SELECT f.x AS l_returnflag, s.x AS l_linestatus, m.x AS l_linenumber FROM (SELECT DISTINCT l_returnflag AS x FROM n) f, (SELECT DISTINCT l_linestatus AS x FROM n) s, (SELECT DISTINCT l_linenumber AS x FROM n) m),
+  a AS (SELECT l_returnflag, l_linestatus, sum(n) AS a FROM n GROUP BY 1, 2), b AS (SELECT l_linestatus, l_linenumber, sum(n) AS b FROM n GROUP BY 1, 2), t AS (SELECT l_linestatus, sum(n) AS t FROM n GROUP BY 1)
+  SELECT c.*, coalesce(n, 0.0)::DOUBLE AS n, round(coalesce(a, 0.0) * coalesce(b, 0.0) / t, 6) AS fitted FROM c LEFT JOIN n USING (l_returnflag, l_linestatus, l_linenumber) LEFT JOIN a USING (l_returnflag, l_linestatus) LEFT JOIN b USING (l_linestatus, l_linenumber) JOIN t USING (l_linestatus)""")
+def loglinear_cells(spark, d):
+    """Flag and line number are independent given the status: a model whose fit SQL can state."""
+    return rounded(LL.loglinear_fit(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], [["l_returnflag", "l_linestatus"], ["l_linestatus", "l_linenumber"]]), 6)
+
+
+@query("""WITH w AS (SELECT user_id, min(ts) AS s, max(ts) + INTERVAL 1 HOUR AS e FROM events GROUP BY 1),
+  h AS (SELECT s, e, unnest(generate_series(date_trunc('hour', s), e - INTERVAL 1 MICROSECOND, INTERVAL 1 HOUR)) AS h FROM w)
+  SELECT dayofweek(h)::INT + 1 AS day, hour(h)::INT AS hour, round(sum(epoch_us(least(e, h + INTERVAL 1 HOUR)) - epoch_us(greatest(s, h))) / 3.6e9, 6) AS exposure FROM h GROUP BY 1, 2""")
+def weekly_exposure(spark, d):
+    """Each user is watched from the first event to an hour after the last."""
+    windows = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("s"), (F.max("ts") + F.expr("INTERVAL 1 HOUR")).alias("e"))
+    return rounded(LL.week_exposure(windows, "s", "e"), 6)
+
+
+@query()
+def weekly_rates(spark, d):
+    events = table(spark, d, "events")
+    windows = events.groupBy("user_id").agg(F.min("ts").alias("s"), (F.max("ts") + F.expr("INTERVAL 1 HOUR")).alias("e"))
+    counts = events.groupBy(F.dayofweek("ts").alias("day"), F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
+    return rounded(LL.weekly_rates(counts, LL.week_exposure(windows, "s", "e")), 8)
+
+
+@query("""SELECT l_orderkey, l_linenumber, 1.0::DOUBLE AS "(Intercept)", l_discount, round(ln(l_quantity + 1), 8) AS "log.l_quantity + 1", round(l_quantity * l_tax, 8) AS "l_quantity:l_tax", round(l_discount * l_quantity * l_tax, 8) AS "l_discount:l_quantity:l_tax" FROM lineitem""")
+def formula_forms(spark, d):
+    """Products of products, an expression inside a transform, and a term taken out again."""
+    li = table(spark, d, "lineitem")
+    return rounded(E.encode(li, E.formula(li, "l_discount * l_quantity:l_tax + log(l_quantity + 1) + (l_tax + l_quantity) - l_tax - l_quantity"), ["l_orderkey", "l_linenumber"]), 8)

@@ -148,3 +148,22 @@ def test_importance_resampling(spark):
     mean = sum(r.id * r.draws for r in got) / sum(r.draws for r in got)
     w = np.exp(-0.01 * np.arange(1000))
     assert abs(sum(r.draws for r in got) - 20_000) <= 1 and abs(mean - (np.arange(1000) * w).sum() / w.sum()) < 0.5
+
+
+def test_formulas_of_every_form(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "a double, b double, c double, `odd name` double")
+    names = lambda f, **k: encode.formula(df, f, **k).names()
+    one = "(Intercept)"
+    assert names("a*b:c") == [one, "a", "b:c", "a:b:c"]
+    assert names("a + b - a") == [one, "b"] and names("a - b") == [one, "a"] and names("a*b - a:b") == [one, "a", "b"]
+    assert names("a + 0") == ["a"] == names("a - 1") == names("-1 + a") == names("0 + a") and names("a + 0 + 1") == [one, "a"] == names("a - 0")
+    assert names("(a + b)") == [one, "a", "b"] and names("(a + b):c") == [one, "a:c", "b:c"] and names("(a + b) * c") == [one, "a", "b", "c", "a:c", "b:c"]
+    assert names("(a + b + c)^2") == [one, "a", "b", "c", "a:b", "a:c", "b:c"] and names("b:a + a:b + a:a") == [one, "a", "b:a"]
+    assert names("log(a + 1)") == [one, "log.a + 1"] and names("log(a):b") == [one, "log.a:b"] and names("`odd name`:a") == [one, "odd name:a"]
+    assert names(". - `odd name`") == [one, "a", "b", "c"] and names(". - b", omit=["a", "odd name"]) == [one, "c"] and names("") == [one]
+    row = encode.encode(df, encode.from_json(encode.to_json(encode.formula(df, "log((a + 1) * b) + a*b:c - 1")))).first()
+    assert np.allclose(list(row), [np.log(4.0), 1.0, 6.0, 6.0])
+    assert np.allclose(list(encode.predictor_matrix(df, encode.formula(df, "log(a + 1)")).first()), [1.0, np.log(2.0)])
+    for wrong, told in (("a + x", "unknown term of the formula: x"), ("f(a)", "unknown term of the formula: f"), ("log(x)", "unknown term"), ("a +", "its end"), ("(a", "read the formula"), ("a b", "read the formula"), ("log(a", "closed"), ("a^0", "power"), ("2 + a", "read the formula"), ("a & b", "read the formula")):
+        with pytest.raises(ValueError, match=told):
+            encode.formula(df, wrong)
