@@ -50,6 +50,24 @@ TEMPLATES = (
     ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "cc0"),
 )
 
+#: What tells licenses of like wording apart. Those of a template's wording must stand in a window as they are.
+TELLING = (
+    "affero general public license",
+    "apache license",
+    "cc by 4 0",
+    "cc by nc 4 0",
+    "cc by sa 4 0",
+    "creative commons attribution",
+    "general public license",
+    "international license",
+    "lesser general public license",
+    "mit license",
+    "mozilla public license",
+    "sharealike 4 0",
+    "version 2",
+    "version 3",
+)
+
 
 def words_of(text: str) -> list[bytes]:
     return shared.plain_bytes(text.encode()).split()
@@ -63,9 +81,9 @@ class Join:
     (length filter), of which enough stand behind the first shared one, in template and block (positional filter).
     """
 
-    def __init__(self, templates: list[tuple[list[bytes], str, float]], order: dict[bytes, int]):
+    def __init__(self, templates: list[tuple[list[bytes], str, float]], order: dict[bytes, int], telling: list[list[bytes]] = ()):
         self.order = order
-        self.templates, self.reach = [], []
+        self.templates, self.reach, self.telling = [], [], []
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.member = np.zeros((len(templates), len(order) + 1), dtype=bool)  # the last column: words of no template
         self.starts = np.zeros_like(self.member)
@@ -78,9 +96,23 @@ class Join:
             self.member[t, tokens] = True
             self.templates.append((tokens, need, label))
             self.reach.append(max(1, math.ceil(len(words) / threshold - 1e-9)))
+            stands = [p for p in telling if any(words[k : k + len(p)] == p for k in range(len(words) - len(p) + 1))]
+            self.telling.append([np.array([order[w] for w in p]) for p in stands])
         sets = [set(t) for t, _, _ in self.templates]
         self.rivals = [{u for u in range(len(sets)) if u != t and 2 * len(sets[t] & sets[u]) >= min(len(sets[t]), len(sets[u]))} for t in range(len(sets))]
 
+    def told(self, t: int, own: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Whether the window from each of these words holds, as they are, all words that tell the template from others."""
+        out = np.ones(len(starts), dtype=bool)
+        for phrase in self.telling[t]:
+            n = max(0, len(own) - len(phrase) + 1)
+            stands = np.ones(n, dtype=bool)
+            for k, w in enumerate(phrase):
+                stands &= own[k : n + k] == w
+            at = np.flatnonzero(stands)
+            out &= np.append(at, len(own) + self.reach[t])[np.searchsorted(at, starts)] + len(phrase) <= starts + self.reach[t]
+        return out
+
     def windows(self, own: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(template, first word, end, containment) of each stretch of a text in which windows meet a template.
 
@@ -104,12 +136,15 @@ class Join:
                 continue
             places, seen = token.tolist(), Counter()
             starts, stops = at.tolist(), np.searchsorted(at, at + reach).tolist()  # of the window from each place on
+            told = self.told(t, own, at)
+            if not told.any():
+                continue
             upto, last, best = 0, None, (0, 0)
             for x, stop in enumerate(stops):
                 for y in range(upto, stop):
                     seen[places[y]] += 1
                 upto = stop
-                if len(seen) >= need:
+                if len(seen) >= need and told[x]:
                     if last is not None and starts[x] >= last + reach:
                         out.append((t, -best[1], last + reach, best[0] / len(tokens)))
                         best = (0, 0)
@@ -163,11 +198,13 @@ def token_counts(docs: DataFrame, tokens: list[bytes], text: str = "text") -> di
     return {bytes(r.token): r.n for r in rows.groupBy("token").agg(F.sum("n").alias("n")).collect()}
 
 
-def scan(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
+def scan(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=PHRASES, telling=TELLING) -> DataFrame:
     """One row a document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
     Blocks are all windows of consecutive words, for each template of as many as it has over `threshold`, however lines
-    are broken; any window that holds `threshold` of a template's distinct words is found, none is missed. Phrases join
+    are broken; any window that holds `threshold` of a template's distinct words, and as they are those of `telling` that the
+    template has (so that "released under the license" is not "released under the MIT License"), is found, none is missed.
+    Where several templates are met alike, each gives its label. No rows: no rows. Phrases join
     with the whole text as a block, at containment 1, and count where their words stand in a row. matches: (label, first
     word, containment) of the best window of each stretch of overlapping ones that meet a template; labels: of those that
     no template of like wording is met better than in the same place; score: the greatest containment, 1 for a phrase, 0
@@ -178,13 +215,13 @@ def scan(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_id", text:
     texts are read whole; only documents that hold some template's prefix token are looked at word by word.
     """
     wordings = [(words_of(w), label, threshold) for w, label in templates]
-    sayings = [(words_of(w), label, 1.0) for w, label in phrases]
+    sayings, told = [(words_of(w), label, 1.0) for w, label in phrases], [words_of(p) for p in telling]
     tokens = sorted({w for words, _, _ in [*wordings, *sayings] for w in words})
     seen = token_counts(docs, tokens, text)
     order = {w: k for k, w in enumerate(sorted(tokens, key=lambda w: (seen.get(w, 0), w)))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_window, by_text = Join(wordings, order), Join(sayings, order)
+        by_window, by_text = Join(wordings, order, told), Join(sayings, order)
         sought = [[order[w] for w in words] for words, _, _ in sayings]
         for batch in batches:
             for part in shared.blocks_of(batch, "text"):

@@ -403,6 +403,25 @@ def test_licenses_however_they_are_wrapped(spark):
     assert all(got[k].labels == "" and got[k].score == 0 for k in (6, 7))
 
 
+def test_licenses_of_like_wording_are_told_apart(spark):
+    texts = {
+        "released under the license of the publisher": "",
+        "Licensed under the license, version 2.0 of the vendor": "",
+        "Licensed under CC BY 3.0": "cc-by",
+        "GNU General Public License": "gpl",
+        "Licensed by the state under rule 4, cc 0": "",
+        "This work is licensed under the GNU General Public License, version 3": "gpl,gpl-3.0",
+        "This work is licensed under the GNU General Public License, version 2, or any later": "gpl,gpl-2.0",
+        "Licensed under CC BY 4.0": "cc-by,cc-by-4.0",
+        "Licensed under\n# the Apache License,\n# Version 2.0": "apache,apache-2.0",
+        "it is released under the MIT license.": "mit",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "lgpl",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts.values())
+
+
 def test_toxicity_learns_from_positive_and_unlabelled_rows(spark, docs, none):
     rng = np.random.default_rng(9)
     rows = []

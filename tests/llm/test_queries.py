@@ -1,6 +1,7 @@
 """The dealt queries over whole small tables, against SQL where there is some, else against brute force."""
 
 import math
+import re
 import zlib
 
 import brute
@@ -10,7 +11,7 @@ import oracle
 import public_tokenizers
 import pytest
 
-from tarnspark.llm import registry, shared
+from tarnspark.llm import licenses, registry, shared
 from tarnspark.llm.licenses import PHRASES
 
 
@@ -110,6 +111,39 @@ def test_op7(spark, sf_dir, docs):
         assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def test_op7_windows_of_whole_texts(spark, sf_dir, docs):
+    """Each match and score against all windows of all words, with what tells licenses apart."""
+    docs = [*docs, (-1, "x " * 50 + licenses.TEMPLATES[0][0] + "\n" + licenses.TEMPLATES[4][0].replace(" ", "\n * ") + " and " + licenses.TEMPLATES[7][0])]
+    rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    words_of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(brute.LOWER))
+    telling, found = [words_of(p) for p in licenses.TELLING], 0
+    holds = lambda w, p: any(w[k : k + len(p)] == p for k in range(len(w) - len(p) + 1))
+    for i, t in docs:
+        words, want = words_of(t or ""), set()
+        for template, label in licenses.TEMPLATES:
+            wording = words_of(template)
+            own, reach, last, best = set(wording), math.ceil(len(wording) / 0.8 - 1e-9), None, 0.0
+            told = [p for p in telling if holds(wording, p)]
+            if len(own & set(words)) < 0.8 * len(own):
+                continue
+            for first, w in enumerate(words):
+                window = words[first : first + reach]
+                share = len(own & set(window)) / len(own)
+                if w in own and share >= 0.8 - 1e-9 and all(holds(window, p) for p in told):
+                    if last is not None and first >= last + reach:
+                        want.add((label, round(best, 9)))
+                        best = 0.0
+                    last, best = first, max(best, share)
+            if last is not None:
+                want.add((label, round(best, 9)))
+        assert {(m.label, round(m.containment, 9)) for m in rows[i].matches} == want
+        base = brute.phrases(t, PHRASES)[4]
+        assert math.isclose(rows[i].score, 1.0 if base else max((c for _, c in want), default=0.0), abs_tol=1e-9)
+        assert set(rows[i].labels.split(",")) - set(base.split(",")) - {""} <= {label for label, _ in want}
+        found += len(want)
+    assert found >= 4
+
+
 def test_op8_held_out(spark, sf_dir):
     sf_dir = sf_dir.replace("sf0.001", "sf0.1")  # enough labels to learn from
     labels = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{sf_dir}/labels.parquet'").fetchall())
