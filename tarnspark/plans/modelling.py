@@ -9,6 +9,7 @@ from tarnspark.operators import encode as E
 from tarnspark.operators import glm as G
 from tarnspark.operators import latent as L
 from tarnspark.operators import loglinear as LL
+from tarnspark.operators import mixtures as X
 from tarnspark.operators import models as M
 from tarnspark.operators import sufficient as S
 from tarnspark.operators import wide as W
@@ -394,3 +395,19 @@ def formula_forms(spark, d):
     """Products of products, an expression inside a transform, and a term taken out again."""
     li = table(spark, d, "lineitem")
     return rounded(E.encode(li, E.formula(li, "l_discount * l_quantity:l_tax + log(l_quantity + 1) + (l_tax + l_quantity) - l_tax - l_quantity"), ["l_orderkey", "l_linenumber"]), 8)
+
+
+@query()
+def vector_mixture(spark, d):
+    """Two components on all 64 numbers of the vectors."""
+    e = table(spark, d, "embeddings")
+    return X.fit_mixture(e, "embedding", 64, 2, prior_rows=200.0, close=1e-3).table(spark).select("component", "weight", F.posexplode("mean").alias("i", "mean"))
+
+
+@query("SELECT label, ((SELECT max(label) FROM embeddings) - label)::INT AS code, count(*) AS n FROM embeddings GROUP BY 1, 2")
+def matched_labels(spark, d):
+    """Labels against the same labels counted from the other end."""
+    e = table(spark, d, "embeddings")
+    last = e.agg(F.max("label").alias("last"))
+    coded = e.join(F.broadcast(last)).withColumn("code", (F.col("last") - F.col("label")).cast("int"))
+    return X.match_labels(coded, "label", "code")
