@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def _rows(df: DataFrame, vector: str, y: Column | None) -> DataFrame:
 def _matrix(batch: pa.RecordBatch, dim: int, with_y: bool) -> np.ndarray:
     """The whole vectors of a batch as rows, y (if asked for) as the last column; rows that miss any of it are left out."""
     v = batch.column("v")
-    whole = pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(v), dim), False)
+    whole = pc.fill_null(pc.equal(pc.list_value_length(v), dim), False)
     x = v.filter(whole).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
     if with_y:
         x = np.column_stack([x, batch.column("y").filter(whole).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)])
