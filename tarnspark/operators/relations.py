@@ -124,9 +124,10 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 def resample(df: DataFrame, weight: str, key: str, n: int, seed: int = 0) -> DataFrame:
     """n draws with replacement, by weight: sorted cumulative weights meet evenly spaced jittered draws in an equi-join of steps.
 
-    Weights below 0 or NULL count as 0. Each row's number of draws is how many of the n points fall into its stretch.
+    A NULL weight counts as 0; one below 0 fails the job. Each row's number of draws is how many of the n points fall into its stretch.
     """
-    w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
+    given = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    w = F.when(given < 0, F.raise_error(F.concat(F.lit("a weight below 0: "), given.cast("string"))).cast("double")).otherwise(given)
     rows = df.withColumn("_w", w).filter("_w > 0")
     total = rows.agg(F.sum("_w").alias("_t"))
     jitter = (seed * 0.618033988749895) % 1.0

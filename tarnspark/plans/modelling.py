@@ -411,3 +411,11 @@ def matched_labels(spark, d):
     last = e.agg(F.max("label").alias("last"))
     coded = e.join(F.broadcast(last)).withColumn("code", (F.col("last") - F.col("label")).cast("int"))
     return X.match_labels(coded, "label", "code")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, sum(k)::BIGINT AS sum FROM (SELECT o_orderpriority, count(l_orderkey) AS k FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority) GROUP BY 1")
+def poisson_statistics(spark, d):
+    """Of the numbers of lines of orders, by priority."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    k = o.join(li, o["o_orderkey"] == li["l_orderkey"], "left").groupBy("o_orderkey", "o_orderpriority").agg(F.count("l_orderkey").alias("k"))
+    return k.groupBy("o_orderpriority").agg(*S.poisson(F.col("k")))

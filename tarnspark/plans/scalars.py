@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnspark.functions import folders, mathx, text
+from tarnspark.functions import dates, folders, mathx, text
 from tarnspark.sources import delimited
 from tarnspark.streaming import aggregates
 
@@ -168,3 +168,23 @@ def event_sessions(spark, d):
 def natural_spline(spark, d):
     rows = table(spark, d, "lineitem").withColumn("b", mathx.natural_spline(F.col("l_quantity"), [5, 15, 30, 45]))
     return rows.select("l_orderkey", "l_linenumber", *[F.round(F.get("b", F.lit(k)), 6).alias(f"b{k}") for k in range(3)])
+
+
+@query("""SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def windowed_counts(spark, d):
+    found = aggregates.windowed_counts(table(spark, d, "events"), "ts", "event_type")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""SELECT DISTINCT o_orderdate::DATE AS day, CASE WHEN quarter(o_orderdate::DATE - 6) = quarter(o_orderdate::DATE) THEN 1.0 ELSE round(1 - day(o_orderdate) / 7.0, 8) END::DOUBLE AS share,
+  quarter(o_orderdate::DATE + 1) <> quarter(o_orderdate::DATE - 6) AS ends FROM orders""")
+def quarter_shares(spark, d):
+    """Of weeks that end on each day with an order: how much lies in the first quarter, and whether one ends there."""
+    days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return days.select("day", F.round(dates.share_in_first_quarter(F.col("day")), 8).alias("share"), dates.ends_quarter(F.col("day")).alias("ends"))
+
+
+@query("""SELECT page_id, '/pages/' || regexp_extract(url, '[^/]*$') AS path, regexp_extract(url, '[^/]*$') AS last FROM pages""")
+def joined_paths(spark, d):
+    last = text.strip_path(F.col("url"))
+    return table(spark, d, "pages").select("page_id", text.join_path(F.lit("/pages/"), last).alias("path"), last.alias("last"))

@@ -167,3 +167,10 @@ def test_formulas_of_every_form(spark):
     for wrong, told in (("a + x", "unknown term of the formula: x"), ("f(a)", "unknown term of the formula: f"), ("log(x)", "unknown term"), ("a +", "its end"), ("(a", "read the formula"), ("a b", "read the formula"), ("log(a", "closed"), ("a^0", "power"), ("2 + a", "read the formula"), ("a & b", "read the formula")):
         with pytest.raises(ValueError, match=told):
             encode.formula(df, wrong)
+
+
+def test_resample_refuses_weights_below_zero(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None), (3, 0.0), (4, 1.0)], "id int, w double")
+    assert {r.id: r.draws for r in relations.resample(df, "w", "id", 30).collect()} == {1: 20, 4: 10}
+    with pytest.raises(Exception, match="below 0"):
+        relations.resample(df.union(spark.createDataFrame([(5, -1.0)], "id int, w double")), "w", "id", 30).collect()
