@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -18,6 +18,9 @@ from . import shared
 
 #: Features of a model, at most, and features of confirmed rows that are counted in all rows.
 MAX_FEATURES, MAX_CANDIDATES = 20_000, 200_000
+#: Bytes of text that a worker goes through at once, and words whose features it remembers. A block takes some 40 times its bytes on
+#: the way; a worker stands beside others and the JVM.
+BLOCK_BYTES, KEPT_WORDS = 1 << 19, 200_000
 #: Distinct feature sets that are fitted on the driver; beyond that each step is a Spark job over all of them.
 LOCAL_SETS = 300_000
 
@@ -127,7 +130,7 @@ def _encoder(names: tuple[str, ...]) -> shared.ChunkEncoder:
         each = [[number[f] for f in word_features(w) if f in number] for w in words]
         return np.fromiter(map(len, each), dtype=np.int32, count=len(each)), np.fromiter(chain.from_iterable(each), dtype=np.uint32)
 
-    return shared.by_word(encode)
+    return shared.by_word(encode, KEPT_WORDS)
 
 
 def _held(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +146,7 @@ def _all_features(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
-            for part in shared.blocks_of(batch, "text"):
+            for part in shared.blocks_of(batch, "text", BLOCK_BYTES):
                 words = shared.Words(part.column("text"), plain=True)
                 each = [word_features(w) for w in words.distinct]
                 of_row: list[set] = [set() for _ in range(part.num_rows)]
@@ -155,6 +158,8 @@ def _all_features(texts: DataFrame) -> DataFrame:
                     yield pa.record_batch({"feature": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
                     total = Counter()
         yield pa.record_batch({"feature": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+        del total
+        shared.release_memory()
 
     return shared.map_arrow(texts.select("text"), run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
@@ -166,7 +171,7 @@ def _feature_counts(texts: DataFrame, names: tuple[str, ...]) -> tuple[np.ndarra
         total, n = np.zeros(len(names), dtype=np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for part in shared.blocks_of(batch, "text", 2 << 20):
+            for part in shared.blocks_of(batch, "text", BLOCK_BYTES):
                 total += np.bincount(_held(part.column("text"), names)[1], minlength=len(names))
         at = np.flatnonzero(total)
         yield pa.record_batch({"feature": pa.array(np.append(at, -1), pa.int32()), "n": pa.array(np.append(total[at], n), pa.int64())})
@@ -184,7 +189,7 @@ def _feature_sets(texts: DataFrame, names: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for part in shared.blocks_of(batch, "text", 2 << 20):
+            for part in shared.blocks_of(batch, "text", BLOCK_BYTES):
                 row, feature = _held(part.column("text"), names)
                 raw, cuts = feature.astype(np.int32).tobytes(), (4 * np.searchsorted(row, np.arange(part.num_rows + 1))).tolist()
                 seen.update(raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
@@ -250,25 +255,27 @@ def train(
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-6}, b, prior)
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "toxicity") -> DataFrame:
+def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "toxicity", without: Sequence[str] = ()) -> DataFrame:
     """docs with `into` (0 to 1) for each whole text; a text without known words has the bias alone, as has a null one. No shuffle.
 
-    A column of docs called `into`, in any case, is replaced; all others stay.
+    A column of docs called `into`, in any case, is replaced; all others stay, but for those in `without`: naming the text
+    there spares its way back from Python.
     """
     names = tuple(model.weights)
     weights, bias = np.fromiter(model.weights.values(), dtype=np.float64, count=len(names)), model.bias
-    kept = docs.drop(*[c for c in docs.columns if c.lower() == into.lower()])
+    read = docs.drop(*[c for c in docs.columns if c.lower() == into.lower()])
+    kept = [c for c in read.columns if c not in without]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in shared.blocks_of(batch, text, 2 << 20):
+            for part in shared.blocks_of(batch, text, BLOCK_BYTES):
                 row, feature = _held(part.column(text), names)
                 g = bias + np.bincount(row, weights=weights[feature], minlength=part.num_rows)
-                yield part.append_column(into, pa.array(1 / (1 + np.exp(-np.clip(g, -500, 500))), pa.float64()))
+                yield part.select(kept).append_column(into, pa.array(1 / (1 + np.exp(-np.clip(g, -500, 500))), pa.float64()))
         shared.release_memory()
 
-    schema = StructType([*kept.schema.fields, StructField(into, DoubleType())])
-    return shared.map_arrow(kept, run, schema)
+    schema = StructType([*read.select(kept).schema.fields, StructField(into, DoubleType())])
+    return shared.map_arrow(read, run, schema)
 
 
 def _held_out(docs: DataFrame):
@@ -281,7 +288,7 @@ def _trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 def op8_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, _trained(spark, docs, sf_dir))
+    scored = score(docs, _trained(spark, docs, sf_dir), without=["text"])
     return scored.select("doc_id", _held_out(docs).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 

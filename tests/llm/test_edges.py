@@ -1,11 +1,13 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns; and each operator's own general form."""
 
 import math
+import tracemalloc
 import zlib
 
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -487,6 +489,26 @@ def test_toxicity_stage_keeps_columns_of_any_name(spark, docs, tmp_path):
     assert toxicity.toxicity_stage(spark, own.filter("doc_id = -1"), str(tmp_path)).count() == 0
 
 
+def test_toxicity_workers_take_little_memory(spark, monkeypatch):
+    """A worker's numpy arrays and words stay small, however many distinct words go by; texts go to Python, not back."""
+    made = {}
+    real = shared.map_arrow
+    monkeypatch.setattr(shared, "map_arrow", lambda df, run, schema: made.setdefault("run", run) and real(df, run, schema))
+    rng = np.random.default_rng(18)
+    batches = [pa.record_batch({"doc_id": pa.array(range(1500)), "text": pa.array([" ".join(f"w{x}" for x in r) for r in rng.integers(0, 10**9, (1500, 200)).tolist()])}) for _ in range(3)]
+    model = toxicity.Model({f"w{k}": 1.0 for k in range(100)}, -3.0, 0.1)
+    df = spark.createDataFrame([(1, "w5 x"), (2, None), (3, "w7 w5 w7")], "doc_id long, text string")
+    whole = toxicity.score(df, model)
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in made["run"](iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert rows == 4500 and peak < 40
+    lean = toxicity.score(df, model, without=["text"])
+    assert lean.columns == ["doc_id", "toxicity"] and whole.columns == ["doc_id", "text", "toxicity"]
+    assert sorted(lean.collect()) == sorted(whole.drop("text").collect())
+
+
 def test_nnpu_finds_positives_among_the_unlabelled():
     """A quarter of the positives is confirmed; the rest stands unlabelled, and still scores high."""
     rng = np.random.default_rng(10)
