@@ -47,11 +47,13 @@ def reductions(df: DataFrame, x: str, key: str) -> DataFrame:
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """cor(x, y): 0 for one row or no covariance, 1 if both are constant; an aggregate that never divides by zero."""
+    """cor(x, y): 0 for one row or no covariance, 1 if both are constant; an aggregate that never divides by zero.
+    What has one value is constant: its variance, merged from the parts of tasks, can be just above 0."""
     both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x), F.when(both, y)
+    x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
     vx, vy, c = F.var_samp(x), F.var_samp(y), F.covar_samp(x, y)
-    return F.when(F.count(F.when(both, 1)) <= 1, 0.0).when((vx == 0) & (vy == 0), 1.0).when((vx == 0) | (vy == 0) | (c == 0), 0.0).otherwise(F.try_divide(c, F.sqrt(vx * vy)))
+    flat_x, flat_y = ((v == 0) | (F.max(z) - F.min(z) == 0) for v, z in ((vx, x), (vy, y)))
+    return F.when(F.count(F.when(both, 1)) <= 1, 0.0).when(flat_x & flat_y, 1.0).when(flat_x | flat_y | (c == 0), 0.0).otherwise(F.try_divide(c, F.sqrt(vx * vy)))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
